@@ -113,7 +113,7 @@ def different(rows: list[tuple[str, int]], places: int = 8) -> list[tuple[str, i
     return out
 
 
-def fit(texts: list[str], toxic: list[int], *, prior: float = 0.1, least_sure: float = 1.5, drift: float = 0.2, known: int = 20) -> Model | None:
+def fit(texts: list[str], toxic: list[int], *, prior: float = 0.1, least_sure: float = 1.3, drift: float = 0.2, known: int = 20) -> Model | None:
     """Fit on labelled texts, each different text once; None unless both labels occur."""
     rows = different([(t, y) for t, y in zip(texts, toxic, strict=True) if t])
     n = [sum(y == c for _, y in rows) for c in (0, 1)]
@@ -131,7 +131,7 @@ def fit(texts: list[str], toxic: list[int], *, prior: float = 0.1, least_sure: f
         a1, a0 = (0.01 + prior * (pos + neg) * k / sum(n) for k in (n[1], n[0]))
         odds = math.log((pos + a1) / (n[1] + 1 + 2 * a1 - pos)) - math.log((neg + a0) / (n[0] + 1 + 2 * a0 - neg))
         surely = odds - 1.64 * math.sqrt(1 / (pos + a1) + 1 / (neg + a0))
-        if surely >= least_sure or surely > 0 and not neg and pos >= 4:
+        if surely >= least_sure and pos >= 4:
             score[f], sure[f] = odds, surely
     model = Model(score, sure, drift, 1.0, 0.0, 0.0, 1.0)
     memo = functools.cache(model.word_score)

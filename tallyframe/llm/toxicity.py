@@ -216,3 +216,17 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, score double, segments {SEGMENT}")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "segments")
+
+
+def keep_clean(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose whole text is not scored toxic (score under 0.5)."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        memo = functools.lru_cache(200_000)(model.word_score) if model else None
+        for b in slices(batches):
+            with uncollected():
+                ok = [not (model and t) or model.probability(sum(x for *_, x in segments(model, list(map(memo, words_of(t)))))) < 0.5 for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array(ok, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

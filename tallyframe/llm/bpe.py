@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 #: Bytes from which a pre-token is merged by the heap.
 LONG = 1024
 #: Entries of one memo generation, and the longest key that is remembered.
-MEMO, MEMO_KEY = 250_000, 48
+MEMO, MEMO_KEY = 450_000, 48
 #: Characters of text that are cut up at a time.
 BLOCK = 2_000_000
 _NONE = np.int32(2**31 - 1)

@@ -1,4 +1,379 @@
-"""Registered queries of the reconciliation engine."""
+"""Registered queries of the reconciliation engine, with DuckDB SQL where SQL expresses them."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import facts as fx
+from ..operators import propagate as pg
+from ..operators import qa, report
+from ..operators.check import check
+from ..streaming import admission
+from . import oracle
+from .identities import registry
+from .ontology import concepts
+from .projection import facts, raw_facts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = oracle.SQL
+
+
+def _query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _digest(results: DataFrame) -> DataFrame:
+    return results.select("filing_id", "template_id", "status", F.round("residual", 4).alias("residual"), F.round("band", 4).alias("band"))
+
+
+@_query
+def concept_dimension(spark, sf_dir):
+    """The ontology as a table."""
+    return concepts(spark).select("concept", "period_type", "unit", F.array_join("tags", ";").alias("tags"), F.array_join("aliases", ";").alias("aliases"))
+
+
+@_query
+def identity_registry(spark, sf_dir):
+    """The sixteen identities."""
+    return registry(spark)
+
+
+@_query
+def facts_dedup_first_wins(spark, sf_dir):
+    """Facts per concept after deduplication by content, and the value that wins."""
+    df = fx.deduplicate(facts(spark, sf_dir, "text")).filter(fx.is_consolidated())
+    return df.groupBy("filing_id", "concept").agg(F.count("*").alias("n"), F.min_by("value", "ord").cast("double").alias("first_value"), F.max_by("value", "ord").cast("double").alias("last_value"))
+
+
+@_query
+def fact_ids(spark, sf_dir):
+    """Content ids of all trusted facts."""
+    return facts(spark, sf_dir, "xbrl").select("filing_id", "ord", "concept", F.get(F.transform("dims", lambda d: d["member"]), 0).alias("seg"), "fact_id")
+
+
+@_query
+def fact_rounding_band(spark, sf_dir):
+    """Half-bands over every kind of precision."""
+    d = F.col("k") % 5
+    decimals = F.when(d == 0, -6).when(d == 1, -3).when(d == 2, 0).when(d == 3, 2)
+    scale = F.element_at(F.array(F.lit("ones"), F.lit("thousands"), F.lit("millions")), (F.col("k") % 3 + 1).cast("int"))
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    return rows.select("k", fx.half_band(decimals, F.when(F.col("k") % 7 == 0, "shares").otherwise("USD"), scale).alias("half_band"))
+
+
+@_query
+def fact_query(spark, sf_dir):
+    """Facts by concept, dimensions and source."""
+    return fx.query(facts(spark, sf_dir), "revenue.segment", None, [("segment", "MACHINERY")], "xbrl").select("filing_id", "ord", F.col("value").cast("double").alias("value"))
+
+
+@_query
+def fact_periods(spark, sf_dir):
+    """Periods of every filing."""
+    return fx.periods(facts(spark, sf_dir, "xbrl"))
+
+
+@_query
+def check_segments_sum(spark, sf_dir):
+    """The segment tie-out over trusted facts."""
+    return _digest(check(facts(spark, sf_dir), "xbrl", only=("rev.segments_sum",)))
+
+
+@_query
+def check_balance(spark, sf_dir):
+    """The balance sheet over trusted facts, with fallback and optional term."""
+    return _digest(check(facts(spark, sf_dir), "xbrl", only=("bs.balance", "bs.lse_crosscheck", "bs.lse_decomp")))
+
+
+@_query
+def check_all_identities(spark, sf_dir):
+    """All identities over trusted facts, tight tolerance."""
+    return _digest(check(facts(spark, sf_dir), "xbrl"))
+
+
+@_query
+def check_text_tolerance(spark, sf_dir):
+    """All identities over text facts, loose tolerance."""
+    return _digest(check(facts(spark, sf_dir), "text"))
+
+
+@_query
+def check_involved(spark, sf_dir):
+    """How many facts each result rests on, and which inputs are missing."""
+    return check(facts(spark, sf_dir), "xbrl").select("filing_id", "template_id", F.size("involved").alias("n_involved"), F.array_join("missing", ",").alias("missing"))
+
+
+@_query
+def aggregable_axes(spark, sf_dir):
+    """Segment sums without facts that product or geography breaks down further."""
+    k = F.col("o_orderkey") % 4
+    struct = lambda a, m: F.struct(F.lit(a).alias("axis"), F.lit(m).alias("member"))
+    extra = F.when(k == 0, F.array(struct("product", "p"))).when(k == 1, F.array(struct("consolidation_item", "c"))).otherwise(F.array().cast(fx.DIMS))
+    rows = _table(spark, sf_dir, "orders").withColumn("dims", F.concat(F.array(struct("segment", "s")), extra))
+    return rows.filter(fx.is_aggregable("segment")).groupBy(F.year("o_orderdate").alias("y")).agg(F.sum(F.floor("o_totalprice")).cast("double").alias("total"), F.count("*").alias("n"))
+
+
+@_query
+def propagate_derived(spark, sf_dir):
+    """Figures derived to the fixpoint, with the identity each came from."""
+    derived, _ = pg.propagate(facts(spark, sf_dir, "xbrl"))
+    return derived.select("filing_id", "concept", F.round("value", 9).alias("value"), F.round("band", 9).alias("band"), "template_id", F.size("input_ids").alias("n_inputs"), "step")
+
+
+@_query
+def propagate_gross_profit(spark, sf_dir):
+    """Derived gross profit."""
+    derived, _ = pg.propagate(facts(spark, sf_dir, "xbrl"))
+    return derived.filter("concept = 'gross_profit.total'").select("filing_id", "value", "band", "template_id")
+
+
+@_query
+def propagate_inverse_opex(spark, sf_dir):
+    """Operating expenses solved from operating income."""
+    derived, _ = pg.propagate(facts(spark, sf_dir, "xbrl"))
+    return derived.filter("concept = 'opex.total'").select("filing_id", "value", "band", "template_id")
+
+
+@_query
+def propagate_recheck(spark, sf_dir):
+    """Results over facts and derived figures."""
+    return _digest(pg.propagate(facts(spark, sf_dir, "xbrl"))[1])
+
+
+@_query
+def localize_vouches(spark, sf_dir):
+    """Suspects behind the violations of trusted facts."""
+    return pg.localize(check(facts(spark, sf_dir), "xbrl")).groupBy("filing_id", "template_id").agg(F.count("*").alias("n_suspects"), F.max("score").alias("top_score"), F.sum("vouches").alias("vouches"))
+
+
+@_query
+def localize_fault_injection(spark, sf_dir):
+    """Suspects of the segment tie-out after the largest segment was raised."""
+    results = check(pg.inject_fault(facts(spark, sf_dir, "xbrl")), None, True)
+    return pg.localize(results).filter("template_id = 'rev.segments_sum'").select("filing_id", "rank", "vouches", "score")
+
+
+@_query
+def attribute_labels(spark, sf_dir):
+    """Cause of every violation in the text facts."""
+    out = report.attribute(facts(spark, sf_dir, "text"), facts(spark, sf_dir, "xbrl"))
+    return out.select("filing_id", "period_type", "template_id", "label", "judge_invisible")
+
+
+@_query
+def attribute_evidence(spark, sf_dir):
+    """Evidence of extraction errors."""
+    return report.attribute(facts(spark, sf_dir, "text"), facts(spark, sf_dir, "xbrl")).filter("evidence <> ''").select("filing_id", "template_id", "evidence")
+
+
+@_query
+def attribute_counts(spark, sf_dir):
+    """Violations by cause."""
+    return report.attribute(facts(spark, sf_dir, "text"), facts(spark, sf_dir, "xbrl")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@_query
+def fact_comparison(spark, sf_dir):
+    """Text facts beside trusted ones."""
+    return report.compare_facts(facts(spark, sf_dir, "text"), facts(spark, sf_dir, "xbrl")).select("filing_id", "concept", "ord", "value", "truth_value", "agrees")
+
+
+@_query
+def constraint_compare(spark, sf_dir):
+    """Every identity in trusted data and text."""
+    return report.compare_identities(facts(spark, sf_dir, "text"), facts(spark, sf_dir, "xbrl")).select("filing_id", "template_id", "truth_status", "text_status")
+
+
+@_query
+def scorecard(spark, sf_dir):
+    """One scorecard per filing."""
+    return report.scorecard(facts(spark, sf_dir, "text"), facts(spark, sf_dir, "xbrl"))
+
+
+@_query
+def report_lines(spark, sf_dir):
+    """The scorecards as report lines."""
+    return report.markdown(report.scorecard(facts(spark, sf_dir, "text"), facts(spark, sf_dir, "xbrl")))
+
+
+@_query
+def segments_rollup_max(spark, sf_dir):
+    """Display roll-up of segments."""
+    return report.segments(facts(spark, sf_dir, "text"))
+
+
+def _by_nation(df: DataFrame) -> DataFrame:
+    """All years of a nation as one filing."""
+    return df.withColumn("filing_id", F.split("filing_id", "-")[0])
+
+
+@_query
+def snapshot_series(spark, sf_dir):
+    """Values of the last three years."""
+    return report.series(_by_nation(facts(spark, sf_dir, "xbrl")))
+
+
+@_query
+def snapshot_yoy(spark, sf_dir):
+    """Change on the year before."""
+    return report.year_over_year(_by_nation(facts(spark, sf_dir, "xbrl"))).select("filing_id", "concept", "fiscal_year", "previous", F.round("change", 9).alias("change"))
+
+
+@_query
+def notable_facts(spark, sf_dir):
+    """Notable figures in words."""
+    return report.notable(_by_nation(facts(spark, sf_dir, "xbrl")))
+
+
+def _answers(spark, sf_dir) -> DataFrame:
+    """Answers per filing: cited revenue and cost of sales (some of them off) and their difference or quotient."""
+    text = fx.slots(facts(spark, sf_dir, "text")).filter("period_type = 'duration'")
+    rows = text.select("filing_id", "fiscal_year", F.col("c_11.value").alias("rev"), F.col("c_13.value").alias("cogs"))
+    rows = rows.filter("rev IS NOT NULL").withColumn("k", F.split("filing_id", "-")[0].cast("int") + F.col("fiscal_year"))
+    cite = lambda concept, v: F.struct(F.lit(concept).alias("label"), F.lit(concept).alias("concept"), F.col("fiscal_year"), v.alias("value"))
+    value = F.when(F.col("k") % 4 == 0, F.col("rev") - F.col("cogs")).when(F.col("k") % 4 == 1, F.try_divide("cogs", "rev")).when(F.col("k") % 4 == 2, F.col("rev") * 3)
+    numbers = F.filter(F.array(cite("revenue.total", F.col("rev")), cite("cogs.total", F.col("cogs"))), lambda n: n["value"].isNotNull())
+    return rows.select(F.col("filing_id").alias("answer_id"), "filing_id", "fiscal_year", "k", value.alias("value"), numbers.alias("numbers_used"))
+
+
+@_query
+def verify_answers(spark, sf_dir):
+    """Cited numbers and arithmetic of answers."""
+    return qa.verify(_answers(spark, sf_dir), qa.truth_values(facts(spark, sf_dir)))
+
+
+def _grades(spark, sf_dir) -> DataFrame:
+    answers = _answers(spark, sf_dir).select(
+        F.concat(F.lit("model-"), (F.col("k") % 3).cast("string")).alias("model"), F.col("filing_id").alias("question_id"), "value",
+        F.transform("numbers_used", lambda n: F.struct(n["concept"].alias("concept"), n["fiscal_year"].alias("fiscal_year"), n["value"].alias("value"))).alias("tool_calls"),
+        (F.col("k") % 2 == 0).alias("judge_yes"),
+    )
+    truth = qa.truth_values(facts(spark, sf_dir)).groupBy("filing_id", "fiscal_year").agg(F.max(F.when(F.col("concept") == "revenue.total", F.col("truth"))).alias("rev"), F.max(F.when(F.col("concept") == "cogs.total", F.col("truth"))).alias("cogs"))
+    item = lambda kind, concept, weight: F.struct(F.lit(kind).alias("type"), F.lit(concept).alias("concept"), F.col("fiscal_year"), F.lit(weight).alias("weight"))
+    gold = F.struct((F.col("rev") - F.col("cogs")).alias("value"), F.lit("USD").alias("unit"), F.lit(None).cast("double").alias("tolerance"), F.lit(True).alias("answerable"))
+    questions = truth.select(F.col("filing_id").alias("question_id"), gold.alias("gold"), F.array(F.lit("revenue.total"), F.lit("cogs.total")).alias("required_concepts"), F.array(item("retrieval", "revenue.total", 1.0), item("definition", "", 1.0), item("calculation", "", 2.0)).alias("rubric"))
+    return qa.grade(answers, questions)
+
+
+@_query
+def grade_rubric(spark, sf_dir):
+    """Rubric and final grades."""
+    return _grades(spark, sf_dir)
+
+
+@_query
+def leaderboard(spark, sf_dir):
+    """Means per model."""
+    return qa.leaderboard(_grades(spark, sf_dir))
+
+
+@_query
+def search_typeahead(spark, sf_dir):
+    """Best customers for what was typed."""
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("ticker"), F.col("c_name").alias("name"), F.col("c_custkey").alias("rank"))
+    return qa.search(c, "12").select("ticker", "name", "score")
+
+
+@_query
+def gold_triage(spark, sf_dir):
+    """Unverified items by confidence."""
+    p = _table(spark, sf_dir, "part")
+    confidence = F.when(F.col("p_size") % 3 == 0, "low").when(F.col("p_size") % 3 == 1, "high").otherwise("medium")
+    rows = p.select(F.col("p_partkey").alias("ord"), confidence.alias("draft_confidence"), (F.col("p_size") % 2 == 0).alias("verified"))
+    return qa.triage(rows).select("ord", "priority")
+
+
+@_query
+def judge_replies(spark, sf_dir):
+    """Judges' replies as yes or no."""
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", qa.judge_says_yes(F.col("text")).alias("yes"))
+
+
+@_query
+def scale_detect(spark, sf_dir):
+    """Scale of documents."""
+    text = F.concat(F.when(F.col("doc_id") % 3 == 0, "(in Millions) ").when(F.col("doc_id") % 3 == 1, "in thousands ").otherwise(""), F.coalesce("text", F.lit("")))
+    return _table(spark, sf_dir, "documents").select("doc_id", tx.detect_scale(text).alias("scale"))
+
+
+def _filing_texts(spark, sf_dir) -> DataFrame:
+    """Order lines as sentences with figures."""
+    o = _table(spark, sf_dir, "orders")
+    text = F.concat(F.lit("(in thousands) Total revenue $ "), F.format_string("%,d", F.floor("o_totalprice").cast("long")), F.lit("\nGross profit: ("), F.floor(F.col("o_totalprice") / 3).cast("long").cast("string"), F.lit(") and Net Earnings, see above"))
+    return o.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+
+
+@_query
+def regex_baseline(spark, sf_dir):
+    """Figures found by wording."""
+    return tx.baseline_facts(_filing_texts(spark, sf_dir))
+
+
+@_query
+def html_text(spark, sf_dir):
+    """Visible text of pages, and the window that a statement would be in."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", tx.html_to_text("html").alias("text"))
+    return pages.select("page_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length(tx.financial_window("text")).alias("window_chars"))
+
+
+def _replies(spark, sf_dir) -> DataFrame:
+    o = _table(spark, sf_dir, "orders")
+    item = F.concat(F.lit('{"concept": "revenue.total", "value": "'), F.floor("o_totalprice").cast("long").cast("string"), F.lit('", "scale": "thousands", "fiscal_year": 2020, "snippet": "s"}'))
+    other = F.lit('{"concept": "no.such", "value": "1", "fiscal_year": 2020}')
+    k = F.col("o_orderkey") % 4
+    reply = (
+        F.when(k == 0, F.concat(F.lit("```json\n["), item, F.lit("]\n```"))).when(k == 1, F.concat(F.lit("Here: ["), item, F.lit(", "), other, F.lit("] done")))
+        .when(k == 2, F.concat(F.lit("["), item, F.lit(', {"concept": "cogs.to'))).otherwise("no figures")
+    )
+    return o.select(F.col("o_orderkey").cast("string").alias("request_key"), reply.alias("response"))
+
+
+@_query
+def json_reply_salvage(spark, sf_dir):
+    """Facts of replies, fenced, in prose, or truncated."""
+    return tx.reply_facts(_replies(spark, sf_dir), concepts(spark)).select("request_key", "concept", "value", "reported_scale", "fiscal_year", "quarantined")
+
+
+@_query
+def request_key_cache(spark, sf_dir):
+    """Requests that a response cache does not hold yet, by key."""
+    d = _table(spark, sf_dir, "conversations")
+    key = tx.request_key(F.lit("m"), F.lit("extract-v1"), F.lit("a1"), F.col("text"))
+    requests = d.select("conv_id", "turn", key.alias("request_key"))
+    responses = requests.filter("turn = 0").select("request_key", F.lit("r").alias("response")).distinct()
+    hits, _ = tx.cached(requests, responses)
+    return hits.select("conv_id", "turn", F.col("response").isNotNull().alias("hit"))
+
+
+@_query
+def rate_limit_admission(spark, sf_dir):
+    """Admission of events, at most two per user and rolling hour."""
+    return admission.admit(admission.calls_of(_table(spark, sf_dir, "events")), limit=2)
+
+
+@_query
+def order_line_tieout(spark, sf_dir):
+    """Order totals against their lines, summed in cents."""
+    lines = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.floor(F.col("l_extendedprice") * 100).cast("long")).alias("line_cents"), F.count("*").alias("n_lines"))
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", F.floor(F.col("o_totalprice") * 100).cast("long").alias("total_cents"))
+    out = o.join(lines, "o_orderkey", "left")
+    band = F.greatest(F.lit(100.0), 0.005 * F.abs("line_cents"))
+    status = F.when(F.col("line_cents").isNull(), "indeterminate").when(F.abs(F.col("total_cents") - F.col("line_cents")) <= band, "satisfied").otherwise("violated")
+    return out.select("o_orderkey", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), status.alias("status"))
+
+
+@_query
+def latest_filing(spark, sf_dir):
+    """Newest order of every customer, as filings are looked up."""
+    o = _table(spark, sf_dir, "orders")
+    last = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
+    return o.withColumn("n", last).filter("n = 1").select("o_custkey", "o_orderkey", F.year("o_orderdate").alias("fiscal_year"))

@@ -10,7 +10,8 @@ bucket for certain; a pair of similarity 0.85 misses every bucket with probabili
 
 1. every representative is confirmed, on full sets, against the leader (smallest id)
    that it shares most buckets with, and the links give components;
-2. only buckets that still hold several components are looked at again: members outside
+2. a few rounds join components that share a bucket through one confirmed pair each;
+3. only buckets that still hold several components are looked at again: members outside
    the bucket's largest component against all others of other components, within
    the signature-distance threshold and the ratio of sizes, and confirmed on full sets.
 
@@ -33,7 +34,9 @@ from .words import mix, window_hashes, word_hashes
 CHUNKS, SYMBOLS, LONGS = 9, 7, 16
 HASHES = CHUNKS * SYMBOLS
 #: Bits in which two signatures may differ: at similarity 0.85 the mean is 76 and the deviation 24.
-MAX_BITS = 210
+MAX_BITS = 190
+#: Rounds that join components through single pairs before all pairs between components are looked at.
+ROUNDS = 3
 #: Ids up to which the set of needed documents is broadcast: 8 bytes each.
 BROADCAST_IDS = 200_000
 _SIGNATURE = [f"s{k}" for k in range(LONGS)]
@@ -132,6 +135,25 @@ def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
     return sides.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _inside(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``key, rep, comp``: members with the component that they are in so far."""
+    return members.join(found, members["rep"] == found["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+
+
+def _merge(docs: DataFrame, pairs: DataFrame, found: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame | None:
+    """Components joined through those ``pairs`` (``a, b`` in components ``ca, cb``) that full sets confirm; None if there are none."""
+    bridges = _confirm(docs, pairs, width, percent).join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    bridges = scratch.keep(bridges.distinct(), "links")
+    if bridges.isEmpty():
+        return None
+    joined = connected_components(bridges, scratch)
+    joined = scratch.keep(joined.select(F.col("node").alias("component"), F.col("component").alias("top")), "components")
+    moved = found.join(joined, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    # Representatives without a link until now.
+    alone = joined.select(F.col("component").alias("node"), F.col("top").alias("component")).join(found, "node", "left_anti")
+    return scratch.keep(moved.union(alone), "merged")
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 85) -> DataFrame:
     """Components of documents whose shingle sets have ``100 * intersection >= percent * union``.
 
@@ -165,8 +187,21 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 85) -> Da
     linked = scratch.keep(_confirm(docs, scratch.keep(first, "pairs"), width, percent), "links")
     found = scratch.keep(connected_components(linked, scratch), "components")
 
-    inside = members.join(found, members["rep"] == found["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    inside = scratch.keep(inside, "inside")
+    # Components that share a bucket are joined through one pair each, nearest first, as long as that links any.
+    for _ in range(ROUNDS):
+        inside = scratch.keep(_inside(members, found), "inside")
+        groups = inside.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
+        major = groups.groupBy("key").agg(F.max_by(F.struct("comp", "rep"), F.struct("n", "comp")).alias("m"), F.count("*").alias("comps")).filter("comps > 1")
+        cross = groups.join(major, "key").filter(F.col("comp") != F.col("m.comp"))
+        cross = cross.select("rep", F.col("m.rep").alias("o_rep"), F.col("comp").alias("ca"), F.col("m.comp").alias("cb")).distinct()
+        cross = cross.join(sig, "rep").join(other, "o_rep").filter(near).groupBy("ca", "cb").agg(F.min_by(F.struct("rep", "o_rep"), bits).alias("p"))
+        cross = scratch.keep(cross.select(F.col("p.rep").alias("a"), F.col("p.o_rep").alias("b"), "ca", "cb"), "pairs")
+        merged = _merge(docs, cross, found, scratch, width, percent)
+        if merged is None:
+            break
+        found = merged
+
+    inside = scratch.keep(_inside(members, found), "inside")
     sizes = inside.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("major")).filter("comps > 1").select("key", "major")
     again = scratch.keep(inside.join(mixed, "key").join(sig, "rep"), "mixed")
@@ -179,15 +214,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 85) -> Da
         .distinct()
     )
     second = scratch.keep(second, "pairs")
-    bridges = _confirm(docs, second, width, percent).join(second, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    bridges = scratch.keep(bridges.distinct(), "links")
-    merged = found
-    if not bridges.isEmpty():
-        joined = scratch.keep(connected_components(bridges, scratch), "components")
-        joined = joined.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        merged = found.join(joined, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-        alone = joined.select(F.col("component").alias("node"), F.col("top").alias("component")).join(found, "node", "left_anti")
-        merged = scratch.keep(merged.union(alone), "merged")
+    merged = _merge(docs, second, found, scratch, width, percent)
+    merged = found if merged is None else merged
     classes = reps.select(*same, "rep").join(merged, F.col("rep") == F.col("node"), "left")
     classes = classes.select(*same, F.coalesce("component", "rep").alias("component_id"))
     out = sketch.select("doc_id", *same).join(classes, same, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

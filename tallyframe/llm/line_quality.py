@@ -5,7 +5,8 @@ its normalised lines (lower case, white space collapsed, the host in front).
 Lines are then counted per host over all documents. Copies must not make a line
 look like boilerplate, so what is counted is not rows but distinct *surroundings*
 of a line: the smallest hash among the document's other lines. Exact copies share
-it always, near copies mostly, and pages that only have a header in common never.
+it always, near copies mostly, and pages that have a header in common only where the
+header's lines hold the smallest hash, which is rare in pages with more lines of their own.
 A line is above the limits when it has at least ``min_documents`` surroundings in
 its host and these are more than ``max_share`` of the host's documents. Such
 lines are removed, and a document that loses more than ``max_removed`` of its

@@ -147,8 +147,8 @@ _VERIFY = f"""{_ANSWERS}, w AS (SELECT filing_id AS answer_id, CAST(1 + (cogs IS
   CASE WHEN value IS NULL OR cogs IS NULL THEN NULL ELSE {_small('value')} OR (abs(value) > 1.5 AND {_small('(value / 100)')}) END AS calc_ok FROM j)
 SELECT *, n_graded > 0 AND n_ok = n_graded AS retrieval_ok, n_graded > 0 AND n_ok = n_graded AND coalesce(calc_ok, true) AS trusted FROM w"""
 _GRADE = f"""{_ANSWERS}, g AS (SELECT 'model-' || (k % 3) AS model, filing_id AS question_id, {_money('value', '(trev - tcogs)')} AS final_ok, k % 2 = 0 AS judge_yes,
-  cogs IS NOT NULL AS both FROM j),
-grades AS (SELECT model, question_id, final_ok, judge_yes, (1.0 + both::INT * 1.0 + final_ok::INT * 2.0)::DOUBLE / 4 AS rubric FROM g)"""
+  cogs IS NOT NULL AS cited_all FROM j),
+grades AS (SELECT model, question_id, final_ok, judge_yes, (1.0 + cited_all::INT * 1.0 + final_ok::INT * 2.0)::DOUBLE / 4 AS rubric FROM g)"""
 
 
 def _rows(values: list[tuple], names: str) -> str:

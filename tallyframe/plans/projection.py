@@ -24,11 +24,11 @@ bal AS (SELECT c_nationkey AS n, CAST(sum(CAST(floor(abs(c_acctbal)) AS bigint))
 inc AS (SELECT n, y, total, cogs, CASE WHEN (n + y) % 9 = 4 THEN CAST(floor(total * 1.07E0) AS bigint) ELSE total END AS rev FROM tot),
 truth AS (
   SELECT n, y, 1 AS ord, 'revenue.total' AS concept, 'duration' AS period_type, rev AS v, CAST(NULL AS varchar(32)) AS seg FROM inc
-  UNION ALL SELECT n, y, 10 + CAST(length(seg) AS int), 'revenue.segment', 'duration', sv, seg FROM segs WHERE n % 10 <> 7
+  UNION ALL SELECT n, y, 10 + CAST(ascii(seg) AS int) - 65, 'revenue.segment', 'duration', sv, seg FROM segs WHERE n % 10 <> 7
   UNION ALL SELECT n, y, 30, 'cogs.total', 'duration', cogs, NULL FROM inc
   UNION ALL SELECT n, y, 31, 'gross_profit.total', 'duration', rev - cogs, NULL FROM inc WHERE n % 4 <> 2
   UNION ALL SELECT n, y, 32, 'operating_income.total', 'duration', CAST(floor((total - cogs) * 0.5E0) AS bigint), NULL FROM inc
-  UNION ALL SELECT n, y, 40 + CAST(length(seg) AS int), 'operating_income.segment', 'duration', CAST(floor(sv * 0.15E0) AS bigint), seg FROM segs WHERE n % 3 = 1
+  UNION ALL SELECT n, y, 40 + CAST(ascii(seg) AS int) - 65, 'operating_income.segment', 'duration', CAST(floor(sv * 0.15E0) AS bigint), seg FROM segs WHERE n % 3 = 1
   UNION ALL SELECT n, y, 60, 'pretax_income.total', 'duration', CAST(floor((total - cogs) * 0.45E0) AS bigint), NULL FROM inc
   UNION ALL SELECT n, y, 61, 'income_tax.total', 'duration', CAST(floor((total - cogs) * 0.1E0) AS bigint), NULL FROM inc
   UNION ALL SELECT n, y, 62, 'net_income.parent', 'duration', CAST(floor((total - cogs) * 0.35E0) AS bigint) + CASE WHEN n % 5 = 3 THEN 1500000 ELSE 0 END, NULL FROM inc
@@ -81,7 +81,7 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
         return out if rule is None else F.when(rule, out)
 
     def by_segment(first, concept, rule, value):
-        each = F.transform("segs", lambda s: row(first + F.length(s["seg"]), concept, value(s["sv"]), None, s["seg"]))
+        each = F.transform("segs", lambda s: row(first + F.ascii(s["seg"]) - 65, concept, value(s["sv"]), None, s["seg"]))
         return F.when(rule, each).otherwise(F.slice(each, 1, 0))
 
     g, liabilities = F.col("g"), _floor(a * 0.6)

@@ -16,6 +16,11 @@ bucket for certain; a pair of similarity 0.85 misses every bucket with probabili
    the signature-distance threshold and the ratio of sizes, and confirmed on full sets.
 
 Every pair that meets in a bucket is so either confirmed, refuted, or already connected.
+
+Most pairs are refuted before any text is read, and exactly: an odd sketch holds, for each of
+512 classes of shingle hashes, whether the set has an odd number of them. Two sketches differ in no more
+places than the sets have shingles of their own, and sets of n and m shingles are similar enough only
+with ``(100 + percent) * own <= (100 - percent) * (n + m)``. No pair that full sets confirm is lost to it.
 """
 
 from __future__ import annotations
@@ -40,6 +45,10 @@ ROUNDS = 3
 #: Ids up to which the set of needed documents is broadcast: 8 bytes each.
 BROADCAST_IDS = 200_000
 _SIGNATURE = [f"s{k}" for k in range(LONGS)]
+#: Classes of the odd sketch, as a power of two, and the longs that hold it.
+ODD_BITS = 9
+ODD_LONGS = 2**ODD_BITS // 64
+_ODD = [f"o{k}" for k in range(ODD_LONGS)]
 _RNG = np.random.default_rng(20_240_517)
 _MULTIPLY = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -69,6 +78,14 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of longs each: the parity of every class of a set's hashes. Distinct elements are assumed."""
+    rows = np.repeat(np.arange(len(sets)) << ODD_BITS, [len(s) for s in sets])
+    classes = (np.concatenate(sets) >> np.uint64(64 - ODD_BITS)).astype(np.int64)
+    counts = np.bincount(rows + classes, minlength=len(sets) << ODD_BITS)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(len(sets), -1), axis=1).view("<i8")
+
+
 def bucket_keys(symbols: np.ndarray) -> np.ndarray:
     """Keys of every chunk with each symbol left out."""
     with np.errstate(over="ignore"):
@@ -78,7 +95,7 @@ def bucket_keys(symbols: np.ndarray) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles``, a 128-bit digest of the set and the signature as 16 longs."""
+    """``doc_id, n_shingles``, a 128-bit digest of the set, the signature and the odd sketch as longs."""
 
     def run(batches):
         for b in slices(batches):
@@ -86,15 +103,19 @@ def _sketch(docs: DataFrame, width: int) -> DataFrame:
                 sets = [shingles(t or "", width) for t in b.column(1).to_pylist()]
             digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             symbols = np.zeros((len(sets), LONGS * 4), "<u2")
+            odd = np.zeros((len(sets), ODD_LONGS), "<i8")
             full = [i for i, s in enumerate(sets) if len(s)]
             if full:
+                odd[full] = odd_sketches([sets[i] for i in full])
                 symbols[full, :HASHES] = signatures([sets[i] for i in full])
             longs = symbols.view("<i8")
             columns = [b.column(0), pa.array([len(s) for s in sets], pa.int64())]
             columns += [pa.array([(d >> at & 2**64 - 1) - 2**63 for d in digests], pa.int64()) for at in (0, 64)]
-            yield pa.record_batch([*columns, *[pa.array(longs[:, k], pa.int64()) for k in range(LONGS)]], ["doc_id", "n_shingles", "d0", "d1", *_SIGNATURE])
+            columns += [pa.array(np.ascontiguousarray(c), pa.int64()) for c in (*longs.T, *odd.T)]
+            yield pa.record_batch(columns, names)
 
-    schema = "doc_id bigint, n_shingles bigint, d0 bigint, d1 bigint, " + ", ".join(f"{c} bigint" for c in _SIGNATURE)
+    names = ["doc_id", "n_shingles", "d0", "d1", *_SIGNATURE, *_ODD]
+    schema = ", ".join(f"{c} bigint" for c in names)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -167,7 +188,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 85) -> Da
     docs = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
     sketch = scratch.keep(_sketch(docs, width), "sketch")
     same = ["n_shingles", "d0", "d1"]
-    reps = sketch.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in _SIGNATURE])
+    reps = sketch.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in (*_SIGNATURE, *_ODD)])
     reps = scratch.keep(reps, "reps")
     # Different sets this small cannot be similar enough: k shared of k + 1 at best.
     least = percent // (100 - percent) + 1
@@ -175,11 +196,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 85) -> Da
     shared = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("key", "lead")
     members = scratch.keep(keys.join(shared, "key"), "members")
 
-    sig = reps.select("rep", "n_shingles", *_SIGNATURE)
+    sig = reps.select("rep", "n_shingles", *_SIGNATURE, *_ODD)
     other = sig.select(*[F.col(c).alias(f"o_{c}") for c in sig.columns])
-    bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}"))) for c in _SIGNATURE), F.lit(0))
+    bits, odd = (sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}"))) for c in longs), F.lit(0)) for longs in (_SIGNATURE, _ODD))
     small, large = F.least("n_shingles", "o_n_shingles"), F.greatest("n_shingles", "o_n_shingles")
-    near = (bits <= MAX_BITS) & (100 * small >= percent * large)
+    possible = (100 + percent) * odd <= (100 - percent) * (small + large)
+    near = (100 * small >= percent * large) & possible & (bits <= MAX_BITS)
 
     lead = members.filter("rep <> lead").groupBy("rep", "lead").agg(F.count("*").alias("n"))
     lead = lead.groupBy("rep").agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("o_rep"))

@@ -35,6 +35,16 @@ def test_near_duplicates(spark):
     assert near_duplicates.near_duplicates(empty(docs)).collect() == []
 
 
+def test_odd_sketch_never_exceeds_the_difference():
+    sets = [near_duplicates.shingles(t) for t in near_copies()]
+    sketches = near_duplicates.odd_sketches(sets)
+    for a, x in zip(sets, sketches, strict=True):
+        for b, y in zip(sets, sketches, strict=True):
+            apart = sum(int(v).bit_count() for v in (x ^ y).view("<u8"))
+            own = len(set(a.tolist()) ^ set(b.tolist()))
+            assert apart <= own and (apart - own) % 2 == 0
+
+
 def test_chain_of_copies(spark):
     words = [f"v{k}" for k in range(100)]
     texts = []

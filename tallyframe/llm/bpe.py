@@ -312,6 +312,10 @@ def codec(name: str, pattern: str | None = None) -> Codec:
     return Codec(tokens, byte_ids, PairTable(*map(list, zip(*rows, strict=True))), pattern, special)
 
 
+#: What a worker keeps between tasks.
+CACHES = [codec]
+
+
 @contextlib.contextmanager
 def uncollected():
     """No cycle collection meanwhile: millions of strings and tuples are made, and no cycles."""
@@ -344,8 +348,13 @@ def pieces_of(word: str, pattern: regex.Pattern) -> list[str]:
     return pattern.findall(word)
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut into a few rows each, so that Python strings of one slice exist at a time."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, *, codecs: bool = False) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into a few rows each, so that Python strings of one slice exist at a time.
+
+    Workers outlive stages: one that needs no ``codecs`` lets go of those that a stage before it left, with all they remember.
+    """
+    for kept in () if codecs else CACHES:
+        kept.cache_clear()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -360,7 +369,7 @@ def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", *, id_col
 
     def run(batches):
         tok = codec(vocabulary)
-        for b in slices(batches):
+        for b in slices(batches, codecs=True):
             yield pa.record_batch([b.column(0), pa.array(list(tok.encode_all(b.column(1).to_pylist())), pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, ids binary")
@@ -371,7 +380,7 @@ def decode(tokens: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> Data
 
     def run(batches):
         tok = codec(vocabulary)
-        for b in slices(batches):
+        for b in slices(batches, codecs=True):
             data = [tok.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(data, pa.binary())], ["doc_id", "data"])
 
@@ -387,7 +396,7 @@ def round_trip_digest(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken"
 
     def run(batches):
         tok = codec(vocabulary)
-        for b in slices(batches):
+        for b in slices(batches, codecs=True):
             counts, encoded, decoded = [], [], []
             for raw in tok.encode_all(b.column(1).to_pylist()):
                 ids = np.frombuffer(raw, "<u4").tolist()

@@ -89,6 +89,9 @@ def counter(vocabulary: str) -> Counter:
     return Counter(bpe.codec(vocabulary))
 
 
+bpe.CACHES.append(counter)
+
+
 def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = 512, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every whole text.
 
@@ -99,7 +102,7 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
 
     def run(batches):
         count = counter(vocabulary).count
-        for b in bpe.slices(batches, 128):
+        for b in bpe.slices(batches, 128, codecs=True):
             texts = [t or "" for t in b.column(1).to_pylist()]
             n: list[int] = []
             at = 0

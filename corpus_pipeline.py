@@ -14,6 +14,8 @@ from tallyframe.llm.scratch import Scratch
 
 #: Ids up to which the set of rejected documents is broadcast: 8 bytes each.
 BROADCAST_IDS = 300_000
+#: Words that a packing worker remembers: fewer than by default, as the stages before leave less memory.
+REMEMBER = 100_000
 
 
 def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
@@ -40,7 +42,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, packed into training sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, remember=REMEMBER)
 
 
 STAGES = [("quality rules", quality), ("toxicity", clean), ("near-duplicates", distinct), ("packing", pack)]

@@ -116,6 +116,7 @@ class Codec:
         self.decimal = [str(i) for i in range(len(tokens))]
         self.pattern = _compile(pattern)
         self._special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+        self.remember = MEMO
         self._memo: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
@@ -218,7 +219,7 @@ class Codec:
     # ---- texts ---------------------------------------------------------
     def _learn(self, words: Iterable[str]) -> None:
         """Put the ids of words (each with the space before it) into the memo."""
-        if len(self._memo) > MEMO:
+        if len(self._memo) > self.remember:
             self._old, self._memo = self._memo, {}
         memo, old = self._memo, self._old
         missing = []

@@ -27,11 +27,12 @@ from .scratch import Scratch
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int, separator: int) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, capacity: int, separator: int, remember: int = bpe.MEMO) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32``."""
 
     def run(batches: Iterable[pa.RecordBatch]):
         tok, end = bpe.codec(vocabulary), separator.to_bytes(4, "little")
+        tok.remember = remember
         for b in bpe.slices(batches, codecs=True):
             out: list[list[int]] = [[], [], [], [], []]
             for doc, raw in zip(b.column(0).to_pylist(), tok.encode_all(b.column(1).to_pylist()), strict=True):
@@ -128,17 +129,19 @@ def pack(
     separator: int = 0,
     group_rows: int = 20_000,
     exchange_rows: int = 200_000,
+    remember: int = bpe.MEMO,
 ) -> DataFrame:
     """Pack the documents: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     Null and empty texts are one separator each. Repeated rows are packed once each.
     Columns besides ``doc_id`` and ``text`` are not read. An empty table gives no rows.
     ``group_rows`` bounds what one task packs; ``exchange_rows`` is the size from which the
-    exchange is dealt to groups again instead of being packed as one.
+    exchange is dealt to groups again instead of being packed as one. ``remember`` bounds the words
+    a worker keeps the ids of, in two generations at about 160 bytes each; results don't depend on it.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
-    cut = scratch.keep(pieces(docs, vocabulary, capacity, separator), "pieces")
+    cut = scratch.keep(pieces(docs, vocabulary, capacity, separator, remember), "pieces")
     full = F.col("length") == capacity
     schema = PIECES + ", sequence_id bigint, offset bigint"
     # A full piece is a sequence by itself; its id needs no agreement with any other.

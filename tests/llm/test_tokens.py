@@ -47,6 +47,12 @@ def test_memo_generations(monkeypatch):
         assert np.frombuffer(next(tok.encode_all([text])), "<u4").tolist() == TIK.encode_ordinary(text)
 
 
+def test_workers_let_go_of_codecs():
+    first = bpe.codec("byte_bpe_50k.tiktoken")
+    assert list(bpe.slices([], codecs=True)) == [] and bpe.codec("byte_bpe_50k.tiktoken") is first
+    assert list(bpe.slices([])) == [] and bpe.codec("byte_bpe_50k.tiktoken") is not first
+
+
 def test_digest_query(spark):
     docs = odd_docs(spark)
     got = bpe.round_trip_digest(docs).collect()
@@ -109,6 +115,8 @@ def test_packing(spark):
         # Groups of 40 pieces are far below any real size; they may leave a gap each.
         assert n <= -(-int(lengths.sum()) // 64) + (2 if group_rows == 20_000 else 5)
     assert packing.pack(empty(docs)).collect() == []
+    cut = lambda n: {(r.doc_id, r.piece, r.ids_crc32) for r in packing.pieces(docs, "byte_bpe_50k.json", 64, 0, n).collect()}
+    assert cut(3) == cut(bpe.MEMO)
 
 
 def test_lower_bound_is_a_bound():

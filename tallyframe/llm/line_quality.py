@@ -3,12 +3,10 @@
 One pass over the texts takes, per document, the base figures and the hashes of
 its normalised lines (lower case, white space collapsed, the host in front).
 Lines are then counted per host over all documents. Copies must not make a line
-look like boilerplate, so what is counted is not rows but distinct *surroundings*
-of a line: the smallest hash among the document's other lines. Exact copies share
-it always, near copies mostly, and pages that have a header in common only where the
-header's lines hold the smallest hash, which is rare in pages with more lines of their own.
-A line is above the limits when it has at least ``min_documents`` surroundings in
-its host and these are more than ``max_share`` of the host's documents. Such
+look like boilerplate, so what is counted is not rows but distinct documents: those with the
+same set of normalised lines, known by a 128-bit digest of it, count once.
+A line is above the limits when at least ``min_documents`` distinct documents of its host hold
+it and these are more than ``max_share`` of the host's distinct documents. Such
 lines are removed, and a document that loses more than ``max_removed`` of its
 words is depleted and rejected.
 """
@@ -29,7 +27,7 @@ from .words import window_hashes, word_hashes
 BROADCAST_ROWS = 100_000
 _SYMBOLS = "#*$%&|<>"
 _BLANK = " \t\n\x0b\x0c\r"
-STATS = "doc_id bigint, host string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, low bigint, low2 bigint, line array<bigint>, line_words array<int>"
+STATS = "doc_id bigint, host string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, d0 bigint, d1 bigint, line array<bigint>, line_words array<int>"
 
 
 def repeated_words(words: list[bytes], width: int = 3) -> int:
@@ -54,7 +52,7 @@ def normalise_line(line: str) -> str:
 
 
 def text_figures(text: str, host: str) -> tuple:
-    """Base figures, the two smallest line hashes, line hashes and their words in the text."""
+    """Base figures, the digest of the set of lines, line hashes and their words in the text."""
     words = text.encode().split()
     seen: set[str] = set()
     lines: dict[int, int] = {}
@@ -67,15 +65,15 @@ def text_figures(text: str, host: str) -> tuple:
         seen.add(line)
         h = xxhash.xxh3_64_intdigest(f"{host}\n{normalise_line(line)}".encode()) - 2**63
         lines[h] = lines.get(h, 0) + len(line.encode().split())
-    low = sorted(lines)[:2] + [None, None]
+    digest = xxhash.xxh3_128_intdigest(np.sort(np.fromiter(lines, np.int64, len(lines))).tobytes())
     return (
         len(words),
         len(text) - sum(map(text.count, _BLANK)),
         sum(map(text.count, _SYMBOLS)),
         dup,
         repeated_words(words),
-        low[0],
-        low[1],
+        (digest >> 64) - 2**63,
+        (digest & 2**64 - 1) - 2**63,
         list(lines),
         list(lines.values()),
     )
@@ -85,7 +83,7 @@ def figures(docs: DataFrame, host_col: str) -> DataFrame:
     """One row of figures and line hashes per document."""
 
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), *[(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "low", "low2")], ("line", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int32()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), *[(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "d0", "d1")], ("line", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int32()))])
         for b in slices(batches):
             with uncollected():
                 hosts = [h or "" for h in b.column(2).to_pylist()]
@@ -119,19 +117,18 @@ def line_quality(
     """
     scratch = Scratch(docs.sparkSession, "lines")
     stats = scratch.keep(figures(docs, host_col).withColumn("uid", F.monotonically_increasing_id()), "figures")
-    each = stats.select("uid", "host", "low", "low2", F.inline(F.arrays_zip("line", "line_words")))
-    # Rows are an upper bound on surroundings: only lines in enough rows need the finer count.
+    each = stats.select("uid", "host", "d0", "d1", F.inline(F.arrays_zip("line", "line_words")))
+    # Rows are an upper bound on distinct documents: only lines in enough rows need the finer count.
     often = scratch.keep(each.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_documents).select("line"), "often")
     n_often = often.count()
-    other = F.coalesce(F.when(F.col("line") == F.col("low"), F.col("low2")).otherwise(F.col("low")), F.lit(0))
     counted = (
         each.join(_small(often, n_often), "line")
-        .select("line", "host", other.alias("around"))
+        .select("line", "host", "d0", "d1")
         .distinct()
         .groupBy("line", "host")
         .agg(F.count("*").alias("n"))
     )
-    hosts = stats.groupBy("host").agg(F.count("*").alias("docs"))
+    hosts = stats.select("host", "d0", "d1").distinct().groupBy("host").agg(F.count("*").alias("docs"))
     above = counted.filter(F.col("n") >= min_documents).join(hosts, "host").filter(F.col("n") > max_share * F.col("docs")).select("line")
     above = scratch.keep(above, "above")
     removed = (

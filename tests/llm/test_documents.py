@@ -101,6 +101,18 @@ def test_copies_are_not_boilerplate(spark):
     assert all(r.kept for r in line_quality.line_quality(docs, min_documents=5).collect())
 
 
+def test_template_lines_do_not_hide_each_other(spark):
+    shared = [" ".join(f"t{k}w{j}" for j in range(4)) for k in range(40)]
+    texts = ["\n".join([*shared, " ".join(f"o{i}x{j}" for j in range(20))]) for i in range(60)]
+    rng = random.Random(6)
+    stubs = ["\n".join(x) for x in {tuple(sorted(rng.sample(shared[:16], 14))) for _ in range(100)}]
+    rows = [(t, "full") for t in texts] + [(t, "stubs") for t in stubs] + [(stubs[0], "stubs")] * 500
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in line_quality.line_quality(docs).collect()}
+    assert all(got[i].n_removed_words == 160 for i in range(60))
+    assert all(got[i].n_removed_words == got[i].n_words == 56 and not got[i].kept for i in range(60, len(rows)))
+
+
 def brute_segments(scores):
     """Maximal segments by the recursive definition."""
     best = None

@@ -25,8 +25,8 @@ def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Of rows that share an id, all go if one is rejected."""
-    return _without(docs, line_quality.line_quality(docs).filter("NOT kept"), "quality")
+    """Documents that the quality rules keep, without their lines above the limits. Every row is judged for itself."""
+    return line_quality.frequent_lines_removed(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ same set of normalised lines, known by a 128-bit digest of it, count once.
 A line is above the limits when at least ``min_documents`` distinct documents of its host hold
 it and these are more than ``max_share`` of the host's distinct documents. Such
 lines are removed, and a document that loses more than ``max_removed`` of its
-words is depleted and rejected.
+words is depleted and rejected. :func:`line_quality` gives the verdicts,
+:func:`frequent_lines_removed` the kept documents without those lines.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices, uncollected
@@ -27,7 +28,7 @@ from .words import window_hashes, word_hashes
 BROADCAST_ROWS = 100_000
 _SYMBOLS = "#*$%&|<>"
 _BLANK = " \t\n\x0b\x0c\r"
-STATS = "doc_id bigint, host string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, d0 bigint, d1 bigint, line array<bigint>, line_words array<int>"
+STATS = "doc_id bigint, host string, key bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, d0 bigint, d1 bigint, line array<bigint>, line_words array<int>"
 
 
 def repeated_words(words: list[bytes], width: int = 3) -> int:
@@ -51,6 +52,11 @@ def normalise_line(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def line_hash(line: str, host: str) -> int:
+    """Hash of the normalised line within its host."""
+    return xxhash.xxh3_64_intdigest(f"{host}\n{normalise_line(line)}".encode()) - 2**63
+
+
 def text_figures(text: str, host: str) -> tuple:
     """Base figures, the digest of the set of lines, line hashes and their words in the text."""
     words = text.encode().split()
@@ -63,7 +69,7 @@ def text_figures(text: str, host: str) -> tuple:
         if line in seen:
             dup += 1
         seen.add(line)
-        h = xxhash.xxh3_64_intdigest(f"{host}\n{normalise_line(line)}".encode()) - 2**63
+        h = line_hash(line, host)
         lines[h] = lines.get(h, 0) + len(line.encode().split())
     digest = xxhash.xxh3_128_intdigest(np.sort(np.fromiter(lines, np.int64, len(lines))).tobytes())
     return (
@@ -79,27 +85,33 @@ def text_figures(text: str, host: str) -> tuple:
     )
 
 
+def _key(docs: DataFrame, host_col: str) -> Column:
+    """What a verdict depends on, text and host, as one hash: with ``doc_id`` it finds the row again."""
+    return F.xxhash64(docs["text"], docs[host_col].cast("string")).alias("key")
+
+
 def figures(docs: DataFrame, host_col: str) -> DataFrame:
     """One row of figures and line hashes per document."""
 
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), *[(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "d0", "d1")], ("line", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int32()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("key", pa.int64()), *[(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "d0", "d1")], ("line", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int32()))])
         for b in slices(batches):
             with uncollected():
                 hosts = [h or "" for h in b.column(2).to_pylist()]
                 rows = [text_figures(t or "", h) for t, h in zip(b.column(1).to_pylist(), hosts, strict=True)]
-            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[2:], strict=True)]
-            yield pa.record_batch([b.column(0), pa.array(hosts, pa.string()), *columns], schema=schema)
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[3:], strict=True)]
+            yield pa.record_batch([b.column(0), pa.array(hosts, pa.string()), b.column(3), *columns], schema=schema)
 
-    return docs.select("doc_id", "text", F.col(host_col).cast("string").alias("host")).mapInArrow(run, STATS)
+    return docs.select("doc_id", "text", F.col(host_col).cast("string").alias("host"), _key(docs, host_col)).mapInArrow(run, STATS)
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def line_quality(
+def _judged(
     docs: DataFrame,
+    scratch: Scratch,
     *,
     host_col: str = "source",
     min_words: int = 50,
@@ -108,14 +120,7 @@ def line_quality(
     max_share: float = 0.05,
     max_removed: float = 0.8,
 ) -> DataFrame:
-    """Figures and verdict of every document.
-
-    Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    n_removed_words``. Null text counts as empty and fails the base rule; null hosts form a host of their
-    own. Repeated rows are judged and returned once each; extra columns are not read; an empty
-    table gives no rows.
-    """
-    scratch = Scratch(docs.sparkSession, "lines")
+    """Figures, verdict, key and the hashes of the lines above the limits (``gone``, null if none) of every document."""
     stats = scratch.keep(figures(docs, host_col).withColumn("uid", F.monotonically_increasing_id()), "figures")
     each = stats.select("uid", "host", "d0", "d1", F.inline(F.arrays_zip("line", "line_words")))
     # Rows are an upper bound on distinct documents: only lines in enough rows need the finer count.
@@ -135,18 +140,55 @@ def line_quality(
         each.select("uid", "line", "line_words")
         .join(_small(above, above.count()), "line")
         .groupBy("uid")
-        .agg(F.sum("line_words").alias("n_removed_words"))
+        .agg(F.sum("line_words").alias("n_removed_words"), F.collect_list("line").alias("gone"))
     )
     out = stats.drop("line", "line_words").join(removed, "uid", "left").na.fill(0, ["n_removed_words"])
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     depleted = F.col("n_removed_words") > max_removed * F.col("n_words")
-    return out.select(
+    return out.select("*", base.alias("base_failed"), (~base & ~depleted).alias("kept"))
+
+
+def line_quality(docs: DataFrame, **limits) -> DataFrame:
+    """Figures and verdict of every document; ``limits`` are those of :func:`_judged`.
+
+    Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
+    n_removed_words``. Null text counts as empty and fails the base rule; null hosts form a host of their
+    own. Repeated rows are judged and returned once each; extra columns are not read; an empty
+    table gives no rows.
+    """
+    return _judged(docs, Scratch(docs.sparkSession, "lines"), **limits).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), (~base & ~depleted).alias("kept"), "n_removed_words",
+        "base_failed", "kept", "n_removed_words",
     )
 
 
-def frequent_lines_removed(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents that the verdicts keep; a row of a repeated ``doc_id`` stays if any of its rows was kept."""
-    kept = verdicts.filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+def without_lines(text: str, host: str, gone: list[int]) -> str:
+    """The text without the lines of those hashes; blank lines stay."""
+    drop = set(gone)
+    return "\n".join(line for line in text.split("\n") if not line.strip(_BLANK) or line_hash(line, host) not in drop)
+
+
+def frequent_lines_removed(docs: DataFrame, *, host_col: str = "source", **limits) -> DataFrame:
+    """The kept rows, all their columns, with the lines above the limits taken out of ``text``.
+
+    Every row is judged for itself, also where rows share an id or have none; ``limits`` are those of
+    :func:`_judged`. Texts without such lines stay as they are.
+    """
+    scratch, columns = Scratch(docs.sparkSession, "cleaned"), docs.columns
+    judged = _judged(docs, scratch, host_col=host_col, **limits).filter(~F.col("kept") | F.col("gone").isNotNull())
+    # Rows of one id, text and host have one verdict. Rows that are kept whole need no mark.
+    marks = judged.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.first("kept").alias("_kept"), F.first("gone").alias("_gone"))
+    marks = scratch.keep(marks.withColumn("_gone", F.when(F.col("_kept"), F.col("_gone"))), "marks")
+    size = marks.agg(F.count("*") + F.coalesce(F.sum(F.greatest(F.size("_gone"), F.lit(0))), F.lit(0))).first()[0]
+    same = docs["doc_id"].eqNullSafe(marks["_id"]) & (_key(docs, host_col) == marks["_key"])
+    left = docs.join(_small(marks, size), same, "left").filter(F.coalesce("_kept", F.lit(True)))
+    at = columns.index("text")
+
+    def run(batches):
+        for b in slices(batches):
+            texts, hosts, gone = (b.column(k).to_pylist() for k in (at, -2, -1))
+            texts = [t if g is None else without_lines(t, h or "", g) for t, h, g in zip(texts, hosts, gone, strict=True)]
+            kept = [pa.array(texts, b.schema.field(at).type) if k == at else b.column(k) for k in range(len(columns))]
+            yield pa.record_batch(kept, columns)
+
+    return left.select(*[docs[c] for c in columns], docs[host_col].cast("string").alias("_host"), "_gone").mapInArrow(run, docs.schema)

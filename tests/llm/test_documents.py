@@ -113,6 +113,21 @@ def test_template_lines_do_not_hide_each_other(spark):
     assert all(got[i].n_removed_words == got[i].n_words == 56 and not got[i].kept for i in range(60, len(rows)))
 
 
+def test_frequent_lines_are_removed(spark):
+    shared = ["Terms and  notices of this site", "contact us any time"]
+    own = ["\n".join(" ".join(f"r{i}s{k}t{j}" for j in range(15)) for k in range(5)) for i in range(40)]
+    texts = [f"{shared[0].upper()}\n{o}\n\n{shared[1]}" for o in own]
+    whole = "\n".join([" ".join(f"z{j}" for j in range(80)), shared[0]])
+    rows = [(i, t, "h", i) for i, t in enumerate(texts)] + [(90, whole, "other", 0), (90, texts[0], "h", 1), (90, shared[0], "h", 2), (None, texts[1], "h", 3), (None, None, "h", 4), (92, whole, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _row long")
+    want = [(i, f"{o}\n", "h", i) for i, o in enumerate(own)] + [(90, whole, "other", 0), (90, own[0] + "\n", "h", 1), (None, own[1] + "\n", "h", 3), (92, whole, None, 5)]
+    got = line_quality.frequent_lines_removed(docs)
+    assert got.schema == docs.schema and sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    stage = dict(corpus_pipeline.STAGES)["quality rules"](spark, docs, SF)
+    assert sorted(map(tuple, stage.collect()), key=repr) == sorted(want, key=repr)
+    assert line_quality.frequent_lines_removed(empty(docs)).collect() == []
+
+
 def brute_segments(scores):
     """Maximal segments by the recursive definition."""
     best = None

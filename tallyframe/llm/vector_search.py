@@ -1,12 +1,15 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking.
 
-Coarse centroids and residual codebooks are fitted on a bounded sample; every
-vector is indexed. A list is cut into blocks of bounded size, so a third of all
-vectors in one list is many tasks. A query visits the lists whose centroids have the
-largest inner product with it, scores a block's codes through its table of
-distances (asymmetric: the query is not quantised), and reranks the block's best by
-the exact inner product. The number of lists visited and the reranking depth are the
-smallest that reach the wanted recall on held-back sample queries against brute force.
+Centroids come in two levels, fitted on a bounded sample: cells of about a block of vectors each, and lists within
+a cell, whose number grows with the square root of the table; residuals to a list's centroid are product-quantised.
+Every vector is indexed. A cell is cut into blocks of bounded size, so a third of all vectors in one cell is many
+tasks. A query goes to the cells that hold one of the lists of largest inner product with it, once to each
+block; there it skips the lists it does not visit, scores the codes of the others through its table of inner
+products (asymmetric: the query is not quantised), and reranks the best of them by the exact inner product. Blocks and
+queries meet in one sorted stream: a task holds one block and a slice of queries, however many queries there are.
+
+The number of lists visited and the reranking depth are the smallest that reach the wanted recall on sample
+queries that the fit did not see. Both are conservative for the whole table: in a denser table the nearest lie closer.
 """
 
 from __future__ import annotations
@@ -15,29 +18,30 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: Vectors in one block of a list.
-BLOCK_ROWS = 4096
+#: Vectors in one block of a cell, about.
+BLOCK_ROWS = 8192
+#: Queries that are scored at a time.
+QUERY_ROWS = 256
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     """Lloyd's algorithm; empty cells take points far from their centre."""
-    k = min(k, len(x))
+    k = max(1, min(k, len(x)))
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
         d = (centres**2).sum(1) - 2 * x @ centres.T
         at = d.argmin(1)
         n = np.bincount(at, minlength=k)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, at, x)
+        order = np.argsort(at, kind="stable")
         filled = n > 0
-        centres[filled] = sums[filled] / n[filled, None]
+        starts = (np.cumsum(n) - n)[filled]
+        centres[filled] = np.add.reduceat(x[order], starts, axis=0) / n[filled, None]
         if not filled.all():
             centres[~filled] = x[np.argsort(-d[np.arange(len(x)), at])[: int((~filled).sum())]]
     return centres
@@ -45,96 +49,187 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 
 @dataclass
 class Index:
-    """Coarse centroids, residual codebooks (one per part of the vector) and the search widths."""
+    """Cells, lists with the cell each lies in (ordered by cell), residual codebooks, one per part of the vector, the search widths and, once known, how many vectors each list holds."""
 
-    centres: np.ndarray
+    cells: np.ndarray
+    lists: np.ndarray
+    cell_of: np.ndarray
     books: list[np.ndarray]
     probes: int = 1
     depth: int = 100
+    sizes: np.ndarray | None = None
 
     @property
     def parts(self) -> list[slice]:
         """The dimensions of each codebook."""
-        out, at = [], 0
-        for book in self.books:
-            out.append(slice(at, at + book.shape[1]))
-            at += book.shape[1]
-        return out
+        at = np.cumsum([0, *[b.shape[1] for b in self.books]]).tolist()
+        return [slice(a, b) for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def assign(self, x: np.ndarray) -> np.ndarray:
-        """Nearest centroid of each vector."""
-        return ((self.centres**2).sum(1) - 2 * x @ self.centres.T).argmin(1)
+        """List of each vector: the nearest within the nearest cell."""
+        cell = ((self.cells**2).sum(1) - 2 * x @ self.cells.T).argmin(1)
+        out = np.empty(len(x), np.int64)
+        first = np.searchsorted(self.cell_of, np.arange(len(self.cells) + 1))
+        for c in np.unique(cell).tolist():
+            mine, own = np.flatnonzero(cell == c), self.lists[first[c] : first[c + 1]]
+            out[mine] = first[c] + ((own**2).sum(1) - 2 * x[mine] @ own.T).argmin(1)
+        return out
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
         """Codes of the residuals."""
-        rest = x - self.centres[lists]
+        rest = x - self.lists[lists]
         codes = np.empty((len(x), len(self.books)), np.uint8)
         for m, (book, dims) in enumerate(zip(self.books, self.parts, strict=True)):
             codes[:, m] = ((book**2).sum(1) - 2 * rest[:, dims] @ book.T).argmin(1)
         return codes
 
-    def visited(self, q: np.ndarray) -> np.ndarray:
-        """Lists that each query visits."""
-        near = -(q @ self.centres.T)
-        return np.argsort(near, axis=1, kind="stable")[:, : self.probes]
+    def cut(self, q: np.ndarray, k: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Inner products of queries with all lists, and the least one of a list that a query visits, so that it meets over ``k`` vectors if there are any."""
+        near = q @ self.lists.T
+        least = -np.partition(-near, self.probes - 1, axis=1)[:, self.probes - 1]
+        if self.sizes is not None:
+            for r in np.flatnonzero((near >= least[:, None]) @ self.sizes <= k).tolist():
+                order = np.argsort(-near[r], kind="stable")
+                least[r] = near[r, order[min(np.searchsorted(np.cumsum(self.sizes[order]), k, "right"), len(order) - 1)]]
+        return near, least
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """Inner products of each part of a query with that part's codewords."""
-        out = np.zeros((len(self.books), 256))
-        for m, (book, dims) in enumerate(zip(self.books, self.parts, strict=True)):
-            out[m, : len(book)] = book @ q[dims]
+    def rough(self, q: np.ndarray, near: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Scores of coded vectors by each query's table, on top of ``near`` of their lists; a column per query, so that a look-up copies a row."""
+        out = near[lists]
+        tables = [np.ascontiguousarray(book @ q[:, dims].T) for book, dims in zip(self.books, self.parts, strict=True)]
+        for at in range(0, len(lists), 1024):
+            some, own = out[at : at + 1024], codes[at : at + 1024]
+            for m, table in enumerate(tables):
+                some += table[own[:, m]]
         return out
 
-    def search_block(self, q: np.ndarray, ids: np.ndarray, codes: np.ndarray, x: np.ndarray, centre: np.ndarray, k: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and exact scores of the block's best ``k``; rows of a block are in order of their ids."""
-        table = self.tables(q)
-        rough = table[np.arange(len(self.books)), codes].sum(1) + centre @ q
-        best = np.argsort(-rough, kind="stable")[: self.depth + 1]
-        best = best[ids[best] != own]
-        exact = x[best] @ q
-        order = np.lexsort((ids[best], -exact))[:k]
-        return ids[best][order], exact[order]
-
 
-def fit(sample: np.ndarray, total: int, *, parts: int = 16, recall: float = 0.97, k: int = 20, seed: int = 7) -> Index:
-    """Fit on the sample, and widen the search until held-back queries reach ``recall``."""
+def fit(sample: np.ndarray, total: int, *, parts: int = 16, recall: float = 0.95, k: int = 20, tests: int = 200, seed: int = 7) -> Index:
+    """Fit on the sample's different vectors but for held-back queries, and widen the search until these reach ``recall``."""
     rng = np.random.default_rng(seed)
+    sample = np.unique(np.asarray(sample, np.float32), axis=0)
+    held = rng.permutation(len(sample))[: min(tests, len(sample) // 5)]
+    x = np.delete(sample, held, axis=0)
     dims = sample.shape[1]
-    cells = int(min(1024, max(1, round(math.sqrt(total))), max(1, len(sample) // 8)))
-    index = Index(kmeans(sample, cells, rng), [])
-    lists = index.assign(sample)
-    rest = sample - index.centres[lists]
+    cells = kmeans(x, min(-(-total // BLOCK_ROWS), max(1, len(x) // 64)), rng)
+    each = max(1, round(8 * math.sqrt(total) / len(cells)))
+    at = ((cells**2).sum(1) - 2 * x @ cells.T).argmin(1)
+    inside = [x[at == c] for c in range(len(cells))]
+    lists = [kmeans(p, min(each, max(1, len(p) // 4)), rng, 6) if len(p) else cells[c : c + 1] for c, p in enumerate(inside)]
+    index = Index(cells, np.concatenate(lists), np.repeat(np.arange(len(cells)), [len(p) for p in lists]), [])
+    at = index.assign(x)
+    rest = x - index.lists[at]
     edges = np.linspace(0, dims, min(parts, dims) + 1).astype(int)
-    index.books = [kmeans(rest[:, a:b], 256, rng, 6) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    codes = index.encode(sample, lists)
-    tests = sample[rng.choice(len(sample), min(100, len(sample)), replace=False)]
-    exact = tests @ sample.T
-    want = np.argsort(-exact, axis=1)[:, : k + 1]
-    index.probes = cells
-    order = index.visited(tests)
-    place = np.empty((len(tests), cells), int)
-    np.put_along_axis(place, order, np.broadcast_to(np.arange(cells), order.shape), axis=1)
-    reach = np.sort(np.take_along_axis(place, lists[want], axis=1).ravel())
-    index.probes = min(cells, int(reach[min(len(reach) - 1, math.ceil(recall * len(reach)))]) + 1 + cells // 32)
-    # How deep among a list's rough scores the wanted ones lie, so that reranking still sees them.
-    deep = []
-    for q, hits in zip(tests[:50], want[:50], strict=True):
-        rough = index.tables(q)[np.arange(len(index.books)), codes].sum(1) + index.centres[lists] @ q
-        for h in hits:
-            deep.append(int(((lists == lists[h]) & (rough > rough[h])).sum()))
-    share = total / max(len(sample), 1)
-    index.depth = int(max(3 * k, np.quantile(deep, 0.995) * max(1.0, share) + k))
+    index.books = [kmeans(rest[:20_000, a:b], 256, rng, 6) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    index.probes = len(index.lists)
+    if not len(held):
+        index.depth = max(100, len(sample))
+        return index
+    codes, q = index.encode(x, at), sample[held]
+    want = np.argsort(-(q @ x.T), axis=1)[:, : min(k, len(x))]
+    near, _ = index.cut(q)
+    place = np.empty(near.shape, int)
+    np.put_along_axis(place, np.argsort(-near, axis=1, kind="stable"), np.broadcast_to(np.arange(near.shape[1]), near.shape), axis=1)
+    reach = np.sort(np.take_along_axis(place, at[want], axis=1).ravel())
+    index.probes = min(len(index.lists), int(reach[math.ceil(recall * len(reach)) - 1]) + 1)
+    # How many of a block's vectors score above a wanted one by their codes, so that reranking still sees it.
+    rough = index.rough(q, near.T, at, codes).T
+    cell = index.cell_of[at]
+    in_cell = np.bincount(cell, minlength=len(cells))
+    deep = [int(((cell == cell[h]) & (rough[r] > rough[r, h])).sum()) * min(1.0, BLOCK_ROWS / in_cell[cell[h]]) for r in range(len(q)) for h in want[r]]
+    index.depth = int(max(3 * k, np.quantile(deep, 0.99) * 1.25 + k))
     return index
 
 
+@dataclass
+class Block:
+    """The vectors of one block in order of their ids. Of equal vectors only the ``k + 1`` smallest ids can be among anyone's nearest."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    lists: np.ndarray
+    codes: np.ndarray
+
+    @staticmethod
+    def of(index: Index, ids: np.ndarray, x: np.ndarray, lists: np.ndarray, codes: np.ndarray, k: int) -> Block:
+        """Copies beyond the ``k + 1`` smallest ids left out."""
+        rows = np.ascontiguousarray(x + 0.0).view([("", x.dtype)] * x.shape[1]).ravel()
+        order = np.lexsort((ids, np.unique(rows, return_inverse=True)[1].ravel()))
+        same = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
+        nth = np.arange(len(ids)) - np.repeat(first, np.diff([*first, len(ids)]))
+        keep = order[nth <= k]
+        keep = keep[np.argsort(ids[keep], kind="stable")]
+        return Block(ids[keep], x[keep], lists[keep], codes[keep])
+
+    def search(self, index: Index, own: np.ndarray, q: np.ndarray, cut: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of queries, ids and exact scores of each query's best ``k`` here."""
+        q32 = q.astype(np.float32)
+        here, place = np.unique(self.lists, return_inverse=True)
+        near = index.lists[here] @ q32.T
+        near[near < cut.astype(np.float32) - 1e-5] = -np.inf
+        seen = np.flatnonzero((near > -np.inf).any(axis=1)[place])
+        if not len(seen):
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        rough = index.rough(q32, near, place[seen], self.codes[seen])
+        at = np.searchsorted(self.ids[seen], own).clip(max=len(seen) - 1)
+        rough[at, np.arange(len(own))] = np.where(self.ids[seen][at] == own, -np.inf, rough[at, np.arange(len(own))])
+        rough = np.ascontiguousarray(rough.T)
+        depth = min(index.depth, rough.shape[1])
+        least = -np.partition(-rough, depth - 1, axis=1)[:, depth - 1]
+        rows, at = np.nonzero((rough >= least[:, None]) & (rough > -np.inf))
+        at = seen[at]
+        exact = np.einsum("ij,ij->i", self.x[at], q[rows])
+        order = np.lexsort((self.ids[at], -exact, rows))
+        rows, at, exact = rows[order], at[order], exact[order]
+        nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        best = nth < k
+        return rows[best], self.ids[at[best]], exact[best]
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``vec_id, embedding array<double>`` of finite non-zero vectors of the commonest length, each id once."""
+    """``vec_id, embedding array<double>`` of finite non-zero vectors of the commonest length, each id once: its lexicographically smallest vector."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     df = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("embedding"))
     df = df.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0))
     sizes = df.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
-    return df.filter(F.size("embedding") == (sizes.dims if sizes else -1)).dropDuplicates(["vec_id"])
+    return df.filter(F.size("embedding") == (sizes.dims if sizes else -1)).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _meet(index: Index, k: int):
+    """Searches a stream sorted by cell, block and kind (a block's vectors before its queries)."""
+
+    def run(batches):
+        key, parts, block = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            where = np.column_stack([b.column(c).to_numpy() for c in range(3)])
+            edges = [0, *(np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1).tolist(), len(where)]
+            for a, z in zip(edges[:-1], edges[1:], strict=True):
+                if key != (now := tuple(where[a, :2].tolist())):
+                    key, parts, block = now, [], None
+                run_ = b.slice(a, z - a)
+                if where[a, 2] == 0:
+                    codes = np.frombuffer(b"".join(run_.column(6).to_pylist()), np.uint8).reshape(z - a, -1)
+                    parts.append((run_.column(3).to_numpy(), _matrix(run_.column(4)), run_.column(5).to_numpy(), codes))
+                    continue
+                if not parts and block is None:
+                    continue
+                if block is None:
+                    block, parts = Block.of(index, *map(np.concatenate, zip(*parts, strict=True)), k), []
+                for at in range(0, z - a, QUERY_ROWS):
+                    some = run_.slice(at, QUERY_ROWS)
+                    own = some.column(3).to_numpy()
+                    rows, ids, scores = block.search(index, own, _matrix(some.column(4)), some.column(7).to_numpy(), k)
+                    yield pa.record_batch([pa.array(own[rows]), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
+
+    return run
 
 
 def nearest(
@@ -142,64 +237,59 @@ def nearest(
     *,
     every: int = 20,
     k: int = 20,
-    sample_rows: int = 10_000,
+    sample_rows: int = 30_000,
+    recall: float = 0.95,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
     """The ``k`` vectors of largest inner product for every row whose id is divisible by ``every``.
 
-    Returns ``query_id, rank, vec_id, score``, ties to the smaller id. Null, zero and non-finite vectors
-    and such of another length than most take no part; an id that repeats counts once. At most
-    ``sample_rows`` vectors, those of the smallest id hashes, are collected to fit the index. An empty
-    table gives no rows; fewer candidates than ``k`` are all returned.
+    Returns ``query_id, rank, vec_id, score``, ties to the smaller id. Null ids, null, zero and non-finite vectors
+    and such of another length than most (no inner product is defined for them) take no part; of rows that share an id the
+    lexicographically smallest vector counts. At most ``sample_rows`` vectors, those of the smallest id hashes, are
+    collected to fit the index, which bounds the number of lists at a quarter of that. Vectors of any length are
+    read whole. Extra columns are not read. An empty table gives no rows; fewer candidates than ``k`` are all returned.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "nearest")
     base = scratch.keep(usable(vectors, id_col, vector_col), "vectors")
     total = base.count()
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
     if not total:
-        return spark.createDataFrame([], schema)
-    rows = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()
-    index = fit(np.array([r.embedding for r in rows]), total, k=k)
-
-    def matrix(column: pa.Array) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    picked = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select(F.transform("embedding", lambda v: v.cast("float")).alias("v"))
+    index = fit(_matrix(picked.toArrow()["v"].combine_chunks()), total, k=k, recall=recall)
 
     def put(batches):
         for b in batches:
-            x = matrix(b.column(1))
+            x = _matrix(b.column(1)).astype(np.float32)
             lists = index.assign(x)
             codes = index.encode(x, lists)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(lists, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "embedding", "list", "code"])
+            yield pa.record_batch(
+                [pa.array(index.cell_of[lists], pa.int32()), b.column(0), b.column(1), pa.array(lists, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())],
+                ["cell", "id", "vec", "list", "code"],
+            )
 
     def ask(batches):
         for b in batches:
-            lists = index.visited(matrix(b.column(1)))
-            at = np.repeat(np.arange(len(lists)), lists.shape[1])
-            yield pa.record_batch([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(lists.ravel(), pa.int32())], ["query_id", "query", "list"])
-
-    indexed = scratch.keep(base.mapInArrow(put, "vec_id bigint, embedding array<double>, list int, code binary"), "index")
-    # Bounded by the number of lists, 1024 at most.
-    blocks = indexed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    indexed = indexed.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
-    asked = base.filter(F.col("vec_id") % every == 0).mapInArrow(ask, "query_id bigint, query array<double>, list int")
-    asked = asked.join(F.broadcast(blocks), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(left) and len(right):
-            left = left.sort_values("vec_id")
-            ids = left["vec_id"].to_numpy()
-            codes = np.frombuffer(b"".join(left["code"]), np.uint8).reshape(len(left), -1)
-            x, centre = np.stack(left["embedding"].to_numpy()), index.centres[int(left["list"].iloc[0])]
-            for own, q in zip(right["query_id"], right["query"], strict=True):
-                found, score = index.search_block(np.asarray(q), ids, codes, x, centre, k, own)
-                out["query_id"].append(np.full(len(found), own))
-                out["vec_id"].append(found)
-                out["score"].append(score)
-        return pd.DataFrame({c: np.concatenate(v) if v else np.array([], float if c == "score" else np.int64) for c, v in out.items()})
-
-    found = indexed.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInPandas(search, "query_id bigint, vec_id bigint, score double")
+            for at in range(0, b.num_rows, QUERY_ROWS):
+                some = b.slice(at, QUERY_ROWS)
+                near, cut = index.cut(_matrix(some.column(1)).astype(np.float32), k)
+                first = np.searchsorted(index.cell_of, np.arange(len(index.cells)))
+                rows, cells = np.nonzero(np.maximum.reduceat(near, first, axis=1) >= cut[:, None])
+                pick = pa.array(rows)
+                yield pa.record_batch([pa.array(cells, pa.int32()), some.column(0).take(pick), some.column(1).take(pick), pa.array(cut[rows].astype(float))], ["cell", "id", "vec", "cut"])
+
+    indexed = scratch.keep(base.mapInArrow(put, "cell int, id bigint, vec array<double>, list int, code binary"), "index")
+    # A number per list, a quarter of the sample at most.
+    held = indexed.groupBy("list").agg(F.count("*").alias("n")).toPandas()
+    index.sizes = np.bincount(held["list"], held["n"], len(index.lists))
+    # Bounded by the number of cells, a sixty-fourth of the sample at most.
+    blocks = F.broadcast(indexed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
+    stored = indexed.join(blocks, "cell").select("cell", block, F.lit(0).alias("kind"), "id", "vec", "list", "code", F.lit(0.0).alias("cut"))
+    asked = base.filter(F.col("vec_id") % every == 0).mapInArrow(ask, "cell int, id bigint, vec array<double>, cut double").join(blocks, "cell")
+    asked = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "id", "vec", F.lit(0).alias("list"), F.lit(None).cast("binary").alias("code"), "cut")
+    stream = stored.unionByName(asked).repartition("cell", "block").sortWithinPartitions("cell", "block", "kind", "id")
+    found = stream.mapInArrow(_meet(index, k), "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

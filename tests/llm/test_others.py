@@ -4,32 +4,58 @@ import json
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 
 from tallyframe.llm import chat_format, html_extract, vector_search
 
 from .helpers import SF, empty
 
 
-def test_recall(spark):
-    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    rows = table.collect()
+def clustered(path, n=50_000, dims=32):
+    """Vectors around 400 centres, a third of them one and the same vector."""
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(400, dims))
+    x = (centres[rng.integers(0, 400, n)] + 0.25 * rng.normal(size=(n, dims))).astype("f4")
+    x[: n // 3] = x[0]
+    ids = rng.permutation(n)
+    pq.write_table(pa.table({"vec_id": ids, "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), dims).cast(pa.list_(pa.float32()))}), path)
+    return x
+
+
+def test_lists_prune_where_vectors_cluster(tmp_path):
+    x = clustered(f"{tmp_path}/v.parquet").astype("f4")
+    index = vector_search.fit(x[::5], len(x))
+    near, cut = index.cut(x[-500:])
+    assert (near >= cut[:, None])[:, index.assign(x[len(x) // 3 :])].mean() < 0.1
+
+
+@pytest.mark.parametrize("name", ["sf0.1", "clustered"])
+def test_recall(spark, tmp_path, name):
+    if name == "clustered":
+        clustered(f"{tmp_path}/v.parquet")
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet" if name == "sf0.1" else f"{tmp_path}/v.parquet")
+    rows = table.select("vec_id", "embedding").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
     got = {}
     for r in vector_search.nearest(table).collect():
         got.setdefault(r.query_id, []).append(r)
-        assert abs(r.score - x[ids == r.query_id][0] @ x[ids == r.vec_id][0]) < 1e-12
+    at = {int(i): k for k, i in enumerate(ids)}
+    assert all(abs(r.score - x[at[r.query_id]] @ x[at[r.vec_id]]) < 1e-12 * len(x) for rs in got.values() for r in rs)
     hit = 0
-    for q in ids[ids % 20 == 0]:
+    asked = ids[ids % 20 == 0]
+    for q in asked if len(asked) < 300 else asked[::10]:
         score = x @ x[ids == q][0]
         score[ids == q] = -np.inf
         hit += len({r.vec_id for r in got[q]} & set(ids[np.lexsort((ids, -score))[:20]]))
         assert [r.rank for r in sorted(got[q], key=lambda r: r.rank)] == list(range(1, 21))
-    assert hit / (20 * len(got)) >= 0.9
+    assert hit / (20 * (len(got) if len(got) < 300 else len(asked[::10]))) >= 0.9
     assert set(got) == set(ids[ids % 20 == 0])
 
 
 def test_odd_vectors(spark):
-    rows = [(0, [1.0, 0.0], 0), (1, None, 0), (2, [0.0, 0.0], 0), (3, [float("nan"), 1.0], 0), (4, [None, 1.0], 0), (5, [1.0, 0.0], 0), (6, [1.0, 0.0], 0), (7, [1.0, 2.0, 3.0], 0), (None, [1.0, 1.0], 0), (20, [0.5, 0.5], 0), (20, [0.5, 0.5], 0)]
+    rows = [(0, [1.0, 0.0], 0), (1, None, 0), (2, [0.0, 0.0], 0), (3, [float("nan"), 1.0], 0), (4, [None, 1.0], 0), (5, [1.0, 0.0], 0), (6, [1.0, 0.0], 0), (7, [1.0, 2.0, 3.0], 0), (None, [1.0, 1.0], 0), (20, [0.5, 0.5], 0), (20, [0.5, 0.75], 0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in vector_search.nearest(table).collect())
     assert got == [(0, 1, 5, 1.0), (0, 2, 6, 1.0), (0, 3, 20, 0.5), (20, 1, 0, 0.5), (20, 2, 5, 0.5), (20, 3, 6, 0.5)]

@@ -1,6 +1,7 @@
 """Vector search, HTML extraction and chat formatting against plain implementations."""
 
 import json
+import random
 import re
 
 import numpy as np
@@ -86,12 +87,74 @@ def test_wrapper_takes_constant_blocks(spark):
     assert html_extract.extract(empty(table)).collect() == []
 
 
-def test_tree_matching():
-    t = html_extract.tree_of(["b>p", "b>p", "b>p"], [1, 2, 3])
-    u = html_extract.tree_of(["b>p", "b>p"], [1, 3])
-    pairs = []
-    html_extract.match(t, u, pairs)
-    assert sorted(pairs) == [(1, 1), (3, 3)]
+def tree(source):
+    page = html_extract.read(source)
+    return html_extract.Tree(page.labels, page.parents, page.nodes, page.sigs)
+
+
+def stories(rng, n, words=25):
+    return [" ".join(f"{rng.choice('abcdefgh')}{rng.randint(0, 9999)}" for _ in range(words)) for _ in range(n)]
+
+
+def test_induction_without_any_marks(spark):
+    """Pages whose template only the alignment can tell: sections with boxes of their own, a large template, near copies, a host of two pages."""
+    rng = random.Random(8)
+    side = [f"<div class=z{s}>" + "".join(f"<p>{t}</p>" for t in stories(rng, 3, 5)) + "</div>" for s in range(4)]
+    head, tail = stories(rng, 9, 4), stories(rng, 6, 30)
+    lay = lambda s, body: "<body><div class=q><p>" + "</p><p>".join(head) + f"</p></div>{side[s]}<div class=w><div>" + "".join(f"<p>{t}</p>" for t in body) + "</div></div><div class=r><p>" + "</p><p>".join(tail) + "</p></div></body>"
+    own = [stories(rng, rng.randint(2, 4)) for _ in range(240)]
+    quote = own[0][0]
+    own[1][1] = own[2][1] = quote  # a passage in three articles
+    rows = [(i, "http://big.example/a", lay(0 if i % 2 else 1 + i // 2 % 3, body)) for i, body in enumerate(own)]
+    near = [[own[7][0], own[7][1].replace(" ", f" x{k} ", 1), *own[7][2:]] for k in range(100)]
+    rows += [(1000 + k, "http://big.example/b", lay(0, body)) for k, body in enumerate(near)]
+    two = [stories(rng, 3), stories(rng, 3)]
+    rows += [(2000 + k, "http://two.example/", lay(1, body)) for k, body in enumerate(two)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: "\n\n".join(b) for k, bodies in ((0, own), (1000, near), (2000, two)) for i, b in enumerate(bodies, k)}
+    assert got == want
+
+
+def test_deep_and_long_pages(spark):
+    deep = "<div>" * 30_000 + "end" + "</b>" * 30_000
+    long_ = "".join(f"<p>paragraph {k}" for k in range(8000))
+    rows = [(1, "http://d.example/", deep), (2, "http://d.example/", long_), (3, "http://d.example/", deep + "<p>more here"), (4, "http://d.example/", "<p>new words first" + long_.replace("7", "seven"))]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "end" and got[3] == "end\n\nmore here"
+    # Two pages alone on a host: what they share is template, in the right order whatever stands between.
+    sevens = [f"paragraph {k}" for k in range(8000) if "7" in str(k)]
+    assert got[2].split("\n\n") == sevens and got[4].split("\n\n") == ["new words first", *[x.replace("7", "seven") for x in sevens]]
+
+
+def test_names_do_not_hide_the_article():
+    page = html_extract.read("<div class='sidebar widget'><p>out<article><h1>Title</h1>body<div class=comments><article>reply</article></div><div class='no-comments'>in</div></article></div><div class='layout has-sidebar'>out too</div>")
+    assert page.texts == ["Title", "body", "in"]
+    assert html_extract.read("<section class='social-policy'><p>kept</section><div id=sidebar>x</div>").texts == ["kept"]
+
+
+def brute_matching(w):
+    """Best total over all order-preserving matchings."""
+    if not len(w) or not len(w[0]):
+        return 0
+    return max(brute_matching(w[1:]), max((w[0][j] + brute_matching([r[j + 1 :] for r in w[1:]]) for j in range(len(w[0])) if w[0][j]), default=0))
+
+
+def test_tree_matching(monkeypatch):
+    t, u = tree("<p>1</p><p>2</p><p>3</p>"), tree("<p>1</p><p>3</p>")
+    same = [(x, y) for x, y in html_extract.Matcher(t, u).pairs() if x in t.sig and t.sig[x] == u.sig[y]]
+    assert len(same) == 2
+    # Containers of one label pair by what is in them, not by their places.
+    t, u = tree("<div><p>a<p>b</div><div><ul><li>c<li>d</ul></div>"), tree("<div><ul><li>c<li>e</ul></div>")
+    pairs = html_extract.Matcher(t, u).pairs()
+    assert sum(t.sig.get(x) == u.sig.get(y) for x, y in pairs if x in t.sig) == 1
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        w = rng.integers(0, 4, (rng.integers(1, 7), rng.integers(1, 7)))
+        for cells in (4, 10**6):
+            monkeypatch.setattr(html_extract, "CELLS", cells)
+            got = html_extract.ordered_matching(*w.shape, lambda i, w=w: w[i].astype(float))
+            assert all(a < c and b < d for (a, b), (c, d) in zip(got, got[1:], strict=False))
+            assert sum(w[i, j] for i, j in got) == brute_matching(w.tolist())
 
 
 def test_chat(spark):

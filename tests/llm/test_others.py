@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from tallyframe.llm import chat_format, html_extract, vector_search
+from tallyframe.llm import chat_format, html_extract, queries, vector_search
 
 from .helpers import SF, empty
 
@@ -185,3 +185,91 @@ def test_chat(spark):
     assert got[2, 0].level is None
     assert json.loads(got[None, 1].message)["content"] == 'quote " and \n'
     assert chat_format.format_chats(empty(table)).collect() == []
+
+
+def brute_chat(rows, schemas):
+    """Every message of small conversations by the definitions, one at a time."""
+    parsed = [(c, t, role, *chat_format.parse(text)) for c, t, role, text in rows]
+    least = lambda found: min(found) if found else None
+    out = []
+    for conv, turn, role, content, calls, answers, _ in parsed:
+        mine = [p for p in parsed if p[0] == conv]
+        ids = {c["id"] for p in mine for c in p[4]} - {None}
+        needs = {i: {m for p in mine for c in p[4] if c["id"] == i for m in c["mentions"]} & ids for i in ids}
+
+        def level(i, trail=()):
+            if i in trail:
+                return None
+            inner = [level(m, (*trail, i)) for m in needs[i]]
+            return None if None in inner else max(inner, default=-1) + 1
+
+        declared = {}
+        for p in sorted(mine, key=lambda p: p[1]):
+            for tool in p[6]:
+                declared.setdefault(tool["name"], json.loads(tool["schema"]))
+        told = []
+        for at, c in enumerate(calls):
+            rule = declared.get(c["name"], schemas.get(c["name"]))
+            valid = False if not c["proper"] else None if rule is None else chat_format.validate(json.loads(c["arguments"]), rule)
+            lv = None if c["id"] is None else level(c["id"])
+            answered = c["id"] is not None and any(p[5] == c["id"] for p in mine)
+            told.append((lv is None, lv or 0, at, {"id": c["id"], "name": c["name"], "arguments": json.loads(c["arguments"]), "valid": valid, "level": lv, "answered": answered}))
+        told = [x[-1] for x in sorted(told, key=lambda x: x[:3])]
+        call_turn = least([p[1] for p in mine for c in p[4] if answers is not None and c["id"] == answers])
+        levels = [c["level"] for c in told if c["id"] is not None]
+        if levels:
+            place = None if None in levels else 2 * max(levels)
+        else:
+            place = 0 if call_turn is None else None if level(answers) is None else 2 * level(answers) + 1
+        message = chat_format.canonical({"answers": answers, "calls": told, "content": content, "role": role, "turn": turn})
+        out.append((conv, turn, role, len(calls), sum(c["answered"] for c in told), sum(c["valid"] is False for c in told), call_turn, place, message))
+    return sorted(out, key=repr)
+
+
+def tool_chats(rng, n):
+    """Conversations with declared tools, chains, cycles, repeated and missing identifiers, both forms of calls."""
+    rows = []
+    for conv in [None, *range(n)]:
+        rows.append((conv, 0, "system", json.dumps({"tools": [{"name": "add", "parameters": {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer"}}}}, {"type": "function", "function": {"name": "find", "parameters": {"properties": {"q": {"minLength": 2}}}}}]})))
+        names = [f"c{k}" for k in range(6)]
+        for turn in range(1, 9):
+            kind = rng.random()
+            if kind < 0.5:
+                calls = []
+                for _ in range(rng.randint(1, 3)):
+                    call = {"name": rng.choice(["add", "find", "other", None]), "arguments": {"a": rng.choice([1, "x", rng.choice(names)]), "q": [rng.choice(["", "long", rng.choice(names)])]}}
+                    if rng.random() < 0.3:
+                        call = {"type": "function", "function": {**call, "arguments": json.dumps(call["arguments"])}}
+                    calls.append({"id": rng.choice([*names, None, 7]), **call})
+                rows.append((conv, turn, "assistant", json.dumps({"content": None, "tool_calls": rng.choice([calls, calls, [*calls, "odd"]])})))
+            elif kind < 0.8:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": rng.choice([*names, "nobody"]), "content": {"b": [1, {"z": None}], "a": "é"}})))
+            else:
+                rows.append((conv, turn, None, rng.choice([None, "", "plain", '{"x": 1}', "{broken"])))
+    return rows
+
+
+@pytest.mark.parametrize("edges", [200_000, 2])
+def test_chat_equals_brute_force(spark, monkeypatch, edges):
+    monkeypatch.setattr(chat_format, "EDGES", edges)
+    rows, schemas = tool_chats(random.Random(5), 12), {"other": {"required": ["zz"]}}
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(map(tuple, chat_format.format_chats(table, schemas).collect()), key=repr)
+    assert got == brute_chat(rows, schemas)
+    assert {r[7] for r in got} >= {None, 0, 1, 2, 3, 4} and any(r[5] for r in got)
+
+
+def test_chat_query_declares_its_tools(spark, tmp_path):
+    rows = tool_chats(random.Random(9), 6)
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted(map(tuple, queries.QUERIES["op10_chat_format"](spark, str(tmp_path)).collect()), key=repr) == brute_chat(rows, {})
+
+
+def test_deep_and_chained_chats(spark):
+    deep = lambda n: json.dumps({"tool_calls": [{"id": "d", "name": "f", "arguments": 0}]}).replace("0", "[" * n + "]" * n)
+    chain = [(1, k, "assistant", json.dumps({"tool_calls": [{"id": f"k{k}", "name": "f", "arguments": {"from": f"k{k - 1}"}}]})) for k in range(1500)]
+    odd = json.dumps({"tool_call_id": "x", "content": "\ud800"})
+    rows = [(2, 0, "assistant", deep(1500)), (3, 0, "assistant", deep(300_000)), (4, 0, "tool", odd), *chain]
+    got = {(r.conv_id, r.turn): r for r in chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 1499].level == 2 * 1499 and got[2, 0].n_calls == 1 and len(got) == len(rows)
+    assert got[3, 0].message.count("[") >= 300_000 and json.loads(got[4, 0].message)["content"] == odd

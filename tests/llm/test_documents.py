@@ -1,6 +1,7 @@
 """Quality, toxicity, near-duplicates, licences and the pipeline against plain implementations."""
 
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -190,6 +191,51 @@ def test_licenses(spark):
     assert license_scan.scan(empty(docs)).collect() == []
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD3 = f"{BSD}\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+GNU = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General Public License as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version."
+FULL = {
+    MIT: "MIT", f"The MIT License (MIT)\n\nCopyright (c) 2020 Someone\n\n{MIT}": "MIT", BSD: "BSD-2-Clause", BSD3: "BSD-3-Clause", ISC: "ISC", APACHE: "Apache-2.0",
+    GNU.format("program", ":", "", ",", "3"): "GPL-3.0-or-later", GNU.format("program", ";", "", ";", "2"): "GPL-2.0-or-later",
+    GNU.format("program", ":", "Affero ", ",", "3"): "AGPL-3.0-or-later", GNU.format("library", ";", "Lesser ", ";", "2.1"): "LGPL-2.1-or-later",
+    "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991": "GPL-2.0-only", "   GNU LESSER GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nCopyright": "LGPL-3.0-only",
+    "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/": "Apache-2.0",
+}
+
+
+def test_license_texts_at_any_width(spark):
+    import duckdb
+
+    def wrapped(text, width, prefix):
+        parts = [line for part in text.split("\n\n") for line in [*[w for x in part.split("\n") for w in textwrap.wrap(x, width)], ""]]
+        return "\n".join(["Some file", "", *[(prefix + line).rstrip() for line in parts], "", "code follows"])
+
+    rows = [(wrapped(text, width, prefix), want) for text, want in FULL.items() for width in (60, 76, 5000) for prefix in ("", "# ", " * ", "// ", ";; ")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in license_scan.scan(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == [want for _, want in rows]
+    documents = docs.toPandas()  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = con.execute(license_scan.scan_sql()).fetchall()
+    assert sorted(map(tuple, license_scan.scan(docs).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_pipeline(spark):
     """Each stage against a plain version on its own input."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -1,19 +1,20 @@
 """Near-duplicate documents by a multi-index Hamming join of b-bit minhash signatures.
 
 A document is the set of its five-word shingles. Equal sets are first folded into
-one representative each. A representative's signature is 63 minimum hashes, 16 bits
-of each kept. The signature is split into 9 chunks of 7 symbols, and a chunk is
-indexed once with each symbol left out: by pigeonhole, two signatures that differ in
-fewer than 18 symbols agree in some chunk up to one symbol, so they meet in some
-bucket for certain; a pair of similarity 0.85 misses every bucket with probability
-1e-5. Pairs are never expanded within a bucket:
+one representative each. A representative's signature is about 63 minimum hashes, 16 bits
+of each kept. The signature is split into chunks of a few symbols, as many as the similarity asks for, and a
+chunk is indexed once with each symbol left out: by pigeonhole, two signatures whose distance, in
+symbols, is less than twice the number of chunks agree in some chunk up to one symbol, so they meet in some
+bucket for certain; a pair just at the wanted similarity misses every bucket with probability under ``MISS``.
+Signatures only make pairs meet: no pair that meets is refuted by them. Pairs are never expanded within a bucket:
 
 1. every representative is confirmed, on full sets, against the leader (smallest id)
    that it shares most buckets with, and the links give components;
 2. a few rounds join components that share a bucket through one confirmed pair each;
 3. only buckets that still hold several components are looked at again: members outside
    the bucket's largest component against all others of other components, within
-   the signature-distance threshold and the ratio of sizes, and confirmed on full sets.
+   the ratio of sizes, and confirmed on full sets. Buckets with many members are dealt, in
+   squares, to many tasks.
 
 Every pair that meets in a bucket is so either confirmed, refuted, or already connected.
 
@@ -36,10 +37,12 @@ from .graph import connected_components
 from .scratch import Scratch
 from .words import mix, window_hashes, word_hashes
 
-CHUNKS, SYMBOLS, LONGS = 9, 7, 16
-HASHES = CHUNKS * SYMBOLS
-#: Bits in which two signatures may differ: at similarity 0.85 the mean is 76 and the deviation 24.
-MAX_BITS = 190
+#: Minimum hashes computed, as far as whole chunks go, and the longs that hold their 16-bit symbols.
+MOST_HASHES, LONGS = 63, 16
+#: Chance, at most, that a pair just at the wanted similarity meets in no bucket.
+MISS = 3e-5
+#: Members of a bucket in one side of a square.
+SQUARE = 2048
 #: Rounds that join components through single pairs before all pairs between components are looked at.
 ROUNDS = 3
 #: Ids up to which the set of needed documents is broadcast: 8 bytes each.
@@ -50,9 +53,20 @@ ODD_BITS = 9
 ODD_LONGS = 2**ODD_BITS // 64
 _ODD = [f"o{k}" for k in range(ODD_LONGS)]
 _RNG = np.random.default_rng(20_240_517)
-_MULTIPLY = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
-_PLACES = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLY = _RNG.integers(0, 2**63, MOST_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RNG.integers(0, 2**63, MOST_HASHES, dtype=np.uint64)
+_PLACES = _RNG.integers(0, 2**63, MOST_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def layout(percent: int) -> tuple[int, int]:
+    """Chunks and symbols in each: the longest chunks with which a pair at the similarity is missed seldom enough."""
+    same = percent / 100
+    for symbols in range(MOST_HASHES, 1, -1):
+        chunks = MOST_HASHES // symbols
+        meets = same**symbols + symbols * same ** (symbols - 1) * (1 - same)
+        if (1 - meets) ** chunks <= MISS:
+            return chunks, symbols
+    return MOST_HASHES // 2, 2
 
 
 def shingles(text: str, width: int = 5) -> np.ndarray:
@@ -70,9 +84,9 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """The 16-bit symbols of every non-empty set, one row each."""
     x = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((len(sets), HASHES), np.uint16)
+    out = np.empty((len(sets), MOST_HASHES), np.uint16)
     with np.errstate(over="ignore"):
-        for k in range(HASHES):
+        for k in range(MOST_HASHES):
             least = np.minimum.reduceat((x + _ADD[k]) * _MULTIPLY[k], starts)
             out[:, k] = (least >> np.uint64(12)) & np.uint64(0xFFFF)
     return out
@@ -86,12 +100,12 @@ def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8).reshape(len(sets), -1), axis=1).view("<i8")
 
 
-def bucket_keys(symbols: np.ndarray) -> np.ndarray:
+def bucket_keys(symbols: np.ndarray, chunks: int, size: int) -> np.ndarray:
     """Keys of every chunk with each symbol left out."""
     with np.errstate(over="ignore"):
-        parts = symbols.reshape(-1, CHUNKS, SYMBOLS).astype(np.uint64) * _PLACES
+        parts = symbols[:, : chunks * size].reshape(-1, chunks, size).astype(np.uint64) * _PLACES[:size]
         left_out = parts.sum(axis=2, keepdims=True, dtype=np.uint64) - parts
-        return mix(left_out.reshape(-1, HASHES) + np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return mix(left_out.reshape(-1, chunks * size) + np.arange(1, chunks * size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _sketch(docs: DataFrame, width: int) -> DataFrame:
@@ -107,7 +121,7 @@ def _sketch(docs: DataFrame, width: int) -> DataFrame:
             full = [i for i, s in enumerate(sets) if len(s)]
             if full:
                 odd[full] = odd_sketches([sets[i] for i in full])
-                symbols[full, :HASHES] = signatures([sets[i] for i in full])
+                symbols[full, :MOST_HASHES] = signatures([sets[i] for i in full])
             longs = symbols.view("<i8")
             columns = [b.column(0), pa.array([len(s) for s in sets], pa.int64())]
             columns += [pa.array([(d >> at & 2**64 - 1) - 2**63 for d in digests], pa.int64()) for at in (0, 64)]
@@ -119,14 +133,15 @@ def _sketch(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _index(reps: DataFrame) -> DataFrame:
+def _index(reps: DataFrame, percent: int) -> DataFrame:
     """``key, rep``: every representative under each of its bucket keys."""
+    chunks, size = layout(percent)
 
     def run(batches):
         for b in slices(batches, 2048):
             longs = np.column_stack([b.column(1 + k).to_numpy() for k in range(LONGS)]).astype("<i8")
-            keys = bucket_keys(np.ascontiguousarray(longs).view("<u2")[:, :HASHES])
-            ids = np.repeat(b.column(0).to_numpy(), HASHES)
+            keys = bucket_keys(np.ascontiguousarray(longs).view("<u2"), chunks, size)
+            ids = np.repeat(b.column(0).to_numpy(), keys.shape[1])
             yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], ["key", "rep"])
 
     return reps.select("rep", *_SIGNATURE).mapInArrow(run, "key bigint, rep bigint")
@@ -191,8 +206,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 85) -> Da
     reps = sketch.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in (*_SIGNATURE, *_ODD)])
     reps = scratch.keep(reps, "reps")
     # Different sets this small cannot be similar enough: k shared of k + 1 at best.
-    least = percent // (100 - percent) + 1
-    keys = _index(reps.filter(F.col("n_shingles") >= least))
+    least = -(-percent // (100 - percent))
+    keys = _index(reps.filter(F.col("n_shingles") >= least), percent)
     shared = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("key", "lead")
     members = scratch.keep(keys.join(shared, "key"), "members")
 
@@ -201,7 +216,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 85) -> Da
     bits, odd = (sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}"))) for c in longs), F.lit(0)) for longs in (_SIGNATURE, _ODD))
     small, large = F.least("n_shingles", "o_n_shingles"), F.greatest("n_shingles", "o_n_shingles")
     possible = (100 + percent) * odd <= (100 - percent) * (small + large)
-    near = (100 * small >= percent * large) & possible & (bits <= MAX_BITS)
+    near = (100 * small >= percent * large) & possible
 
     lead = members.filter("rep <> lead").groupBy("rep", "lead").agg(F.count("*").alias("n"))
     lead = lead.groupBy("rep").agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("o_rep"))
@@ -225,16 +240,20 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 85) -> Da
 
     inside = scratch.keep(_inside(members, found), "inside")
     sizes = inside.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("major")).filter("comps > 1").select("key", "major")
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("major"), F.ceil(F.sum("n") / SQUARE).cast("int").alias("parts"))
+    mixed = mixed.filter("comps > 1").select("key", "major", "parts")
     again = scratch.keep(inside.join(mixed, "key").join(sig, "rep"), "mixed")
-    all_ = again.select("key", *[F.col(c).alias(f"o_{c}") for c in ("rep", "comp", *sig.columns[1:])])
-    stray = again.filter("comp <> major")
+    # A bucket of many members is a square of parts, each of bounded size and met by itself.
+    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    all_ = again.select("key", part.alias("row"), every.alias("col"), *[F.col(c).alias(f"o_{c}") for c in ("rep", "comp", *sig.columns[1:])])
+    stray = again.filter("comp <> major").select("key", part.alias("col"), every.alias("row"), "rep", "comp", "major", *sig.columns[1:])
     once = (F.col("o_comp") == F.col("major")) | (F.col("rep") < F.col("o_rep"))
     second = (
-        stray.join(all_.hint("merge"), (stray["key"] == all_["key"]) & (F.col("comp") != F.col("o_comp")) & once & near)
+        stray.join(all_.hint("merge"), ["key", "row", "col"]).filter((F.col("comp") != F.col("o_comp")) & once & near)
         .select(F.col("rep").alias("a"), F.col("o_rep").alias("b"), F.col("comp").alias("ca"), F.col("o_comp").alias("cb"))
         .distinct()
-    )
+    )
     second = scratch.keep(second, "pairs")
     merged = _merge(docs, second, found, scratch, width, percent)
     merged = found if merged is None else merged

@@ -5,6 +5,8 @@ import textwrap
 import zlib
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from tallyframe.llm import license_scan, line_quality, near_duplicates, queries, toxicity
 
@@ -26,16 +28,36 @@ def near_copies(n=60, seed=2):
     return out
 
 
-def test_near_duplicates(spark):
-    docs = odd_docs(spark, near_copies())
-    want = components({r.doc_id: r.text for r in docs.collect()})
-    got = near_duplicates.near_duplicates(docs).collect()
+@pytest.mark.parametrize("percent", [85, 80, 60])
+def test_near_duplicates(spark, percent):
+    docs = odd_docs(spark, near_copies() + ["a b c d e f g h i", "b c d e f g h i"])  # five shingles of which four are shared: exactly 80 %
+    want = components({r.doc_id: r.text for r in docs.collect()}, percent=percent)
+    got = near_duplicates.near_duplicates(docs, percent=percent).collect()
     assert len(got) == docs.count()
     assert {r.doc_id: (r.component_id, r.n_shingles) for r in got} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
     assert near_duplicates.near_duplicates(empty(docs)).collect() == []
 
 
+def test_a_hot_bucket_is_dealt_in_squares(spark, monkeypatch):
+    """Many pages of one template, most of them not similar enough, meet in the same buckets."""
+    monkeypatch.setattr(near_duplicates, "SQUARE", 7)
+    rng = random.Random(11)
+    template = [f"t{k}" for k in range(60)]
+    texts = [" ".join([*template, *[f"o{rng.randint(0, 30)}" for _ in range(rng.choice([4, 8, 12]))]]) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in near_duplicates.near_duplicates(docs).collect()}
+    assert got == components(dict(enumerate(texts)))
+
+
+def test_chunks_miss_seldom():
+    for percent in (50, 70, 80, 85, 90):
+        chunks, size = near_duplicates.layout(percent)
+        same = percent / 100
+        assert (1 - same**size - size * same ** (size - 1) * (1 - same)) ** chunks <= near_duplicates.MISS
+    assert near_duplicates.layout(85) == (9, 7) and near_duplicates.layout(80) == (10, 6)
+
+
 def test_odd_sketch_never_exceeds_the_difference():
     sets = [near_duplicates.shingles(t) for t in near_copies()]
     sketches = near_duplicates.odd_sketches(sets)

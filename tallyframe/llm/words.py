@@ -5,10 +5,6 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Odd multipliers, one for each place in a window, derived from the golden ratio.
-_PLACE = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64) for k in range(64)]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the splitmix finaliser)."""
     with np.errstate(over="ignore"):
@@ -17,6 +13,11 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: Odd multipliers, one for each place in a window. They are scrambled: with evenly spaced ones, words that change places
+#: about the middle (a b c b a, b a c a b) would give the same sum.
+_PLACE = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))

@@ -1,7 +1,7 @@
 """Quality rules with cross-document line frequency.
 
 One pass over the texts takes, per document, the base figures and the hashes of
-its normalised lines (lower case, white space collapsed, the host in front).
+its normalised lines (A-Z in lower case, white space collapsed, the host in front).
 Lines are then counted per host over all documents. Copies must not make a line
 look like boilerplate, so what is counted is not rows but distinct documents: those with the
 same set of normalised lines, known by a 128-bit digest of it, count once.
@@ -47,14 +47,19 @@ def repeated_words(words: list[bytes], width: int = 3) -> int:
     return int(inside.sum())
 
 
-def normalise_line(line: str) -> str:
-    """Lower case, white space collapsed and trimmed."""
-    return " ".join(line.lower().split())
+def normalise_line(line: str) -> bytes:
+    """A-Z in lower case, white space collapsed and trimmed."""
+    return b" ".join(line.encode().lower().split())
+
+
+def host_key(host: str | None) -> str:
+    """A host's name as a key; rows without one form a host of their own, other than the empty name."""
+    return "" if host is None else "=" + host
 
 
 def line_hash(line: str, host: str) -> int:
-    """Hash of the normalised line within its host."""
-    return xxhash.xxh3_64_intdigest(f"{host}\n{normalise_line(line)}".encode()) - 2**63
+    """Hash of the normalised line within its host, given by its key."""
+    return xxhash.xxh3_64_intdigest(host.encode() + b"\n" + normalise_line(line)) - 2**63
 
 
 def text_figures(text: str, host: str) -> tuple:
@@ -97,7 +102,7 @@ def figures(docs: DataFrame, host_col: str) -> DataFrame:
         schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("key", pa.int64()), *[(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "d0", "d1")], ("line", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int32()))])
         for b in slices(batches):
             with uncollected():
-                hosts = [h or "" for h in b.column(2).to_pylist()]
+                hosts = [host_key(h) for h in b.column(2).to_pylist()]
                 rows = [text_figures(t or "", h) for t, h in zip(b.column(1).to_pylist(), hosts, strict=True)]
             columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[3:], strict=True)]
             yield pa.record_batch([b.column(0), pa.array(hosts, pa.string()), b.column(3), *columns], schema=schema)
@@ -153,7 +158,7 @@ def line_quality(docs: DataFrame, **limits) -> DataFrame:
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     n_removed_words``. Null text counts as empty and fails the base rule; null hosts form a host of their
-    own. Repeated rows are judged and returned once each; extra columns are not read; an empty
+    own. Texts of any length are read whole. Repeated rows are judged and returned once each; extra columns are not read; an empty
     table gives no rows.
     """
     return _judged(docs, Scratch(docs.sparkSession, "lines"), **limits).select(
@@ -187,8 +192,29 @@ def frequent_lines_removed(docs: DataFrame, *, host_col: str = "source", **limit
     def run(batches):
         for b in slices(batches):
             texts, hosts, gone = (b.column(k).to_pylist() for k in (at, -2, -1))
-            texts = [t if g is None else without_lines(t, h or "", g) for t, h, g in zip(texts, hosts, gone, strict=True)]
+            texts = [t if g is None else without_lines(t, host_key(h), g) for t, h, g in zip(texts, hosts, gone, strict=True)]
             kept = [pa.array(texts, b.schema.field(at).type) if k == at else b.column(k) for k in range(len(columns))]
             yield pa.record_batch(kept, columns)
 
     return left.select(*[docs[c] for c in columns], docs[host_col].cast("string").alias("_host"), "_gone").mapInArrow(run, docs.schema)
+
+
+def line_quality_sql() -> str:
+    """DuckDB SQL of :func:`line_quality` with its default limits."""
+    words = lambda c: f"regexp_extract_all({c}, '[^\\x20\\x09-\\x0D]+')"
+    lower = lambda c: f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, {words('t')} AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
+win AS (SELECT uid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT uid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+twice AS (SELECT uid, i FROM win QUALIFY count(*) OVER (PARTITION BY uid, k) > 1),
+rep AS (SELECT uid, count(DISTINCT i + o) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) x(o) GROUP BY uid),
+each AS (SELECT uid, host, array_to_string({words(lower('l'))}, ' ') AS line, len({words('l')}) AS n FROM (SELECT uid, host, unnest(lines) AS l FROM w)),
+ls AS (SELECT uid, host, line, CAST(sum(n) AS BIGINT) AS n FROM each GROUP BY ALL),
+sets AS (SELECT w.uid, w.host, coalesce(md5(string_agg(line, chr(10) ORDER BY line)), '') AS s FROM w LEFT JOIN ls ON w.uid = ls.uid GROUP BY ALL),
+hosts AS (SELECT host, count(DISTINCT s) AS docs FROM sets GROUP BY 1),
+above AS (SELECT ls.host, line FROM ls JOIN sets USING (uid) JOIN hosts ON hosts.host = ls.host GROUP BY ls.host, line, docs HAVING count(DISTINCT s) >= 20 AND count(DISTINCT s) > 0.05::DOUBLE * docs),
+gone AS (SELECT uid, CAST(sum(n) AS BIGINT) AS n FROM ls SEMI JOIN above USING (host, line) GROUP BY 1),
+f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_removed_words FROM w LEFT JOIN rep USING (uid) LEFT JOIN gone USING (uid))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_removed_words <= 0.8::DOUBLE * n_words AS kept FROM f"""

@@ -68,4 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_bpe_codec, op2_near_duplicates, op3_nearest_neighbours, op4_line_quality, op5_token_counts, op6_html_extract, op7_packing, op8_toxicity, op9_license_scan, op10_chat_format)
 }
-SQL: dict[str, str] = {"op9_license_scan": license_scan.scan_sql()}
+SQL: dict[str, str] = {
+    "op2_near_duplicates": near_duplicates.near_duplicates_sql(),
+    "op4_line_quality": line_quality.line_quality_sql(),
+    "op9_license_scan": license_scan.scan_sql(),
+}

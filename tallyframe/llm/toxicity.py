@@ -28,6 +28,8 @@ from .words import mix, window_hashes, word_hashes
 
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = range(3, 9)
+#: Evidence beyond which more makes no difference.
+MOST_EXCESS = 50.0
 SEGMENT = "array<struct<start:int,end:int,score:double,excess:double>>"
 
 
@@ -61,8 +63,8 @@ class Model:
         return (self.score[best] if best else 0.0) - self.drift
 
     def probability(self, excess: float) -> float:
-        """Probability of the label at this sum of excesses."""
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + self.slope * excess))))
+        """Probability of the label at this sum of excesses, which the fit saw up to ``MOST_EXCESS``."""
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + self.slope * min(excess, MOST_EXCESS)))))
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -164,7 +166,7 @@ def _scale(background: Counter, scores: list[float]) -> float:
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float, float]:
     """Bias and slope by damped Newton steps on squashed evidence."""
-    a = np.column_stack([np.ones(len(x)), np.minimum(x, 50)])
+    a = np.column_stack([np.ones(len(x)), np.minimum(x, MOST_EXCESS)])
     w = np.array([math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)), 0.1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
@@ -182,23 +184,35 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, clean_rows: int = 4000) -> Model | None:
-    """Fit on at most so many labelled rows of either kind, those of the smallest id hashes.
+def fit_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, clean_rows: int = 4000, chars: int = 40_000_000) -> Model | None:
+    """Fit on at most so many labelled rows of either kind, those of the smallest id hashes, and so many characters.
 
-    Held-out rows, null ids and null labels are left out. The bound is what the driver holds.
+    Either kind takes its share of the characters in that order, and what would not fit any more is left out of
+    the fit; both bounds together are what the driver holds. Held-out rows, null ids and null labels are left out. An
+    id that has several labels or texts counts with the least of each.
     """
-    usable = labels.filter(~held_out("doc_id") & F.col("doc_id").isNotNull()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    spark = docs.sparkSession
+    usable = labels.filter(~held_out("doc_id") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
     pick = lambda y, n: usable.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     picked = pick(1, toxic_rows).unionByName(pick(0, clean_rows))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").collect()
-    return fit([r.text or "" for r in rows], [int(r.toxic) for r in rows])
+    sizes = docs.select("doc_id", F.length("text").alias("n")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.max("n").alias("n"))
+    left = {1: chars * toxic_rows // (toxic_rows + clean_rows), 0: chars * clean_rows // (toxic_rows + clean_rows)}
+    taken = []
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r.n is not None and r.n <= left[int(r.toxic)]:
+            left[int(r.toxic)] -= r.n
+            taken.append((r.doc_id, int(r.toxic)))
+    chosen = F.broadcast(spark.createDataFrame(taken, "doc_id bigint, toxic int"))
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = texts.orderBy("doc_id").collect()
+    return fit([r.text or "" for r in rows], [r.toxic for r in rows])
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """``doc_id, held_out, score, predicted, segments`` of every whole text.
 
     Null and empty texts have no segments and get the lowest score, as does everything
-    where no model could be fitted. Repeated rows are scored once each; columns besides ``doc_id`` and
+    where no model could be fitted. Texts of any length are read whole. Repeated rows are scored once each; columns besides ``doc_id`` and
     ``text`` are not read; an empty table gives no rows.
     """
 
@@ -219,7 +233,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs``, all columns, whose whole text is not scored toxic (score under 0.5)."""
+    """The rows of ``docs``, all columns, whose whole text is not scored toxic (score under 0.5).
+
+    Every row is judged for itself, repeated ones too; null and empty texts stay, and all rows where no model could
+    be fitted. An empty table gives no rows.
+    """
     at = docs.columns.index("text")
 
     def run(batches):

@@ -114,6 +114,7 @@ def _pack_group(capacity: int, first_sequence: int, last: bool):
         out = pdf[["doc_id", "piece", "start", "length", "ids_crc32"]].copy()
         out["sequence_id"] = pd.array(first_sequence + (group << 24) + bins, dtype="Int64")
         out["offset"] = pd.array(offsets, dtype="Int64")
+        out["certified"] = gap == 0
         if gap > 0 and not last:
             out.loc[left[bins] > 0, ["sequence_id", "offset"]] = pd.NA
         return out
@@ -131,37 +132,37 @@ def pack(
     exchange_rows: int = 200_000,
     remember: int = bpe.MEMO,
 ) -> DataFrame:
-    """Pack the documents: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
+    """Pack the documents: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified``.
 
-    Null and empty texts are one separator each. Repeated rows are packed once each.
-    Columns besides ``doc_id`` and ``text`` are not read. An empty table gives no rows.
-    ``group_rows`` bounds what one task packs; ``exchange_rows`` is the size from which the
-    exchange is dealt to groups again instead of being packed as one. ``remember`` bounds the words
+    Null and empty texts are one separator each. Texts of any length are cut whole. Repeated rows are packed once each; ties in
+    length go by id and piece. Columns besides ``doc_id`` and ``text`` are not read. An empty table gives no rows.
+    ``group_rows`` is what one task packs at first, and ``exchange_rows`` the most it ever does: the groups of an exchange
+    grow fourfold up to that, and once an exchange among such groups leaves nine tenths of its rows without a certificate, their
+    packing stands, uncertified. ``remember`` bounds the words
     a worker keeps the ids of, in two generations at about 160 bytes each; results don't depend on it.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
     cut = scratch.keep(pieces(docs, vocabulary, capacity, separator, remember), "pieces")
     full = F.col("length") == capacity
-    schema = PIECES + ", sequence_id bigint, offset bigint"
+    schema = PIECES + ", sequence_id bigint, offset bigint, certified boolean"
     # A full piece is a sequence by itself; its id needs no agreement with any other.
     done = [
         cut.filter(full)
         .withColumn("sequence_id", (F.lit(-1) - F.monotonically_increasing_id()).cast("long"))
-        .withColumn("offset", F.lit(0).cast("long"))
-    ]
+        .withColumn("offset", F.lit(0).cast("long")).withColumn("certified", F.lit(True))
+    ]
     rest = cut.filter(~full)
-    n, level = rest.count(), 0
+    n, level, before = rest.count(), 0, None
     while n:
-        last = n <= (group_rows if level == 0 else exchange_rows)
-        groups = 1 if last else -(-n // group_rows)
-        dealt = rest.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(groups)).cast("int"))
+        size = min(group_rows * 4**level, exchange_rows) if level else group_rows
+        stuck = before is not None and size == exchange_rows and 10 * n > 9 * before
+        last = n <= size or stuck
+        dealt = rest.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(-(-n // size))).cast("int"))
         packed = scratch.keep(dealt.groupBy("grp").applyInPandas(_pack_group(capacity, level << 56, last), schema), f"level{level}")
         done.append(packed.filter(F.col("sequence_id").isNotNull()))
-        rest = packed.filter(F.col("sequence_id").isNull()).drop("sequence_id", "offset")
+        rest = packed.filter(F.col("sequence_id").isNull()).drop("sequence_id", "offset", "certified")
         before, n, level = n, 0 if last else rest.count(), level + 1
-        if n > before // 2 and n > exchange_rows:
-            group_rows *= 4  # many groups kept a gap: pack more documents together
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

@@ -1,6 +1,9 @@
 """Quality, toxicity, near-duplicates, licences and the pipeline against plain implementations."""
 
+import itertools
+import math
 import random
+import re
 import textwrap
 import zlib
 from collections import Counter
@@ -10,7 +13,7 @@ import pytest
 import corpus_pipeline
 from tallyframe.llm import license_scan, line_quality, near_duplicates, queries, toxicity
 
-from .helpers import SF, components, empty, odd_docs
+from .helpers import ODD, SF, components, empty, odd_docs
 
 
 def near_copies(n=60, seed=2):
@@ -50,6 +53,13 @@ def test_a_hot_bucket_is_dealt_in_squares(spark, monkeypatch):
     assert got == components(dict(enumerate(texts)))
 
 
+def test_windows_of_swapped_words_differ():
+    for width in (3, 5, 7):
+        windows = {tuple(w) for w in itertools.product("abc", repeat=width)}
+        hashes = {near_duplicates.window_hashes(near_duplicates.word_hashes([x.encode() for x in w]), width)[0] for w in windows}
+        assert len(hashes) == len(windows)
+
+
 def test_chunks_miss_seldom():
     for percent in (50, 70, 80, 85, 90):
         chunks, size = near_duplicates.layout(percent)
@@ -110,6 +120,56 @@ def test_line_quality(spark):
     assert line_quality.line_quality(empty(docs)).collect() == []
 
 
+def brute_quality(rows, min_documents=20, max_share=0.05, max_removed=0.8):
+    """Figures and verdicts by the definitions: distinct sets of lines are compared as sets."""
+    plain = lambda line: b" ".join(line.encode().lower().split())
+    cut = [(i, t or "", h, [line for line in (t or "").split("\n") if line.encode().split()]) for i, t, h in rows]
+    sets = {(h, frozenset(map(plain, lines))) for _, _, h, lines in cut}
+    docs = Counter(h for h, _ in sets)
+    having = Counter((h, line) for h, lines in sets for line in lines)
+    out = []
+    for i, text, h, lines in cut:
+        figures = base_figures(text)
+        gone = sum(len(line.encode().split()) for line in lines if having[h, plain(line)] >= min_documents and having[h, plain(line)] > max_share * docs[h])
+        failed = figures[0] < 50 or 100 * figures[4] > 50 * figures[0]
+        out.append((i, *figures, failed, not failed and gone <= max_removed * figures[0], gone))
+    return sorted(out, key=repr)
+
+
+def quality_rows(rng):
+    """Hosts with templates of all sizes, hosts of null and of the empty name, copies, and odd texts."""
+    lines = {h: [" ".join(f"{h}{k}w{j}" for j in range(rng.randint(1, 9))) for k in range(60)] for h in ("a", "b", "", None)}
+    rows = []
+    for n in range(400):
+        h = rng.choice(["a", "a", "b", "", None])
+        own = [" ".join(f"o{n}x{rng.randint(0, 30)}" for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(0, 8))]
+        text = "\n".join([*rng.sample(lines[h], rng.choice([0, 1, 5, 40, 60])), *own, rng.choice(["", " ", own[0].upper() if own else "x"])])
+        rows += [(n, text, h)] * rng.choice([1, 1, 1, 3])
+    return rows + [(1000 + k, t, None) for k, t in enumerate(ODD)]
+
+
+def test_line_quality_equals_brute_force(spark):
+    rows = quality_rows(random.Random(4))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(map(tuple, line_quality.line_quality(docs).collect()), key=repr)
+    assert got == brute_quality(rows)
+    assert {r[6:8] for r in got} == {(True, False), (False, True), (False, False)}
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    for path in (SF, "/root/testdata/sf0.01"):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS FROM '{path}/documents.parquet'")
+        df = queries.QUERIES[name](spark, path)
+        rel = con.execute(queries.SQL[name])
+        names = [d[0] for d in rel.description]
+        assert sorted(names) == sorted(df.columns)
+        assert sorted(map(tuple, df.select(*names).collect()), key=repr) == sorted(rel.fetchall(), key=repr)
+
+
 def test_depleted_documents_go(spark):
     shared = [" ".join(f"n{k}w{j}" for j in range(12)) for k in range(6)]
     texts = ["\n".join([*[" ".join(f"q{i}y{k}z{j}" for j in range(6)) for k in range(12)], *shared]) for i in range(30)] + ["\n".join([*shared, "short own end"])]
@@ -175,6 +235,52 @@ def test_segments():
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
 
 
+def brute_score(model, text):
+    """A text's score by the definitions: every word by its surest known prefix, segments by the recursive definition."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    scores = []
+    for w in words:
+        known = [f for f in [w, *[w[:k] + "-" for k in range(3, 9) if k <= len(w)]] if f in model.score]
+        best = w if w in model.score else max(known, key=lambda f: model.sure[f], default=None)
+        scores.append((model.score[best] if best else 0.0) - model.drift)
+    chance = model.log_k + math.log(max(len(words), 1))
+    excess = sum(max(0.0, model.scale * s - chance) for *_, s in brute_segments(scores))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, model.bias + model.slope * min(excess, 50.0)))))
+
+
+def test_toxicity_query_equals_brute_force(spark, tmp_path):
+    rng = random.Random(12)
+    clean, vile = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)], [f"vile{chr(97 + k)}" for k in range(12)]
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 5 == 0
+        words = [rng.choice(clean) for _ in range(rng.randint(5, 60))]
+        if toxic:
+            at = rng.randrange(len(words))
+            words[at:at] = [rng.choice(vile) for _ in range(rng.randint(3, 6))]
+        rows.append((i, " ".join(words), "l", "s"))
+        if i % 7:
+            labels.append((i, int(toxic)))
+    rows += [(1000 + k, t, None, None) for k, t in enumerate(ODD) if t is None or len(t) < 200] + [rows[3], (None, "vilea vileb", None, None)]
+    labels += [labels[0], (None, 1), (2, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.QUERIES["op8_toxicity"](spark, str(tmp_path)).collect()
+    learned = {i: y for i, y in labels if i is not None and y is not None and zlib.crc32(str(i).encode()) % 5}
+    model = toxicity.fit([rows[i][1] for i in sorted(learned)], [learned[i] for i in sorted(learned)])
+    texts = {i: t for i, t, *_ in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert abs(r.score - brute_score(model, texts[r.doc_id])) < 1e-9 and r.predicted == (r.score >= 0.5)
+    assert {r.predicted for r in got if r.doc_id is not None and r.doc_id < 400 and r.doc_id % 5 == 0} == {1}
+    # Bounds on the sample take effect, in characters too, and are no error.
+    docs, marks = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")
+    assert toxicity.fit_sample(docs, marks, chars=0) is None
+    small = toxicity.fit_sample(docs, marks, chars=9000)
+    assert small is not None and len(small.score) < len(model.score) + 1
+
+
 def test_toxicity_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")

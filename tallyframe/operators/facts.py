@@ -24,14 +24,33 @@ def half_band(decimals: Column, unit: Column, scale: Column) -> Column:
     return F.when(decimals <= 0, F.pow(F.lit(10.0), -decimals) / 2).when(F.coalesce(unit, F.lit("")) != "USD", 0.0).otherwise(by_scale)
 
 
+def json_string(c: Column) -> Column:
+    """A JSON string as json.dumps writes it: quotes, backslashes and controls escaped, other than ASCII as \\uXXXX pairs of UTF-16; null stays JSON null."""
+    plain = F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    # to_json leaves characters beyond ASCII as they are, but for line separators.
+    units = F.transform(F.split(plain, ""), lambda x: F.when(x.rlike(r"^[\x00-\x7f]*$"), x).otherwise(_escaped(x)))
+    return F.when(c.isNull(), F.lit("null")).when(plain.rlike(r"^[\x00-\x7e]*$"), plain).otherwise(F.array_join(units, ""))
+
+
+def _escaped(x: Column) -> Column:
+    hexes = F.lower(F.hex(F.encode(x, "UTF-16BE")))
+    return F.concat(F.lit("\\u"), F.substring(hexes, 1, 4), F.when(F.length(hexes) > 4, F.concat(F.lit("\\u"), F.substring(hexes, 5, 4))).otherwise(""))
+
+
+def value_text(value: Column) -> Column:
+    """A decimal as text without trailing zeros of its scale, so that the text does not depend on the column's type."""
+    text = value.cast("string")
+    return F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")).otherwise(text)
+
+
 def fact_id() -> Column:
     """First 16 hex digits of SHA-256 over the fact's canonical JSON (sorted keys, as written by json.dumps)."""
-    quote = lambda c: F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+    quote = json_string
     pairs = F.array_join(F.transform("dims", lambda d: F.concat(F.lit("["), quote(d["axis"]), F.lit(", "), quote(d["member"]), F.lit("]"))), ", ")
     text = F.concat(
         F.lit('{"concept": '), quote(F.col("concept")), F.lit(', "dims": ['), pairs, F.lit('], "period": ['),
-        quote(F.col("period_type")), F.lit(", "), F.col("fiscal_year").cast("string"), F.lit(", "), quote(F.col("fiscal_period")),
-        F.lit('], "source": '), quote(F.col("source")), F.lit(', "unit": '), quote(F.col("unit")), F.lit(', "value": '), quote(F.col("value")), F.lit("}"),
+        quote(F.col("period_type")), F.lit(", "), F.coalesce(F.col("fiscal_year").cast("string"), F.lit("null")), F.lit(", "), quote(F.col("fiscal_period")),
+        F.lit('], "source": '), quote(F.col("source")), F.lit(', "unit": '), quote(F.col("unit")), F.lit(', "value": '), quote(value_text(F.col("value"))), F.lit("}"),
     )
     return F.substring(F.sha2(text, 256), 1, 16)
 
@@ -47,12 +66,13 @@ def is_aggregable(axis: str) -> Column:
     return F.exists("dims", lambda d: d["axis"] == axis) & ~F.exists("dims", lambda d: d["axis"].isin(finer))
 
 
-def prepare(facts: DataFrame) -> DataFrame:
-    """Canonical dims, content id, and the interval around the value (explicit band first)."""
+def prepare(facts: DataFrame, deduplicated: bool = True) -> DataFrame:
+    """Canonical dims, content id, and the interval around the value (explicit band first); of facts with equal content in a filing the first only."""
     df = facts.withColumn("dims", F.array_sort(F.coalesce("dims", F.array().cast(DIMS)))).withColumn("fact_id", fact_id())
     half = F.coalesce(F.col("band").cast("double"), half_band(F.col("decimals"), F.col("unit"), F.col("reported_scale")))
     value = F.col("value").cast("double")
-    return df.withColumn("lo", value - half).withColumn("hi", value + half)
+    df = df.withColumn("lo", value - half).withColumn("hi", value + half)
+    return deduplicate(df) if deduplicated else df
 
 
 def deduplicate(facts: DataFrame) -> DataFrame:
@@ -76,17 +96,20 @@ def periods(facts: DataFrame) -> DataFrame:
     return facts.select(*PERIOD).distinct().orderBy("filing_id", F.desc("fiscal_year"), "period_type")
 
 
-def slots(facts: DataFrame) -> DataFrame:
-    """One row per filing and period: the first fact of each consolidated concept, and the sum over each aggregate.
+def slots(facts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per filing and period (and ``by``): the first fact of each consolidated concept, and the sum over each aggregate.
 
-    One shuffle on the period key with partial aggregation; the filters sit inside the aggregates.
+    One shuffle on the period key with partial aggregation; each fact carries the name of the slot it goes to.
     """
-    first = lambda c: F.min_by(F.when((F.col("concept") == c) & is_consolidated(), F.struct("lo", "hi", F.col("value").cast("double").alias("value"), "fact_id")), F.when((F.col("concept") == c) & is_consolidated(), F.col("ord")))
-    columns = [first(c).alias(name) for c, name in SLOT.items()]
+    names = F.create_map(*[F.lit(x) for pair in SLOT.items() for x in pair])
+    slot = F.when(is_consolidated(), F.try_element_at(names, F.col("concept")))
     for (concept, axis), name in AGG_SLOT.items():
-        mine = (F.col("concept") == concept) & is_aggregable(axis)
-        ids = F.transform(F.array_sort(F.collect_list(F.when(mine, F.struct("ord", "fact_id")))), lambda x: x["fact_id"])
-        total = [F.sum(F.when(mine, F.col(c))).alias(c) for c in ("lo", "hi")]
-        value = F.sum(F.when(mine, F.col("value"))).cast("double").alias("value")
-        columns.append(F.when(F.count_if(mine) > 0, F.struct(*total, value, ids.alias("fact_ids"))).alias(name))
-    return facts.groupBy(*PERIOD).agg(*columns)
+        slot = F.when((F.col("concept") == concept) & is_aggregable(axis), name).otherwise(slot)
+    rows = facts.select(*by, *PERIOD, "ord", "lo", "hi", "value", "fact_id", slot.alias("slot"), F.struct("lo", "hi", F.col("value").cast("double").alias("value"), "fact_id").alias("f"))
+    mine = lambda what, name: F.expr(f"{what} FILTER (WHERE slot = '{name}')")
+    columns = [mine("min_by(f, ord)", name).alias(name) for name in SLOT.values()]
+    for name in AGG_SLOT.values():
+        ids = F.transform(F.array_sort(mine("collect_list(struct(ord, fact_id))", name)), lambda x: x["fact_id"])
+        parts = F.struct(mine("sum(lo)", name).alias("lo"), mine("sum(hi)", name).alias("hi"), mine("sum(value)", name).cast("double").alias("value"), ids.alias("fact_ids"))
+        columns.append(F.when(mine("count(*)", name) > 0, parts).alias(name))
+    return rows.groupBy(*by, *PERIOD).agg(*columns)

@@ -7,7 +7,7 @@ state per row, over at most a few dozen slots; it runs on pivoted rows in Arrow
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +18,7 @@ from .facts import PERIOD, slots
 
 MAX_PASSES = 12
 DERIVED = "filing_id string, period_type string, fiscal_year int, fiscal_period string, concept string, value double, band double, unit string, template_id string, op string, input_ids array<string>, fact_id string, step int"
+SCHEMA = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<string>": pa.list_(pa.string())}[c.split()[1]]) for c in DERIVED.split(", ")])
 Interval = tuple[float, float]
 
 
@@ -119,17 +120,19 @@ def derive(rows: DataFrame) -> DataFrame:
     names = {v: k for k, v in SLOT.items()}
     sums = {v: k for k, v in AGG_SLOT.items()}
 
+    columns = [c.split()[0] for c in DERIVED.split(", ")]
+
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for row in pdf.to_dict("records"):
+            for row in batch.to_pylist():
                 known = {c: ((row[s]["lo"], row[s]["hi"]), row[s]["fact_id"]) for s, c in names.items() if row[s] is not None}
-                totals = {key: ((row[s]["lo"], row[s]["hi"]), list(row[s]["fact_ids"])) for s, key in sums.items() if row[s] is not None}
+                totals = {key: ((row[s]["lo"], row[s]["hi"]), row[s]["fact_ids"]) for s, key in sums.items() if row[s] is not None}
                 period = {k: row[k] for k in PERIOD}
                 out += [period | d for d in solve(known, totals, row["period_type"])]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in DERIVED.split(", ")])
+            yield pa.RecordBatch.from_pylist(out, SCHEMA).select(columns)
 
-    return rows.mapInPandas(run, DERIVED)
+    return rows.mapInArrow(run, DERIVED)
 
 
 def augmented(facts: DataFrame, derived: DataFrame) -> DataFrame:

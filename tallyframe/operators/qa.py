@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ontology import CONCEPTS
 from .facts import is_consolidated
 
 # Concepts that count as the same when graded.
@@ -12,8 +13,9 @@ SAME = {"equity.parent": "equity.total", "net_income.parent": "net_income.consol
 
 
 def truth_values(facts: DataFrame) -> DataFrame:
-    """First trusted consolidated annual fact of each concept and year; the grounded look-up of a figure."""
-    rows = facts.filter((F.col("source") == "xbrl") & is_consolidated() & (F.col("fiscal_period") == "FY"))
+    """First trusted consolidated annual fact of each concept and year, of the concept's own period type; the grounded look-up of a figure."""
+    instant = F.col("concept").isin([c.id for c in CONCEPTS if c.period_type == "instant"])
+    rows = facts.filter((F.col("source") == "xbrl") & is_consolidated() & (F.col("fiscal_period") == "FY") & ((F.col("period_type") == "instant") == instant))
     return rows.groupBy("filing_id", "concept", "fiscal_year").agg(F.min_by(F.col("value").cast("double"), "ord").alias("truth"))
 
 
@@ -47,11 +49,14 @@ def calc_consistent(value: Column, numbers: Column) -> Column:
 def verify(answers: DataFrame, truth: DataFrame) -> DataFrame:
     """``answer_id, n_cited, n_graded, n_ok, retrieval_ok, calc_ok, trusted``.
 
-    ``answers``: answer_id, filing_id, value, numbers_used array<struct<label, concept, fiscal_year, value>>.
+    ``answers``: answer_id, filing_id, fiscal_year, value, numbers_used array<struct<label, concept, fiscal_year, value>>. A number
+    without a year is of the answer's. One without a concept or a trusted value is not graded; one without a value is wrong. Ratios
+    are held to the band of money too, as everything cited is.
     """
-    cited = answers.select("answer_id", "filing_id", F.inline("numbers_used")).withColumnRenamed("value", "cited")
+    each = F.transform("numbers_used", lambda n: F.struct(n["concept"].alias("concept"), F.coalesce(n["fiscal_year"], F.col("fiscal_year")).alias("cited_year"), n["value"].alias("cited")))
+    cited = answers.select("answer_id", "filing_id", F.inline(each)).withColumnRenamed("cited_year", "fiscal_year")
     graded = cited.join(truth, ["filing_id", "concept", "fiscal_year"], "left")
-    ok = close(F.col("cited"), F.col("truth"), F.col("concept").endswith(".ratio"))
+    ok = F.when(F.col("truth").isNotNull(), F.coalesce(close(F.col("cited"), F.col("truth"), F.lit(False)), F.lit(False)))
     each = graded.groupBy("answer_id").agg(F.count("*").alias("n_cited"), F.count(ok).alias("n_graded"), F.count_if(ok).alias("n_ok"))
     out = answers.join(each, "answer_id", "left").na.fill(0, ["n_cited", "n_graded", "n_ok"])
     out = out.withColumn("retrieval_ok", (F.col("n_graded") > 0) & (F.col("n_ok") == F.col("n_graded"))).withColumn("calc_ok", calc_consistent(F.col("value"), F.col("numbers_used")))
@@ -102,6 +107,12 @@ def leaderboard(grades: DataFrame) -> DataFrame:
     return out.withColumn("gap", F.round(F.col("rubric") - F.col("final"), 3))
 
 
+def model_label(model: Column, vendor: str = "") -> Column:
+    """A model's name for tables: without the vendor's prefix, its version with a dot, words capitalised."""
+    plain = F.regexp_replace(model, f"^{vendor}-" if vendor else "^$", "")
+    return F.initcap(F.replace(F.regexp_replace(plain, r"-(\d+)-(\d+)$", " $1.$2"), F.lit("-"), F.lit(" ")))
+
+
 def judge_says_yes(reply: Column) -> Column:
     """A judge's reply counts as yes if it begins with y or **y, or says yes in its first six characters."""
     r = F.lower(F.trim(reply))

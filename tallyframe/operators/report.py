@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.identities import AGG_SLOT, IDENTITIES, SLOT, refs, registry
-from .check import check_slots
-from .facts import PERIOD, is_consolidated, slots
+from ..plans.identities import AGG_SLOT, IDENTITIES, SLOT, Ref, ends, refs, registry, verdict
+from ..scratch import Scratch
+from .facts import PERIOD, is_aggregable, is_consolidated, slots
 
 LABELS = ("extraction_error", "filing_inconsistency", "constraint_model_error", "undetermined")
 
@@ -17,93 +17,142 @@ def agrees(value: Column, truth: Column) -> Column:
     return F.abs(value - truth) <= F.greatest(0.002 * F.abs(truth), F.lit(1_000_000.0))
 
 
-def reference_values(rows: DataFrame) -> DataFrame:
-    """``PERIOD, template_id, position, label, value``: the value behind every leaf of every hard identity."""
-    out = []
-    for t in IDENTITIES:
-        if t.severity != "hard":
-            continue
-        for k, r in enumerate([t.target, *refs(t.expr)]):
-            if r.over:
-                value = F.col(AGG_SLOT[(r.concept, r.over)])["value"]
-            else:
-                value = F.coalesce(*[F.col(SLOT[c]) for c in (r.concept, *r.fallbacks)])["value"]
-            out.append(F.struct(F.lit(t.id).alias("template_id"), F.lit(k).alias("position"), F.lit(r.label).alias("label"), value.alias("value")))
-    return rows.select(*PERIOD, F.inline(F.array(*out)))
+def _value(r: Ref, side: str) -> Column:
+    """The plain value behind a leaf."""
+    if r.over:
+        return F.col(side + AGG_SLOT[(r.concept, r.over)])["value"]
+    return F.coalesce(*[F.col(side + SLOT[c]) for c in (r.concept, *r.fallbacks)])["value"]
 
 
-def attribute(text: DataFrame, truth: DataFrame) -> DataFrame:
-    """The cause of every hard violation in the text facts, judged by the trusted facts.
+class Reconciliation:
+    """Text facts beside trusted facts.
 
-    Violated in the trusted data too: the filing is inconsistent. Undecidable there: undetermined. Otherwise a
-    value that disagrees makes it an extraction error, and without one the identity itself does not fit.
-    Identities are looked at in every period, whatever its type.
+    The prepared facts and the slots of both sides are computed once, in one scan and one aggregation, and written to the shared folder;
+    every answer reads those tables. ``facts`` holds both: trusted ones have source ``xbrl``, the others are the text's.
     """
-    text_rows, truth_rows = slots(text), slots(truth)
-    key = [*PERIOD, "template_id"]
-    bad = check_slots(text_rows, False, gate=False).filter("status = 'violated' AND severity = 'hard'").select(*key, "residual")
-    trusted = check_slots(truth_rows, True, gate=False).select(*key, F.col("status").alias("truth_status"))
-    left = reference_values(text_rows)
-    right = reference_values(truth_rows).select(*key, "position", F.col("value").alias("truth_value"))
-    differ = left.join(right, [*key, "position"]).filter(~agrees(F.col("value"), F.col("truth_value")))
+
+    def __init__(self, facts: DataFrame):
+        scratch = Scratch(facts.sparkSession, "reconciliation")
+        side = F.when(F.col("source") == "xbrl", "truth").otherwise("text").alias("side")
+        self.facts = scratch.keep(facts.select("*", side), "facts")
+        rows = scratch.keep(slots(self.facts, ("side",)), "slots")
+        names = [*SLOT.values(), *AGG_SLOT.values()]
+        half = lambda name, as_: rows.filter(F.col("side") == name).select(*PERIOD, F.struct(*names).alias(as_))
+        #: A row per period of either side, its slots in the structs ``t`` (text) and ``x`` (truth).
+        self.rows = half("text", "t").join(half("truth", "x"), PERIOD, "full")
+        self.text, self.truth = (self.facts.filter(F.col("side") == name) for name in ("text", "truth"))
+
+    def _results(self, templates, **more: Column) -> DataFrame:
+        """Every identity of every period on both sides, with the values behind its leaves."""
+        each = []
+        for t in templates:
+            leaves = [F.struct(F.lit(r.label).alias("label"), _value(r, "t.").alias("value"), _value(r, "x.").alias("truth")) for r in (t.target, *refs(t.expr))]
+            each.append(F.struct(ends(t, "t.").alias("text"), ends(t, "x.").alias("trusted"), F.lit(t.period_type).alias("kind"), F.array(*leaves).alias("leaves")))
+        rows = self.rows.select(*PERIOD, *[c.alias(n) for n, c in more.items()], F.inline(F.array(*each)))
+        (status, residual, _), (truth_status, truth_residual, _) = verdict(F.col("text"), False), verdict(F.col("trusted"), True)
+        return rows.select(
+            *PERIOD, *more, F.col("text.template_id").alias("template_id"), F.col("text.severity").alias("severity"), "kind", "leaves", status.alias("status"), residual.alias("residual"),
+            truth_status.alias("truth_status"), truth_residual.alias("truth_residual"),
+        )
+
+    def attribute(self) -> DataFrame:
+        """The cause of every hard violation in the text facts, judged by the trusted facts.
+
+        Violated in the trusted data too: the filing is inconsistent. Undecidable there: undetermined. Otherwise a
+        value that disagrees makes it an extraction error, and without one the identity itself does not fit.
+        Identities are looked at in every period, whatever its type.
+        """
+        bad = self._results([t for t in IDENTITIES if t.severity == "hard"]).filter("status = 'violated'")
+        return _causes(bad)
+
+    def compare_facts(self) -> DataFrame:
+        """See :func:`compare_facts`."""
+        return compare_facts(self.text, self.truth)
+
+    def compare_identities(self) -> DataFrame:
+        """Every identity of the registry in every filing and year of the trusted data: status there and in the text, ``n/a`` where a side has no such period."""
+        key = ["filing_id", "fiscal_year", "template_id"]
+        known = lambda side, status: F.when(F.col(f"in_{side}"), F.col(status)).otherwise("n/a").alias(f"{side}_status")
+        out = self._results(IDENTITIES, in_truth=F.col("x").isNotNull(), in_text=F.col("t").isNotNull()).filter(F.col("kind") == F.col("period_type"))
+        out = out.select(*key, known("truth", "truth_status"), known("text", "status"), "truth_residual", F.col("residual").alias("text_residual"))
+        filings = self.truth.select("filing_id", "fiscal_year").distinct()
+        every = filings.crossJoin(F.broadcast(registry(self.facts.sparkSession).select("template_id")))  # 16 rows, fixed
+        return every.join(out, key, "left").na.fill("n/a", ["truth_status", "text_status"])
+
+    def scorecard(self) -> DataFrame:
+        """One row per filing: facts, agreement, results over the periods of the trusted data, and causes."""
+        facts = self.compare_facts().groupBy("filing_id").agg(F.count("*").alias("n_facts"), F.count_if("agrees").alias("n_agree"), F.count_if(~F.col("agrees")).alias("n_disagree"))
+        every = self._results(IDENTITIES, known=F.col("x").isNotNull())
+        counted = F.col("known") & (F.col("kind") == F.col("period_type"))
+        hard = (F.col("status") == "violated") & (F.col("severity") == "hard")
+        every = every.withColumn("cause", F.when(hard, _cause()))
+        out = every.groupBy("filing_id").agg(
+            F.max("known").alias("known"),
+            F.count_if(counted & (F.col("status") == "satisfied")).alias("n_satisfied"), F.count_if(counted & hard).alias("n_hard"),
+            F.count_if(counted & (F.col("status") == "violated") & (F.col("severity") == "soft")).alias("n_soft"), F.count_if(counted & (F.col("status") == "indeterminate")).alias("n_indeterminate"),
+            *[F.count_if(F.col("cause.label") == x).alias(f"n_{x}") for x in LABELS], F.count_if("cause.judge_invisible").alias("n_judge_invisible"),
+        )
+        return out.filter("known").drop("known").join(facts, "filing_id", "left").na.fill(0)
+
+    def markdown(self, name: str = "Text") -> DataFrame:
+        """See :func:`markdown`."""
+        return markdown(self.scorecard(), self.attribute(), name)
+
+
+def _cause() -> Column:
+    """``label, evidence, judge_invisible`` of a violated result that carries the values behind its leaves."""
     money = lambda c: F.format_number(c, 0)
-    part = F.concat("label", F.lit(": text="), money(F.col("value")), F.lit(" vs xbrl="), money(F.col("truth_value")), F.lit(" (delta "), money(F.col("value") - F.col("truth_value")), F.lit(")"))
-    differ = differ.groupBy(*key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", part.alias("part")))), lambda x: x["part"]), "; ").alias("evidence"),
-        F.bool_and(F.col("label").contains("[")).alias("aggregates_only"),
+    differ = F.filter("leaves", lambda x: ~agrees(x["value"], x["truth"]))
+    part = lambda x: F.concat(x["label"], F.lit(": text="), money(x["value"]), F.lit(" vs xbrl="), money(x["truth"]), F.lit(" (delta "), money(x["value"] - x["truth"]), F.lit(")"))
+    error = F.size(differ) > 0
+    decided = (
+        F.when(F.col("truth_status") == "violated", "filing_inconsistency").when(F.col("truth_status") == "indeterminate", "undetermined")
+        .when(error, "extraction_error").otherwise("constraint_model_error")
     )
-    out = bad.join(trusted, key, "left").join(differ, key, "left")
-    status = F.coalesce("truth_status", F.lit("indeterminate"))
-    label = (
-        F.when(status == "violated", "filing_inconsistency").when(status == "indeterminate", "undetermined")
-        .when(F.col("evidence").isNotNull(), "extraction_error").otherwise("constraint_model_error")
+    is_error = decided == "extraction_error"
+    return F.struct(
+        decided.alias("label"), F.when(is_error, F.array_join(F.transform(differ, part), "; ")).otherwise("").alias("evidence"),
+        (is_error & F.forall(differ, lambda x: x["label"].contains("["))).alias("judge_invisible"),
     )
-    judge_blind = (label == "extraction_error") & F.col("aggregates_only")
-    return out.select(*key, label.alias("label"), F.when(label == "extraction_error", F.col("evidence")).otherwise("").alias("evidence"), "residual", status.alias("truth_status"), judge_blind.alias("judge_invisible"))
+
+
+def _causes(bad: DataFrame) -> DataFrame:
+    return bad.withColumn("c", _cause()).select(*PERIOD, "template_id", "c.label", "c.evidence", "residual", "truth_status", "c.judge_invisible")
+
+
+def attribute(text: DataFrame, truth: DataFrame) -> DataFrame:
+    """See :meth:`Reconciliation.attribute`."""
+    return Reconciliation(_both(text, truth)).attribute()
+
+
+def _both(text: DataFrame, truth: DataFrame) -> DataFrame:
+    return text.withColumn("source", F.lit("text")).unionByName(truth.withColumn("source", F.lit("xbrl")))
 
 
 def compare_facts(text: DataFrame, truth: DataFrame) -> DataFrame:
-    """Consolidated dollar facts of the text beside the first trusted fact of the same concept and period."""
+    """Consolidated dollar facts of the text, by concept, beside the first trusted fact of the same concept and period."""
     key = [*PERIOD, "concept"]
     first = truth.filter(is_consolidated()).groupBy(*key).agg(F.min_by(F.col("value").cast("double"), "ord").alias("truth_value"))
     mine = text.filter(is_consolidated() & (F.col("unit") == "USD")).select(*key, "ord", F.col("value").cast("double").alias("value"))
-    return mine.join(first, key, "left").withColumn("agrees", agrees(F.col("value"), F.col("truth_value")))
-
-
-def compare_identities(text: DataFrame, truth: DataFrame) -> DataFrame:
-    """Every identity of the registry in every filing and year: status in trusted data and in text."""
-    spark = text.sparkSession
-    tag = lambda df, strict, name: check_slots(slots(df), strict).select("filing_id", "fiscal_year", "template_id", F.col("status").alias(name), F.col("residual").alias(f"{name}_residual"))
-    filings = truth.select("filing_id", "fiscal_year").distinct()
-    every = filings.crossJoin(F.broadcast(registry(spark).select("template_id", "position")))  # 16 rows, fixed
-    key = ["filing_id", "fiscal_year", "template_id"]
-    out = every.join(tag(truth, True, "truth"), key, "left").join(tag(text, False, "text"), key, "left")
-    return out.select(*key, F.coalesce("truth", F.lit("n/a")).alias("truth_status"), F.coalesce("text", F.lit("n/a")).alias("text_status"), "truth_residual", "text_residual")
-
-
-def scorecard(text: DataFrame, truth: DataFrame) -> DataFrame:
-    """One row per filing: facts, agreement, results over the periods of the trusted data, and causes."""
-    facts = compare_facts(text, truth).groupBy("filing_id").agg(F.count("*").alias("n_facts"), F.count_if("agrees").alias("n_agree"), F.count_if(~F.col("agrees")).alias("n_disagree"))
-    rows = truth.select(*PERIOD).distinct().join(slots(text), PERIOD, "left")
-    results = check_slots(rows, False).groupBy("filing_id").agg(
-        F.count_if(F.col("status") == "satisfied").alias("n_satisfied"),
-        F.count_if((F.col("status") == "violated") & (F.col("severity") == "hard")).alias("n_hard"),
-        F.count_if((F.col("status") == "violated") & (F.col("severity") == "soft")).alias("n_soft"),
-        F.count_if(F.col("status") == "indeterminate").alias("n_indeterminate"),
-    )
-    causes = attribute(text, truth).groupBy("filing_id").agg(*[F.count_if(F.col("label") == x).alias(f"n_{x}") for x in LABELS], F.count_if("judge_invisible").alias("n_judge_invisible"))
-    return results.join(facts, "filing_id", "left").join(causes, "filing_id", "left").na.fill(0)
+    return mine.join(first, key, "left").withColumn("agrees", agrees(F.col("value"), F.col("truth_value"))).orderBy("filing_id", "concept", "ord")
 
 
-def segments(facts: DataFrame) -> DataFrame:
-    """Revenue by segment for display: the largest value per segment, their sum, and whether it reconciles with the total."""
+def segment_members(facts: DataFrame) -> DataFrame:
+    """``filing_id, fiscal_year, segment, value``: the largest value of each revenue segment, of facts that nothing breaks down further."""
     axis = F.filter("dims", lambda d: d["axis"] == "segment")
-    seg = facts.filter(F.col("concept") == "revenue.segment").withColumn("segment", F.regexp_replace(F.element_at(F.transform(axis, lambda d: d["member"]), 1), "Member", ""))
-    best = seg.groupBy("filing_id", "fiscal_year", "segment").agg(F.max(F.col("value").cast("double")).alias("value"))
+    seg = facts.filter((F.col("concept") == "revenue.segment") & is_aggregable("segment") & (F.col("period_type") == "duration"))
+    seg = seg.withColumn("segment", F.replace(F.element_at(F.transform(axis, lambda d: d["member"]), 1), F.lit("Member"), F.lit("")))
+    return seg.groupBy("filing_id", "fiscal_year", "segment").agg(F.max(F.col("value").cast("double")).alias("value"))
+
+
+def segments(facts: DataFrame) -> DataFrame:
+    """Revenue by segment for display: members by size, the largest value per segment each, their sum, and whether it reconciles with the total."""
     total = facts.filter((F.col("concept") == "revenue.total") & is_consolidated()).groupBy("filing_id", "fiscal_year").agg(F.min_by(F.col("value").cast("double"), "ord").alias("total"))
-    out = best.groupBy("filing_id", "fiscal_year").agg(F.sum("value").alias("segment_sum"), F.count("*").alias("n_segments"), F.max_by("segment", F.struct("value", "segment")).alias("largest"))
-    out = out.join(total, ["filing_id", "fiscal_year"], "left")
-    return out.withColumn("reconciles", F.abs(F.col("segment_sum") - F.col("total")) <= F.greatest(0.005 * F.abs("total"), F.lit(1_000_000.0)))
+    by_size = F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("k"), "segment", "value")))
+    out = segment_members(facts).groupBy("filing_id", "fiscal_year").agg(F.sum("value").alias("segment_sum"), F.count("*").alias("n_segments"), by_size.alias("m"))
+    out = out.withColumn("members", F.transform("m", lambda x: F.struct(x["segment"].alias("name"), x["value"].alias("value")))).drop("m")
+    out = out.withColumn("largest", F.col("members")[0]["name"]).join(total, ["filing_id", "fiscal_year"], "left")
+    return out.withColumn("reconciles", F.coalesce(F.abs(F.col("segment_sum") - F.col("total")) <= F.greatest(0.005 * F.abs("total"), F.lit(1_000_000.0)), F.lit(False)))
 
 
 def series(facts: DataFrame, years: int = 3) -> DataFrame:
@@ -133,21 +182,69 @@ def money_label(v: Column) -> Column:
     )
 
 
+def _yearly(facts: DataFrame, concepts: tuple[str, ...]) -> DataFrame:
+    """``filing_id, fiscal_year`` and a column for each concept (dots as underscores): its last consolidated value."""
+    pick = lambda c: F.max_by(F.when(F.col("concept") == c, F.col("value").cast("double")), F.when(F.col("concept") == c, F.col("ord"))).alias(c.replace(".", "_"))
+    return facts.filter(is_consolidated() & F.col("concept").isin(*concepts)).groupBy("filing_id", "fiscal_year").agg(*[pick(c) for c in concepts])
+
+
 def notable(facts: DataFrame) -> DataFrame:
-    """A sentence of notable figures per filing and year: growth, gross margin, number of segments."""
-    yoy = year_over_year(facts).filter("concept = 'revenue.total'")
-    gross = facts.filter(is_consolidated() & (F.col("concept") == "gross_profit.total")).groupBy("filing_id", "fiscal_year").agg(F.min_by(F.col("value").cast("double"), "ord").alias("gross"))
-    out = yoy.join(gross, ["filing_id", "fiscal_year"], "left").join(segments(facts).select("filing_id", "fiscal_year", "n_segments"), ["filing_id", "fiscal_year"], "left")
-    percent = lambda c: F.concat(F.format_number(100 * c, 1), F.lit("%"))
+    """Sentences of notable figures per filing and year with revenue: growth, net income, operating margin, segments, discontinued operations, mezzanine equity.
+
+    The last three are those of the whole filing, whatever the year.
+    """
+    rows = _yearly(facts, ("revenue.total", "net_income.parent", "operating_income.total"))
+    w = Window.partitionBy("filing_id").orderBy("fiscal_year")
+    before = lambda c: F.when(F.lag("fiscal_year").over(w) == F.col("fiscal_year") - 1, F.lag(c).over(w))
+    change = lambda c: F.try_divide(F.col(c) - before(c), before(c))
+    rows = rows.withColumn("ry", change("revenue_total")).withColumn("ni", change("net_income_parent")).withColumn("margin", F.try_divide("operating_income_total", "revenue_total"))
+    segment = F.get(F.transform(F.filter("dims", lambda d: d["axis"] == "segment"), lambda d: d["member"]), 0)
+    whole = facts.groupBy("filing_id").agg(
+        # A figure without a segment counts as one of its own.
+        F.count_distinct(F.when(F.col("concept") == "revenue.segment", F.coalesce(segment, F.lit("")))).alias("n_segments"),
+        F.max((F.col("concept") == "income.discontinued") & is_consolidated()).alias("discontinued"), F.max((F.col("concept") == "equity.temporary") & is_consolidated()).alias("mezzanine"),
+    )
+    percent = lambda c, places: F.concat(F.format_number(100 * c, places), F.lit("%"))
     parts = F.array(
-        F.when(F.col("change") >= 0, F.concat(F.lit("revenue grew "), percent(F.col("change")))).when(F.col("change") < 0, F.concat(F.lit("revenue declined "), percent(-F.col("change")))),
-        F.when(F.col("gross").isNotNull() & (F.col("value") != 0), F.concat(F.lit("gross margin "), percent(F.try_divide("gross", "value")))),
-        F.when(F.col("n_segments") > 0, F.concat(F.col("n_segments").cast("string"), F.lit(" segments"))),
+        F.when(F.col("ry").isNotNull(), F.concat(F.when(F.col("ry") >= 0, "Revenue grew ").otherwise("Revenue fell "), percent(F.abs("ry"), 0), F.lit(" year-over-year to "), money_label(F.col("revenue_total")))),
+        F.when(F.col("ni").isNotNull(), F.concat(F.when(F.col("ni") >= 0, "Net income rose ").otherwise("Net income declined "), percent(F.abs("ni"), 0), F.lit(" YoY"))),
+        F.when(F.col("margin").isNotNull(), F.concat(F.lit("Operating margin "), percent(F.col("margin"), 1))),
+        F.when(F.col("n_segments") > 0, F.concat(F.col("n_segments").cast("string"), F.lit(" reportable segment(s)"))),
+        F.when(F.col("discontinued"), F.lit("Reports discontinued operations (often a divestiture or spin-off)")),
+        F.when(F.col("mezzanine"), F.lit("Carries redeemable / mezzanine equity on the balance sheet")),
     )
-    return out.select("filing_id", "fiscal_year", money_label(F.col("value")).alias("revenue"), F.array_join(parts, "; ").alias("notable"))
+    out = rows.filter("revenue_total IS NOT NULL").join(whole, "filing_id")
+    return out.select("filing_id", "fiscal_year", money_label(F.col("revenue_total")).alias("revenue"), F.array_join(parts, "; ").alias("notable"))
+
 
+def margins(facts: DataFrame) -> DataFrame:
+    """Gross (from its parts where untold), operating and net margin and tax rate per filing and year; null without a figure or over zero."""
+    rows = _yearly(facts, ("revenue.total", "gross_profit.total", "cogs.total", "operating_income.total", "net_income.parent", "income_tax.total", "pretax_income.total"))
+    gross = F.coalesce("gross_profit_total", F.col("revenue_total") - F.col("cogs_total"))
+    return rows.select(
+        "filing_id", "fiscal_year", F.try_divide(gross, "revenue_total").alias("gross"), F.try_divide("operating_income_total", "revenue_total").alias("operating"),
+        F.try_divide("net_income_parent", "revenue_total").alias("net"), F.try_divide("income_tax_total", "pretax_income_total").alias("tax"),
+    )
 
-def markdown(card: DataFrame) -> DataFrame:
-    """A report line per filing."""
-    cells = ["filing_id", "n_facts", "n_agree", "n_disagree", "n_satisfied", "n_hard", "n_soft", "n_indeterminate"]
-    return card.select("filing_id", F.concat(F.lit("| "), F.concat_ws(" | ", *[F.col(c).cast("string") for c in cells]), F.lit(" |")).alias("line"))
+
+def latest_year(facts: DataFrame) -> DataFrame:
+    """``filing_id, fiscal_year``: the last year that a filing has facts of."""
+    return facts.groupBy("filing_id").agg(F.max("fiscal_year").alias("fiscal_year"))
+
+
+def markdown(card: DataFrame, attributions: DataFrame, name: str = "Text") -> DataFrame:
+    """A report per filing: a table row, the causes of its violations with a line each, and a closing line.
+
+    ``attributions`` as :func:`attribute` gives them; the causes are counted in alphabetical order, their lines come by identity.
+    """
+    cells = ["n_facts", "n_agree", "n_disagree", "n_satisfied", "n_hard", "n_soft", "n_indeterminate"]
+    row = F.concat(F.lit(f"| {name} | "), F.concat_ws(" | ", *[F.col(c).cast("string") for c in cells]), F.lit(" |"))
+    bullet = F.concat(F.lit("- `"), "template_id", F.lit("` -> **"), "label", F.lit("** - "), "evidence")
+    bullets = attributions.groupBy("filing_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("template_id", "period_type", bullet.alias("b")))), lambda x: x["b"]), "\n").alias("bullets"))
+    counts = F.array(*[F.when(F.col(f"n_{x}") > 0, F.concat(F.lit(f"{x}: "), F.col(f"n_{x}").cast("string"))) for x in sorted(LABELS)])
+    causes = F.when(F.col("bullets").isNotNull(), F.concat(F.lit(f"\n\n**{name}** attribution - "), F.array_join(counts, ", "), F.lit("\n"), "bullets")).otherwise("")
+    closing = (
+        F.when((F.col("n_hard") == 0) & (F.col("n_disagree") == 0), F.concat(F.lit("\n\n*Verified: all "), F.col("n_agree").cast("string"), F.lit(" extracted figures reconcile against trusted data.*")))
+        .when(F.col("n_judge_invisible") > 0, F.concat(F.lit("\n\n*Caught: "), F.col("n_judge_invisible").cast("string"), F.lit(" extraction error(s) though each figure looked correct.*"))).otherwise("")
+    )
+    return card.join(bullets, "filing_id", "left").select("filing_id", F.concat(row, causes, closing).alias("report"))

@@ -137,23 +137,23 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
-def _resolve(r: Ref) -> tuple[Column, Column, Column, Column]:
+def _resolve(r: Ref, side: str) -> tuple[Column, Column, Column, Column]:
     """Ends of the interval, fact ids, and list of missing names of a leaf."""
     if r.over:
-        slot = F.col(AGG_SLOT[(r.concept, r.over)])
+        slot = F.col(side + AGG_SLOT[(r.concept, r.over)])
         return slot["lo"], slot["hi"], F.coalesce(slot["fact_ids"], _none()), F.when(slot.isNull(), F.array(F.lit(r.label))).otherwise(_none())
-    names = [SLOT[c] for c in (r.concept, *r.fallbacks)]
+    names = [side + SLOT[c] for c in (r.concept, *r.fallbacks)]
     first = lambda part, *more: F.coalesce(*[F.col(n)[part] for n in names], *more)
     zero = [F.lit(0.0)] if r.optional else []
     missing = _none() if r.optional else F.when(first("lo").isNull(), F.array(F.lit(r.label))).otherwise(_none())
     return first("lo", *zero), first("hi", *zero), F.array_compact(F.array(first("fact_id"))), missing
 
 
-def _evaluate(e) -> tuple[Column, Column, Column, Column]:
+def _evaluate(e, side: str) -> tuple[Column, Column, Column, Column]:
     """As for a leaf. Ends are kept as two columns and each is used once, so that the expression grows with the tree only."""
     if isinstance(e, Ref):
-        return _resolve(e)
-    parts = [_evaluate(a) for a in e.args]
+        return _resolve(e, side)
+    parts = [_evaluate(a, side) for a in e.args]
     lo, hi, _, missing = parts[0]
     for p in parts[1:]:
         if e.op == "+":
@@ -168,10 +168,10 @@ def _evaluate(e) -> tuple[Column, Column, Column, Column]:
     return lo, hi, F.concat(*[p[2] for p in parts]), missing
 
 
-def ends(t: Identity) -> Column:
-    """Both sides of the identity over a slot row, before judgement."""
-    tl, th, t_ids, t_missing = _resolve(t.target)
-    el, eh, e_ids, e_missing = _evaluate(t.expr)
+def ends(t: Identity, side: str = "") -> Column:
+    """Both sides of the identity over a slot row, before judgement; ``side`` goes before the slots' names."""
+    tl, th, t_ids, t_missing = _resolve(t.target, side)
+    el, eh, e_ids, e_missing = _evaluate(t.expr, side)
     return F.struct(
         F.lit(t.id).alias("template_id"), F.lit(t.severity).alias("severity"), F.lit(t.tolerance.abs).alias("tol_abs"), F.lit(t.tolerance.rel).alias("tol_rel"),
         F.lit(t.tolerance.rel_truth).alias("tol_rel_truth"), tl.alias("tl"), th.alias("th"), el.alias("el"), eh.alias("eh"),
@@ -179,11 +179,17 @@ def ends(t: Identity) -> Column:
     )
 
 
+def verdict(e: Column | None, truth: bool) -> tuple[Column, Column, Column]:
+    """Status, residual and band of what :func:`ends` gives, as a struct or as columns; the band's edge still satisfies."""
+    part = F.col if e is None else e.getField
+    expected = (part("el") + part("eh")) / 2
+    residual = (part("tl") + part("th")) / 2 - expected
+    band = F.greatest(part("tol_abs"), part("tol_rel_truth" if truth else "tol_rel") * F.abs(expected), (part("th") - part("tl") + part("eh") - part("el")) / 2)
+    band = F.when(residual.isNotNull(), band)
+    return F.when(residual.isNull(), "indeterminate").when(F.abs(residual) <= band, "satisfied").otherwise("violated"), residual, band
+
+
 def judge(rows: DataFrame, truth: bool, keep: list[str]) -> DataFrame:
-    """Status, residual and band of rows that carry :func:`ends`; the band's edge still satisfies."""
-    expected = (F.col("el") + F.col("eh")) / 2
-    rows = rows.withColumn("residual", (F.col("tl") + F.col("th")) / 2 - expected)
-    band = F.greatest("tol_abs", F.col("tol_rel_truth" if truth else "tol_rel") * F.abs(expected), (F.col("th") - F.col("tl") + F.col("eh") - F.col("el")) / 2)
-    rows = rows.withColumn("band", F.when(F.col("residual").isNotNull(), band))
-    status = F.when(F.col("residual").isNull(), "indeterminate").when(F.abs("residual") <= F.col("band"), "satisfied").otherwise("violated")
-    return rows.select(*keep, "template_id", "severity", status.alias("status"), "residual", "band", "involved", "missing")
+    """Status, residual and band of rows that carry :func:`ends`."""
+    status, residual, band = verdict(None, truth)
+    return rows.select(*keep, "template_id", "severity", status.alias("status"), residual.alias("residual"), band.alias("band"), "involved", "missing")

@@ -1,9 +1,9 @@
 """Fact tables out of the star-schema test tables.
 
-A filing is a nation and a year of its customers' orders, in whole dollars. The text facts are the
-trusted ones with deliberate faults (a segment dropped or inflated, a total off by its scale, cost of
-sales missing), each chosen by arithmetic on nation and year, so that every outcome occurs. ``BASE`` says the
-same in SQL, for comparison.
+A filing is a nation and a year of its customers' orders, in whole dollars; ratios have four places. Rounding differs by filing
+and concept. The text facts are the trusted ones with deliberate faults (a segment dropped or inflated, a total off by its scale,
+cost of sales missing, facts repeated), each chosen by arithmetic on nation and year, so that every outcome of every identity
+occurs. ``BASE`` says the same in SQL, for comparison.
 """
 
 from __future__ import annotations
@@ -15,47 +15,76 @@ from ..operators.facts import DIMS, prepare
 
 BASE = """
 base AS (
-  SELECT c.c_nationkey AS n, year(o.o_orderdate) AS y, c.c_mktsegment AS seg, o.o_orderkey AS k,
-    CAST(floor(o.o_totalprice) AS bigint) AS v
+  SELECT c.c_nationkey AS n, year(o.o_orderdate) AS y, c.c_mktsegment AS seg, o.o_orderkey AS k, CAST(floor(o.o_totalprice) AS bigint) AS v
   FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey WHERE o.o_totalprice IS NOT NULL AND o.o_orderdate IS NOT NULL),
-tot AS (SELECT n, y, CAST(sum(v) AS bigint) AS total, CAST(sum(CASE WHEN k % 3 <> 0 THEN v ELSE 0 END) AS bigint) AS cogs FROM base GROUP BY n, y),
 segs AS (SELECT n, y, seg, CAST(sum(v) AS bigint) AS sv FROM base GROUP BY n, y, seg),
 bal AS (SELECT c_nationkey AS n, CAST(sum(CAST(floor(abs(c_acctbal)) AS bigint)) AS bigint) * 100 + 5000000 AS a FROM {customer} GROUP BY c_nationkey),
-inc AS (SELECT n, y, total, cogs, CASE WHEN (n + y) % 9 = 4 THEN CAST(floor(total * 1.07E0) AS bigint) ELSE total END AS rev FROM tot),
+tot AS (SELECT n, y, CAST(sum(v) AS bigint) AS total, CAST(sum(CASE WHEN k % 3 <> 0 THEN v ELSE 0 END) AS bigint) AS cogs FROM base GROUP BY n, y),
+inc AS (SELECT tot.*, a, CAST(floor(a * 0.6E0) AS bigint) AS li, total - cogs AS g, CASE WHEN (tot.n + y) % 9 = 4 THEN CAST(floor(total * 1.07E0) AS bigint) ELSE total END AS rev FROM tot JOIN bal ON tot.n = bal.n),
+fig AS (SELECT *, CAST(floor(g * 0.5E0) AS bigint) AS op, CASE WHEN n % 12 = 11 THEN 0 ELSE CAST(floor(g * 0.45E0) AS bigint) END AS pre, CAST(floor(g * 0.1E0) AS bigint) AS tax,
+  CAST(floor(g * 0.35E0) AS bigint) AS net, a - li + CASE WHEN (n + y) % 8 = 3 THEN 2500000 ELSE 0 END AS eq FROM inc),
+one AS (
+  SELECT n, y, 1 AS ord, 'revenue.total' AS concept, 'duration' AS kind, rev * 10000 AS v4 FROM fig
+  UNION ALL SELECT n, y, 30, 'cogs.total', 'duration', cogs * 10000::BIGINT FROM fig
+  UNION ALL SELECT n, y, 31, 'gross_profit.total', 'duration', (rev - cogs + CASE WHEN (n + y) % 10 = 7 THEN 1000000 ELSE 0 END) * 10000::BIGINT FROM fig WHERE n % 4 <> 2
+  UNION ALL SELECT n, y, 32, 'operating_income.total', 'duration', op * 10000::BIGINT FROM fig
+  UNION ALL SELECT n, y, 33, 'opex.total', 'duration', (rev - cogs - op + CASE WHEN (n + y) % 8 = 6 THEN 1500000 ELSE 0 END) * 10000::BIGINT FROM fig WHERE n % 5 <> 0
+  UNION ALL SELECT n, y, 60, 'pretax_income.total', 'duration', pre * 10000::BIGINT FROM fig
+  UNION ALL SELECT n, y, 61, 'income_tax.total', 'duration', tax * 10000::BIGINT FROM fig
+  UNION ALL SELECT n, y, 62, 'net_income.parent', 'duration', (net + CASE WHEN n % 5 = 3 THEN 1500000 ELSE 0 END) * 10000::BIGINT FROM fig
+  UNION ALL SELECT n, y, 63, 'net_income.consolidated', 'duration', net * 10000::BIGINT FROM fig WHERE n % 2 = 0
+  UNION ALL SELECT n, y, 64, 'net_income.nci', 'duration', CASE WHEN (n + y) % 3 = 0 THEN 250000 ELSE 0 END * 10000::BIGINT FROM fig WHERE n % 2 = 0
+  UNION ALL SELECT n, y, 65, 'income.equity_method', 'duration', -200000 * 10000::BIGINT FROM fig WHERE n % 7 = 5
+  UNION ALL SELECT n, y, 66, 'income.discontinued', 'duration', 400000 * 10000::BIGINT FROM fig WHERE n % 7 = 3
+  UNION ALL SELECT n, y, 67, 'cfo.total', 'duration', op * 10000::BIGINT FROM fig
+  UNION ALL SELECT n, y, 70, 'assets.total', 'instant', a * 10000::BIGINT FROM fig
+  UNION ALL SELECT n, y, 71, 'liabilities.total', 'instant', li * 10000::BIGINT FROM fig
+  UNION ALL SELECT n, y, 72, CASE WHEN n % 2 = 0 THEN 'equity.total' ELSE 'equity.parent' END, 'instant', eq * 10000::BIGINT FROM fig
+  UNION ALL SELECT n, y, 73, 'equity.temporary', 'instant', 2500000 * 10000::BIGINT FROM fig WHERE n % 6 = 5
+  UNION ALL SELECT n, y, 74, 'liabilities_and_equity.total', 'instant', (a + CASE WHEN (n + y) % 9 = 1 THEN 3000000 ELSE 0 END) * 10000::BIGINT FROM fig WHERE n % 4 <> 1
+  UNION ALL SELECT n, y, 75, 'assets.current', 'instant', CAST(floor(a * 0.3E0) AS bigint) * 10000::BIGINT FROM fig
+  UNION ALL SELECT n, y, 76, 'assets.noncurrent', 'instant', (a - CAST(floor(a * 0.3E0) AS bigint) + CASE WHEN (n + y) % 7 = 2 THEN 4000000 ELSE 0 END) * 10000::BIGINT FROM fig WHERE n % 3 <> 2
+  UNION ALL SELECT n, y, 77, 'liabilities.current', 'instant', CAST(floor(li * 0.4E0) AS bigint) * 10000::BIGINT FROM fig WHERE n % 3 <> 1
+  UNION ALL SELECT n, y, 78, 'liabilities.noncurrent', 'instant', (li - CAST(floor(li * 0.4E0) AS bigint) + CASE WHEN (n + y) % 5 = 4 THEN 2000000 ELSE 0 END) * 10000::BIGINT FROM fig WHERE n % 3 <> 1
+  UNION ALL SELECT n, y, 79, 'equity.parent', 'instant', (eq - CAST(floor(a * 0.02E0) AS bigint)) * 10000::BIGINT FROM fig WHERE n % 4 = 0
+  UNION ALL SELECT n, y, 80, 'equity.nci', 'instant', (CAST(floor(a * 0.02E0) AS bigint) + CASE WHEN (n + y) % 6 = 5 THEN 3000000 ELSE 0 END) * 10000::BIGINT FROM fig WHERE n % 4 = 0
+  UNION ALL SELECT n, y, 90, 'gross_margin.ratio', 'duration', CAST(floor((rev - cogs) * 10000E0 / rev) AS bigint) + CASE WHEN (n + y) % 6 = 3 THEN 200 ELSE 0 END FROM fig WHERE n % 3 = 0
+  UNION ALL SELECT n, y, 91, 'operating_margin.ratio', 'duration', CAST(floor(op * 10000E0 / rev) AS bigint) + CASE WHEN (n + y) % 7 = 5 THEN 150 ELSE 0 END FROM fig WHERE n % 3 = 0
+  UNION ALL SELECT n, y, 92, 'net_margin.ratio', 'duration', CAST(floor((net + CASE WHEN n % 5 = 3 THEN 1500000 ELSE 0 END) * 10000E0 / rev) AS bigint) - CASE WHEN (n + y) % 5 = 0 THEN 200 ELSE 0 END FROM fig WHERE n % 4 = 1
+  UNION ALL SELECT n, y, 93, 'effective_tax_rate.ratio', 'duration', CASE WHEN pre = 0 THEN 2222 ELSE CAST(floor(tax * 10000E0 / pre) AS bigint) END + CASE WHEN (n + y) % 6 = 2 THEN 300 ELSE 0 END FROM fig WHERE n % 4 = 3),
 truth AS (
-  SELECT n, y, 1 AS ord, 'revenue.total' AS concept, 'duration' AS period_type, rev AS v, CAST(NULL AS varchar(32)) AS seg FROM inc
-  UNION ALL SELECT n, y, 10 + CAST(ascii(seg) AS int) - 65, 'revenue.segment', 'duration', sv, seg FROM segs WHERE n % 10 <> 7
-  UNION ALL SELECT n, y, 30, 'cogs.total', 'duration', cogs, NULL FROM inc
-  UNION ALL SELECT n, y, 31, 'gross_profit.total', 'duration', rev - cogs, NULL FROM inc WHERE n % 4 <> 2
-  UNION ALL SELECT n, y, 32, 'operating_income.total', 'duration', CAST(floor((total - cogs) * 0.5E0) AS bigint), NULL FROM inc
-  UNION ALL SELECT n, y, 40 + CAST(ascii(seg) AS int) - 65, 'operating_income.segment', 'duration', CAST(floor(sv * 0.15E0) AS bigint), seg FROM segs WHERE n % 3 = 1
-  UNION ALL SELECT n, y, 60, 'pretax_income.total', 'duration', CAST(floor((total - cogs) * 0.45E0) AS bigint), NULL FROM inc
-  UNION ALL SELECT n, y, 61, 'income_tax.total', 'duration', CAST(floor((total - cogs) * 0.1E0) AS bigint), NULL FROM inc
-  UNION ALL SELECT n, y, 62, 'net_income.parent', 'duration', CAST(floor((total - cogs) * 0.35E0) AS bigint) + CASE WHEN n % 5 = 3 THEN 1500000 ELSE 0 END, NULL FROM inc
-  UNION ALL SELECT n, y, 63, 'net_income.consolidated', 'duration', CAST(floor((total - cogs) * 0.35E0) AS bigint), NULL FROM inc WHERE n % 2 = 0
-  UNION ALL SELECT i.n, i.y, 70, 'assets.total', 'instant', b.a, NULL FROM inc i JOIN bal b ON i.n = b.n
-  UNION ALL SELECT i.n, i.y, 71, 'liabilities.total', 'instant', CAST(floor(b.a * 0.6E0) AS bigint), NULL FROM inc i JOIN bal b ON i.n = b.n
-  UNION ALL SELECT i.n, i.y, 72, CASE WHEN i.n % 2 = 0 THEN 'equity.total' ELSE 'equity.parent' END, 'instant', b.a - CAST(floor(b.a * 0.6E0) AS bigint) + CASE WHEN (i.n + i.y) % 8 = 3 THEN 2500000 ELSE 0 END, NULL FROM inc i JOIN bal b ON i.n = b.n
-  UNION ALL SELECT i.n, i.y, 73, 'equity.temporary', 'instant', 2500000, NULL FROM inc i WHERE i.n % 6 = 5
-  UNION ALL SELECT i.n, i.y, 74, 'liabilities_and_equity.total', 'instant', b.a, NULL FROM inc i JOIN bal b ON i.n = b.n WHERE i.n % 4 <> 1
-  UNION ALL SELECT i.n, i.y, 75, 'assets.current', 'instant', CAST(floor(b.a * 0.3E0) AS bigint), NULL FROM inc i JOIN bal b ON i.n = b.n),
+  SELECT n, y, ord, concept, kind, v4, CAST(NULL AS varchar(32)) AS seg, CAST(NULL AS varchar(32)) AS more FROM one
+  UNION ALL SELECT n, y, 10 + CAST(ascii(seg) AS int) - 65, 'revenue.segment', 'duration', sv * 10000, seg, NULL FROM segs WHERE n % 10 <> 7
+  UNION ALL SELECT n, y, 200 + CAST(ascii(seg) AS int) - 65, 'revenue.segment', 'duration', sv * 5000, seg, 'product' FROM segs WHERE n % 8 = 1
+  UNION ALL SELECT n, y, 300, 'revenue.segment', 'duration', 0, 'ELIMINATIONS', 'consolidation_item' FROM fig WHERE n % 8 = 2
+  UNION ALL SELECT n, y, 40 + CAST(ascii(seg) AS int) - 65, 'operating_income.segment', 'duration', CAST(floor(sv * CASE WHEN y % 2 = 0 THEN 0.5E0 ELSE 0.15E0 END * (1 - CASE WHEN y % 2 = 0 THEN cogs * 1E0 / total ELSE 0E0 END)) AS bigint) * 10000, seg, NULL
+    FROM segs JOIN (SELECT n AS fn, y AS fy, cogs, total FROM fig) ON fn = n AND fy = y WHERE n % 3 = 1),
 told AS (
-  SELECT n, y, ord, concept, period_type, seg,
-    CASE WHEN concept = 'revenue.segment' AND seg = 'MACHINERY' AND (n + y) % 5 = 2 THEN CAST(floor(v * 1.2E0) AS bigint)
-         WHEN concept = 'revenue.total' AND n % 11 = 5 THEN CAST(floor(v / 1000E0) AS bigint)
-         WHEN concept = 'assets.total' AND (n + y) % 6 = 1 THEN v * 2 ELSE v END AS v
+  SELECT n, y, ord, concept, kind, seg, more,
+    CASE WHEN concept = 'revenue.segment' AND seg = 'MACHINERY' AND more IS NULL AND (n + y) % 5 = 2 THEN CAST(floor(v4 / 10000 * 1.2E0) AS bigint) * 10000
+         WHEN concept = 'revenue.total' AND n % 11 = 5 THEN CAST(floor(v4 / 10000 / 1000E0) AS bigint) * 10000
+         WHEN concept = 'assets.total' AND (n + y) % 6 = 1 THEN v4 * 2 ELSE v4 END AS v4
   FROM truth
   WHERE NOT (concept = 'revenue.segment' AND seg = 'BUILDING' AND (n + y) % 7 = 3) AND NOT (concept = 'cogs.total' AND n % 6 = 1)),
-facts AS (
-  SELECT concat(CAST(n AS varchar(12)), '-', CAST(y AS varchar(12))) AS filing_id, CAST(ord AS bigint) AS ord, concept, v, period_type, CAST(y AS int) AS fiscal_year, 'xbrl' AS source, seg FROM truth
-  UNION ALL SELECT concat(CAST(n AS varchar(12)), '-', CAST(y AS varchar(12))), CAST(1000 + ord AS bigint), concept, v, period_type, CAST(y AS int), 'text', seg FROM told
-  UNION ALL SELECT concat(CAST(n AS varchar(12)), '-', CAST(y AS varchar(12))), CAST(1500 + ord AS bigint), concept, v, period_type, CAST(y AS int), 'text', seg FROM told WHERE n % 9 = 2 AND concept = 'revenue.total'
-  UNION ALL SELECT concat(CAST(n AS varchar(12)), '-', CAST(y AS varchar(12))), CAST(2000 + ord AS bigint), concept, v + 7000000, period_type, CAST(y AS int), 'text', seg FROM told WHERE n % 9 = 3 AND concept = 'revenue.total')
-"""
+versions AS (
+  SELECT *, 'xbrl' AS source FROM truth
+  UNION ALL SELECT n, y, 1000 + ord, concept, kind, v4, seg, more, 'text' FROM told
+  UNION ALL SELECT n, y, 1500 + ord, concept, kind, v4, seg, more, 'text' FROM told WHERE n % 9 = 2 AND concept = 'revenue.total' OR n % 9 = 4 AND concept = 'revenue.segment'
+  UNION ALL SELECT n, y, 2000 + ord, concept, kind, v4 + 70000000000, seg, more, 'text' FROM told WHERE n % 9 = 3 AND concept = 'revenue.total'
+  UNION ALL SELECT n, y, 3000 + ord, 'gross_profit.total', kind, v4, seg, more, 'text' FROM told WHERE n % 4 = 2 AND concept = 'cogs.total'),
+stated AS (
+  SELECT concat(CAST(n AS varchar(12)), '-', CAST(y AS varchar(12))) AS filing_id, CAST(ord AS bigint) AS ord, concept, v4, CAST(v4 AS DOUBLE) / 10000 AS v, kind AS period_type, CAST(y AS int) AS fiscal_year, source, seg, more,
+    CASE WHEN concept LIKE '%.ratio' THEN 'ratio' WHEN concept = 'cfo.total' AND n % 2 = 0 THEN NULL ELSE 'USD' END AS unit,
+    CASE WHEN source = 'text' THEN CASE n % 3 WHEN 0 THEN 'ones' WHEN 1 THEN 'thousands' ELSE 'millions' END ELSE 'ones' END AS reported_scale,
+    CASE WHEN source = 'text' THEN NULL WHEN concept LIKE '%.ratio' THEN 4 WHEN n % 4 = 2 THEN -3 WHEN n % 4 = 3 THEN -5 ELSE 0 END AS decimals
+  FROM versions),
+every AS (
+  SELECT *, CASE WHEN decimals <= 0 THEN pow(10.0, -decimals) / 2 WHEN coalesce(unit, '') <> 'USD' THEN 0.0 WHEN reported_scale = 'thousands' THEN 500.0 WHEN reported_scale = 'millions' THEN 500000.0 ELSE 0.5 END::DOUBLE AS half FROM stated),
+facts AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY filing_id, concept, period_type, source, v, seg, more, unit ORDER BY ord) = 1)"""
 
 
 def with_facts(orders: str = "orders", customer: str = "customer") -> str:
-    """``WITH`` clause whose last table is ``facts``."""
+    """``WITH`` clause whose last table is ``facts``, each once."""
     return "WITH " + BASE.format(orders=orders, customer=customer)
 
 
@@ -64,7 +93,7 @@ def _floor(c) -> Column:
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trusted facts ``n, y, ord, concept, period_type, v, seg``: one aggregation, then every figure of a row at once."""
+    """Trusted facts ``n, y, ord, concept, kind, v4, seg, more`` (``v4``: ten thousandths): one aggregation, then every figure of a row at once."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.col("c_nationkey").alias("n"), F.col("c_mktsegment").alias("seg"), "c_acctbal")
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_totalprice IS NOT NULL AND o_orderdate IS NOT NULL")
     o = o.select("o_custkey", F.year("o_orderdate").alias("y"), F.col("o_orderkey").alias("k"), _floor("o_totalprice").alias("v"))
@@ -72,51 +101,86 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = base.groupBy("n", "y", "seg").agg(F.sum("v").alias("sv"), F.sum(F.when(F.col("k") % 3 != 0, F.col("v")).otherwise(0)).alias("cogs"))
     w = segs.groupBy("n", "y").agg(F.sum("sv").alias("total"), F.sum("cogs").alias("cogs"), F.collect_list(F.struct("seg", "sv")).alias("segs"))
     w = w.join(c.groupBy("n").agg((F.sum(_floor(F.abs("c_acctbal"))) * 100 + 5_000_000).alias("a")), "n")
-    n, y, a = F.col("n"), F.col("y"), F.col("a")
-    w = w.withColumn("rev", F.when((n + y) % 9 == 4, _floor(F.col("total") * 1.07)).otherwise(F.col("total"))).withColumn("g", F.col("total") - F.col("cogs"))
-
-    def row(ord_, concept, v, rule=None, seg=None, kind="duration"):
-        fields = [F.lit(ord_) if isinstance(ord_, int) else ord_, F.lit(concept) if isinstance(concept, str) else concept, F.lit(kind), v.cast("long"), F.lit(None).cast("string") if seg is None else seg]
-        out = F.struct(*[f.cast(t).alias(name) for f, t, name in zip(fields, ("long", "string", "string", "long", "string"), ("ord", "concept", "period_type", "v", "seg"), strict=True)])
+    n, y, a, total, cogs = (F.col(x) for x in ("n", "y", "a", "total", "cogs"))
+    plus = lambda rule, k: F.when(rule, k).otherwise(0)
+    w = w.withColumn("rev", F.when((n + y) % 9 == 4, _floor(total * 1.07)).otherwise(total)).withColumn("g", total - cogs).withColumn("li", _floor(a * 0.6))
+    g = F.col("g")
+    w = w.withColumns({
+        "op": _floor(g * 0.5), "pre": F.when(n % 12 == 11, 0).otherwise(_floor(g * 0.45)).cast("long"), "tax": _floor(g * 0.1), "net": _floor(g * 0.35),
+        "eq": a - F.col("li") + plus((n + y) % 8 == 3, 2_500_000), "cur": _floor(a * 0.3), "lcur": _floor(F.col("li") * 0.4), "nci": _floor(a * 0.02),
+    })
+    rev, li, op, pre, tax, net, eq, cur, lcur, nci = (F.col(x) for x in ("rev", "li", "op", "pre", "tax", "net", "eq", "cur", "lcur", "nci"))
+    parent = net + plus(n % 5 == 3, 1_500_000)
+
+    def row(ord_, concept, v4, rule=None, kind="duration", seg=None, more=None):
+        given = (ord_, concept, kind, v4, seg, more)
+        columns = [x if isinstance(x, Column) else F.lit(x) for x in given]
+        out = F.struct(*[x.cast(t).alias(name) for x, t, name in zip(columns, ("long", "string", "string", "long", "string", "string"), ("ord", "concept", "kind", "v4", "seg", "more"), strict=True)])
         return out if rule is None else F.when(rule, out)
 
-    def by_segment(first, concept, rule, value):
-        each = F.transform("segs", lambda s: row(first + F.ascii(s["seg"]) - 65, concept, value(s["sv"]), None, s["seg"]))
+    def dollars(ord_, concept, v, rule=None, kind="duration"):
+        return row(ord_, concept, v.cast("long") * 10_000, rule, kind)
+
+    def by_segment(first, concept, rule, v4, more=None):
+        each = F.transform("segs", lambda s: row(first + F.ascii(s["seg"]) - 65, concept, v4(s["sv"]), seg=s["seg"], more=more))
         return F.when(rule, each).otherwise(F.slice(each, 1, 0))
 
-    g, liabilities = F.col("g"), _floor(a * 0.6)
+    ratio = lambda ord_, concept, top, bottom, rule, off: row(ord_, concept, _floor(F.try_divide(top * F.lit(10_000.0), bottom)) + off, rule)
+    instant = lambda ord_, concept, v, rule=None: dollars(ord_, concept, v, rule, "instant")
     single = F.array(
-        row(1, "revenue.total", F.col("rev")), row(30, "cogs.total", F.col("cogs")), row(31, "gross_profit.total", F.col("rev") - F.col("cogs"), n % 4 != 2),
-        row(32, "operating_income.total", _floor(g * 0.5)), row(60, "pretax_income.total", _floor(g * 0.45)), row(61, "income_tax.total", _floor(g * 0.1)),
-        row(62, "net_income.parent", _floor(g * 0.35) + F.when(n % 5 == 3, 1_500_000).otherwise(0)), row(63, "net_income.consolidated", _floor(g * 0.35), n % 2 == 0),
-        row(70, "assets.total", a, kind="instant"), row(71, "liabilities.total", liabilities, kind="instant"),
-        row(72, F.when(n % 2 == 0, "equity.total").otherwise("equity.parent"), a - liabilities + F.when((n + y) % 8 == 3, 2_500_000).otherwise(0), kind="instant"),
-        row(73, "equity.temporary", F.lit(2_500_000), n % 6 == 5, kind="instant"), row(74, "liabilities_and_equity.total", a, n % 4 != 1, kind="instant"), row(75, "assets.current", _floor(a * 0.3), kind="instant"),
+        dollars(1, "revenue.total", rev), dollars(30, "cogs.total", cogs), dollars(31, "gross_profit.total", rev - cogs + plus((n + y) % 10 == 7, 1_000_000), n % 4 != 2), dollars(32, "operating_income.total", op),
+        dollars(33, "opex.total", rev - cogs - op + plus((n + y) % 8 == 6, 1_500_000), n % 5 != 0), dollars(60, "pretax_income.total", pre), dollars(61, "income_tax.total", tax),
+        dollars(62, "net_income.parent", parent), dollars(63, "net_income.consolidated", net, n % 2 == 0), dollars(64, "net_income.nci", plus((n + y) % 3 == 0, 250_000), n % 2 == 0),
+        dollars(65, "income.equity_method", F.lit(-200_000), n % 7 == 5), dollars(66, "income.discontinued", F.lit(400_000), n % 7 == 3), dollars(67, "cfo.total", op),
+        instant(70, "assets.total", a), instant(71, "liabilities.total", li), instant(72, F.when(n % 2 == 0, "equity.total").otherwise("equity.parent"), eq),
+        instant(73, "equity.temporary", F.lit(2_500_000).cast("long"), n % 6 == 5), instant(74, "liabilities_and_equity.total", a + plus((n + y) % 9 == 1, 3_000_000), n % 4 != 1), instant(75, "assets.current", cur),
+        instant(76, "assets.noncurrent", a - cur + plus((n + y) % 7 == 2, 4_000_000), n % 3 != 2), instant(77, "liabilities.current", lcur, n % 3 != 1),
+        instant(78, "liabilities.noncurrent", li - lcur + plus((n + y) % 5 == 4, 2_000_000), n % 3 != 1), instant(79, "equity.parent", eq - nci, n % 4 == 0),
+        instant(80, "equity.nci", nci + plus((n + y) % 6 == 5, 3_000_000), n % 4 == 0),
+        ratio(90, "gross_margin.ratio", rev - cogs, rev, n % 3 == 0, plus((n + y) % 6 == 3, 200)), ratio(91, "operating_margin.ratio", op, rev, n % 3 == 0, plus((n + y) % 7 == 5, 150)),
+        ratio(92, "net_margin.ratio", parent, rev, n % 4 == 1, -plus((n + y) % 5 == 0, 200)),
+        row(93, "effective_tax_rate.ratio", F.coalesce(_floor(F.try_divide(tax * F.lit(10_000.0), pre)), F.lit(2222)) + plus((n + y) % 6 == 2, 300), n % 4 == 3),
+    )
+    even = y % 2 == 0
+    share = F.when(even, 0.5).otherwise(0.15)
+    kept = 1 - F.when(even, cogs * 1.0 / total).otherwise(0.0)
+    every = F.concat(
+        F.array_compact(single), by_segment(10, "revenue.segment", n % 10 != 7, lambda v: v * 10_000), by_segment(200, "revenue.segment", n % 8 == 1, lambda v: v * 5000, "product"),
+        F.array_compact(F.array(row(300, "revenue.segment", 0, n % 8 == 2, seg="ELIMINATIONS", more="consolidation_item"))),
+        by_segment(40, "operating_income.segment", n % 3 == 1, lambda v: _floor(v * share * kept) * 10_000),
     )
-    every = F.concat(F.array_compact(single), by_segment(10, "revenue.segment", n % 10 != 7, lambda v: v), by_segment(40, "operating_income.segment", n % 3 == 1, lambda v: _floor(v * 0.15)))
     return w.select("n", "y", F.inline(every))
 
 
 def raw_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The facts as an extractor delivers them, copies included."""
-    n, y, v, concept, seg = (F.col(c) for c in ("n", "y", "v", "concept", "seg"))
+    n, y, v4, concept, seg = (F.col(c) for c in ("n", "y", "v4", "concept", "seg"))
+    whole = v4 / 10_000
     told = (
-        F.when((concept == "revenue.segment") & (seg == "MACHINERY") & ((n + y) % 5 == 2), _floor(v * 1.2)).when((concept == "revenue.total") & (n % 11 == 5), _floor(v / 1000))
-        .when((concept == "assets.total") & ((n + y) % 6 == 1), v * 2).otherwise(v)
+        F.when((concept == "revenue.segment") & (seg == "MACHINERY") & F.col("more").isNull() & ((n + y) % 5 == 2), _floor(whole * 1.2) * 10_000)
+        .when((concept == "revenue.total") & (n % 11 == 5), _floor(whole / 1000) * 10_000).when((concept == "assets.total") & ((n + y) % 6 == 1), v4 * 2).otherwise(v4)
     )
     kept = ~F.coalesce((concept == "revenue.segment") & (seg == "BUILDING") & ((n + y) % 7 == 3), F.lit(False)) & ~((concept == "cogs.total") & (n % 6 == 1))
-    version = lambda source, shift, value: F.struct(F.lit(source).alias("source"), (F.col("ord") + shift).alias("ord"), value.alias("v"))
+    version = lambda source, shift, value, name=concept: F.struct(F.lit(source).alias("source"), (F.col("ord") + shift).alias("ord"), value.alias("v4"), name.alias("concept"))
+    again = (n % 9 == 2) & (concept == "revenue.total") | (n % 9 == 4) & (concept == "revenue.segment")
     versions = F.array(
-        version("xbrl", 0, v), F.when(kept, version("text", 1000, F.col("told"))),
-        F.when((n % 9 == 2) & (concept == "revenue.total"), version("text", 1500, F.col("told"))),
-        F.when((n % 9 == 3) & (concept == "revenue.total"), version("text", 2000, F.col("told") + 7_000_000)),
+        version("xbrl", 0, v4), F.when(kept, version("text", 1000, F.col("told"))), F.when(kept & again, version("text", 1500, F.col("told"))),
+        F.when((n % 9 == 3) & (concept == "revenue.total"), version("text", 2000, F.col("told") + 70_000_000_000)),
+        F.when(kept & (n % 4 == 2) & (concept == "cogs.total"), version("text", 3000, F.col("told"), F.lit("gross_profit.total"))),
     )
-    df = _truth(spark, sf_dir).withColumn("told", told)
-    df = df.select(F.concat(n.cast("string"), F.lit("-"), y.cast("string")).alias("filing_id"), "concept", "period_type", y.alias("fiscal_year"), "seg", F.inline(F.array_compact(versions)))
-    dims = F.when(F.col("seg").isNotNull(), F.array(F.struct(F.lit("segment").alias("axis"), F.col("seg").alias("member")))).otherwise(F.array().cast(DIMS))
+    df = _truth(spark, sf_dir).withColumn("told", told).withColumn("versions", F.array_compact(versions)).drop("ord", "v4", "concept")
+    df = df.select("n", "y", "kind", "seg", "more", F.inline("versions"))
+    axis = lambda name, member: F.struct(F.lit(name).alias("axis") if isinstance(name, str) else name.alias("axis"), member.alias("member"))
+    none = F.array().cast(DIMS)
+    dims = F.concat(F.when(seg.isNotNull(), F.array(axis("segment", seg))).otherwise(none), F.when(F.col("more").isNotNull(), F.array(axis(F.col("more"), F.lit("P")))).otherwise(none))
+    text, ratio = F.col("source") == "text", concept.endswith(".ratio")
+    scale = F.when(~text, "ones").when(n % 3 == 0, "ones").when(n % 3 == 1, "thousands").otherwise("millions")
+    decimals = F.when(text, F.lit(None)).when(ratio, 4).when(n % 4 == 2, -3).when(n % 4 == 3, -5).otherwise(0)
+    unit = F.when(ratio, "ratio").when((concept == "cfo.total") & (n % 2 == 0), F.lit(None)).otherwise("USD")
     return df.select(
-        "filing_id", "ord", "concept", F.col("v").cast("decimal(20,0)").alias("value"), "period_type", "fiscal_year", F.lit("FY").alias("fiscal_period"),
-        "source", F.lit("USD").alias("unit"), F.lit("ones").alias("reported_scale"), F.lit(0).alias("decimals"), F.lit(None).cast("double").alias("band"), dims.alias("dims"),
+        F.concat(n.cast("string"), F.lit("-"), y.cast("string")).alias("filing_id"), "ord", "concept", (v4.cast("decimal(24,4)") / 10_000).cast("decimal(24,4)").alias("value"),
+        F.col("kind").alias("period_type"), y.alias("fiscal_year"), F.lit("FY").alias("fiscal_period"), "source", unit.alias("unit"), scale.alias("reported_scale"), decimals.cast("int").alias("decimals"),
+        F.lit(None).cast("double").alias("band"), dims.alias("dims"),
     )
 
 

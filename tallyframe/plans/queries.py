@@ -14,7 +14,7 @@ from ..operators import qa, report
 from ..operators.check import check
 from ..streaming import admission
 from . import oracle
-from .identities import registry
+from .identities import SLOT, registry
 from .ontology import concepts
 from .projection import facts, raw_facts
 
@@ -32,7 +32,7 @@ def _table(spark, sf_dir, name):
 
 
 def _digest(results: DataFrame) -> DataFrame:
-    return results.select("filing_id", "template_id", "status", F.round("residual", 4).alias("residual"), F.round("band", 4).alias("band"))
+    return results.select("filing_id", "template_id", "status", (F.round("residual", 4) + F.lit(0.0)).alias("residual"), F.round("band", 4).alias("band"))
 
 
 @_query
@@ -57,7 +57,7 @@ def facts_dedup_first_wins(spark, sf_dir):
 @_query
 def fact_ids(spark, sf_dir):
     """Content ids of all trusted facts."""
-    return facts(spark, sf_dir, "xbrl").select("filing_id", "ord", "concept", F.get(F.transform("dims", lambda d: d["member"]), 0).alias("seg"), "fact_id")
+    return facts(spark, sf_dir, "xbrl").select("filing_id", "ord", "concept", F.get(F.transform(F.filter("dims", lambda d: d["axis"] == "segment"), lambda d: d["member"]), 0).alias("seg"), "fact_id")
 
 
 @_query
@@ -126,7 +126,7 @@ def aggregable_axes(spark, sf_dir):
 def propagate_derived(spark, sf_dir):
     """Figures derived to the fixpoint, with the identity each came from."""
     derived, _ = pg.propagate(facts(spark, sf_dir, "xbrl"))
-    return derived.select("filing_id", "concept", F.round("value", 9).alias("value"), F.round("band", 9).alias("band"), "template_id", F.size("input_ids").alias("n_inputs"), "step")
+    return derived.select("filing_id", "concept", (F.round("value", 9) + F.lit(0.0)).alias("value"), F.round("band", 9).alias("band"), "template_id", F.size("input_ids").alias("n_inputs"), "step")
 
 
 @_query
@@ -158,27 +158,27 @@ def localize_vouches(spark, sf_dir):
 @_query
 def localize_fault_injection(spark, sf_dir):
     """Suspects of the segment tie-out after the largest segment was raised."""
-    results = check(pg.inject_fault(facts(spark, sf_dir, "xbrl")), None, True)
+    _, results = pg.propagate(pg.inject_fault(facts(spark, sf_dir, "xbrl")))
     return pg.localize(results).filter("template_id = 'rev.segments_sum'").select("filing_id", "rank", "vouches", "score")
 
 
 @_query
 def attribute_labels(spark, sf_dir):
     """Cause of every violation in the text facts."""
-    out = report.attribute(facts(spark, sf_dir, "text"), facts(spark, sf_dir, "xbrl"))
+    out = report.Reconciliation(facts(spark, sf_dir)).attribute()
     return out.select("filing_id", "period_type", "template_id", "label", "judge_invisible")
 
 
 @_query
 def attribute_evidence(spark, sf_dir):
     """Evidence of extraction errors."""
-    return report.attribute(facts(spark, sf_dir, "text"), facts(spark, sf_dir, "xbrl")).filter("evidence <> ''").select("filing_id", "template_id", "evidence")
+    return report.Reconciliation(facts(spark, sf_dir)).attribute().filter("evidence <> ''").select("filing_id", "template_id", "evidence")
 
 
 @_query
 def attribute_counts(spark, sf_dir):
     """Violations by cause."""
-    return report.attribute(facts(spark, sf_dir, "text"), facts(spark, sf_dir, "xbrl")).groupBy("label").agg(F.count("*").alias("n"))
+    return report.Reconciliation(facts(spark, sf_dir)).attribute().groupBy("label").agg(F.count("*").alias("n"))
 
 
 @_query
@@ -190,25 +190,27 @@ def fact_comparison(spark, sf_dir):
 @_query
 def constraint_compare(spark, sf_dir):
     """Every identity in trusted data and text."""
-    return report.compare_identities(facts(spark, sf_dir, "text"), facts(spark, sf_dir, "xbrl")).select("filing_id", "template_id", "truth_status", "text_status")
+    return report.Reconciliation(facts(spark, sf_dir)).compare_identities().select("filing_id", "template_id", "truth_status", "text_status")
 
 
 @_query
 def scorecard(spark, sf_dir):
     """One scorecard per filing."""
-    return report.scorecard(facts(spark, sf_dir, "text"), facts(spark, sf_dir, "xbrl"))
+    return report.Reconciliation(facts(spark, sf_dir)).scorecard()
 
 
 @_query
 def report_lines(spark, sf_dir):
     """The scorecards as report lines."""
-    return report.markdown(report.scorecard(facts(spark, sf_dir, "text"), facts(spark, sf_dir, "xbrl")))
+    return report.Reconciliation(facts(spark, sf_dir)).markdown()
 
 
 @_query
 def segments_rollup_max(spark, sf_dir):
     """Display roll-up of segments."""
-    return report.segments(facts(spark, sf_dir, "text"))
+    out = report.segments(facts(spark, sf_dir, "text"))
+    members = F.array_join(F.transform("members", lambda m: F.concat(m["name"], F.lit("="), m["value"].cast("decimal(20,0)").cast("string"))), ";")
+    return out.withColumn("members", members)
 
 
 def _by_nation(df: DataFrame) -> DataFrame:
@@ -225,7 +227,7 @@ def snapshot_series(spark, sf_dir):
 @_query
 def snapshot_yoy(spark, sf_dir):
     """Change on the year before."""
-    return report.year_over_year(_by_nation(facts(spark, sf_dir, "xbrl"))).select("filing_id", "concept", "fiscal_year", "previous", F.round("change", 9).alias("change"))
+    return report.year_over_year(_by_nation(facts(spark, sf_dir, "xbrl"))).select("filing_id", "concept", "fiscal_year", "previous", (F.round("change", 9) + F.lit(0.0)).alias("change"))
 
 
 @_query
@@ -237,7 +239,7 @@ def notable_facts(spark, sf_dir):
 def _answers(spark, sf_dir) -> DataFrame:
     """Answers per filing: cited revenue and cost of sales (some of them off) and their difference or quotient."""
     text = fx.slots(facts(spark, sf_dir, "text")).filter("period_type = 'duration'")
-    rows = text.select("filing_id", "fiscal_year", F.col("c_11.value").alias("rev"), F.col("c_13.value").alias("cogs"))
+    rows = text.select("filing_id", "fiscal_year", F.col(f"{SLOT['revenue.total']}.value").alias("rev"), F.col(f"{SLOT['cogs.total']}.value").alias("cogs"))
     rows = rows.filter("rev IS NOT NULL").withColumn("k", F.split("filing_id", "-")[0].cast("int") + F.col("fiscal_year"))
     cite = lambda concept, v: F.struct(F.lit(concept).alias("label"), F.lit(concept).alias("concept"), F.col("fiscal_year"), v.alias("value"))
     value = F.when(F.col("k") % 4 == 0, F.col("rev") - F.col("cogs")).when(F.col("k") % 4 == 1, F.try_divide("cogs", "rev")).when(F.col("k") % 4 == 2, F.col("rev") * 3)

@@ -12,16 +12,12 @@ from pyspark.sql import functions as F
 from tallyframe.llm import line_quality, near_duplicates, packing, toxicity
 from tallyframe.llm.scratch import Scratch
 
-#: Ids up to which the set of rejected documents is broadcast: 8 bytes each.
+#: Rows up to which the set of rejected rows is broadcast: 8 bytes each.
 BROADCAST_IDS = 300_000
 #: Words that a packing worker remembers: fewer than by default, as the stages before leave less memory.
 REMEMBER = 100_000
-
-
-def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
-    """The documents whose id is not among the rejected ones."""
-    ids = Scratch(docs.sparkSession, name).keep(rejected.select(F.col("doc_id").alias("_rejected")).distinct(), "rejected")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, docs["doc_id"].eqNullSafe(ids["_rejected"]), "left_anti")
+#: Similarity, in percent, from which documents are near-duplicates here; the query op2 has its own.
+PERCENT = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,18 +26,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents not scored toxic; the score runs along with the row, so nothing is joined."""
+    """Documents not scored toxic; the score runs along with the row, so nothing is joined. Every row is judged for itself; null and empty
+    texts stay, and everything does where the labels do not suffice for a model."""
     model = toxicity.fit_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs, model)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id; rows without an id stay."""
-    return _without(docs, near_duplicates.near_duplicates(docs).filter("NOT kept"), "dedup")
+    """One row of each group of near-duplicates, that of the smallest id (rows without an id last). Rows are told apart by a
+    number of their own, so repeated rows and rows without an id are members like others; texts without words are copies of nothing."""
+    scratch = Scratch(spark, "dedup")
+    rows = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), percent=PERCENT)
+    found = scratch.keep(found.select(F.col("doc_id").alias("_row"), "component_id"), "found")
+    # Only groups of several rows need their smallest id.
+    several = found.filter(F.col("_row") != F.col("component_id")).select("component_id").distinct()
+    members = found.join(several, "component_id", "left_semi").join(rows.select("_row", "doc_id"), "_row")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
+    stays = members.groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
+    gone = scratch.keep(members.select("_row").join(stays, "_row", "left_anti").select(F.col("_row").alias("_gone")), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return rows.join(gone, rows["_row"] == gone["_gone"], "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into training sequences."""
+    """What is left, packed into training sequences; see :func:`packing.pack` for null, empty, long and repeated texts."""
     return packing.pack(docs, remember=REMEMBER)
 
 

@@ -1,59 +1,5 @@
-"""Shared scratch tables.
+"""Shared scratch tables, see :mod:`tallyframe.scratch`."""
 
-Iterative operators cut lineage by writing Parquet below the folder the cluster
-names in ``spark.checkpoint.dir``: every executor sees it, so a lost executor
-costs a reread, never a result. Only where that setting is absent (tests, a
-laptop) is a folder of our own used.
-"""
+from ..scratch import Scratch, shared_dir
 
-from __future__ import annotations
-
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, or one of our own where none is set."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    named = named or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="tallyframe-"))
-        atexit.register(shutil.rmtree, _own[0], True)
-    return "file://" + _own[0]
-
-
-class Scratch:
-    """Tables of one query run; ``drop`` removes those a later step has replaced."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self._n = 0
-
-    def path(self, label: str) -> str:
-        self._n += 1
-        return f"{self.root}/{self._n:03d}-{label}"
-
-    def keep(self, df: DataFrame, label: str) -> DataFrame:
-        """Write ``df`` once and return the reread table."""
-        path = self.path(label)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a kept table that nothing will read again."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            if self.root.rpartition("/")[2] in folder:
-                path.getFileSystem(conf).delete(path, True)
+__all__ = ["Scratch", "shared_dir"]

@@ -376,12 +376,41 @@ def test_pipeline(spark):
     model = toxicity.fit_sample(first, spark.read.parquet(f"{SF}/labels.parquet"))
     assert {r.doc_id for r in second.collect()} == {r.doc_id for r in toxicity.score(first, model).filter("score < 0.5").collect()}
     third = stages["near-duplicates"](spark, second, SF)
-    want = components({r.doc_id: r.text for r in second.collect()})
+    want = components({r.doc_id: r.text for r in second.collect()}, percent=80)
     assert {r.doc_id for r in third.collect()} == {i for i, (c, _) in want.items() if c == i}
     packed = {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
     assert packed == {r.doc_id for r in third.collect()}
 
 
+def test_one_row_of_each_group_stays(spark):
+    words = [f"v{k}" for k in range(60)]
+    near = " ".join([*words[:30], "other", *words[31:]])  # 51 of 61 shingles shared: between 80 and 85 %
+    rows = [(7, " ".join(words), "a"), (7, " ".join(words), "a"), (3, near, "b"), (None, " ".join(words).upper(), "c"), (None, "alone in the world", "d"), (None, "alone in the world", "e"), (9, "", "f"), (9, "", "f"), (4, None, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = dict(corpus_pipeline.STAGES)["near-duplicates"](spark, docs, SF)
+    assert got.columns == docs.columns
+    left = sorted(map(tuple, got.collect()), key=repr)
+    assert [r for r in left if r[1] != "alone in the world"] == [(3, near, "b"), (4, None, "g"), (9, "", "f"), (9, "", "f")] and len(left) == 5
+
+
+def test_stages_equal_brute_force(spark, tmp_path):
+    """The quality and toxicity stages against definitions that share no code with them."""
+    rows = quality_rows(random.Random(21))
+    docs = spark.createDataFrame([(i, t, None, h) for i, t, h in rows], "doc_id long, text string, lang string, source string")
+    verdict = {(i): k for i, *_, k, _ in brute_quality(rows)}
+    stages = dict(corpus_pipeline.STAGES)
+    got = stages["quality rules"](spark, docs, SF)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, *_ in rows if verdict[i])
+    clean = [(i, " ".join(f"w{chr(97 + (i * k) % 23)}x" for k in range(1, 30)), i % 5 == 0) for i in range(200)]
+    texts = [(i, t + (" vilea vileb vilec viled" if toxic else "")) for i, t, toxic in clean]
+    spark.createDataFrame([(i, int(toxic)) for i, _, toxic in clean], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in texts], "doc_id long, text string, lang string, source string")
+    left = {r.doc_id for r in stages["toxicity"](spark, docs, str(tmp_path)).collect()}
+    known = [(i, t, y) for (i, t), (_, _, y) in zip(texts, clean, strict=True) if zlib.crc32(str(i).encode()) % 5]
+    model = toxicity.fit([t for _, t, _ in known], [int(y) for *_, y in known])
+    assert left == {i for i, t in texts if brute_score(model, t) < 0.5} == {i for i, _, toxic in clean if not toxic}
+
+
 def test_pipeline_stages_on_empty_and_odd(spark):
     docs = odd_docs(spark)
     for _, stage in corpus_pipeline.STAGES:

@@ -329,6 +329,8 @@ def _rows(values: list[tuple], names: str) -> str:
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(lit, v)) + ")" for v in values) + f") t({names})"
 
 
+_FILINGS = """WITH s AS (SELECT *, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, lpad(CAST(o_custkey AS VARCHAR), 10, '0') || '-' || lpad(CAST(year(o_orderdate) % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS accession,
+'d' || o_orderkey || '.htm' AS primary_doc, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS filing_date, CAST(year(o_orderdate) AS INT) AS fiscal_year FROM orders WHERE o_orderkey % 3 = 0)"""
 _SEG = """seg AS (SELECT filing_id, fiscal_year, seg AS segment, max(v) AS value FROM facts WHERE source = '{s}' AND concept = 'revenue.segment' AND coalesce(more, '') <> 'product' GROUP BY ALL)"""
 SQL = {
     "concept_dimension": _rows([(c.id, c.period_type, c.unit, ";".join(c.tags), ";".join(c.aliases)) for c in CONCEPTS], "concept, period_type, unit, tags, aliases"),
@@ -396,7 +398,24 @@ CASE WHEN n > 0 THEN n || ' reportable segment(s)' END, CASE WHEN dis THEN 'Repo
     "json_reply_salvage": "SELECT CAST(o_orderkey AS VARCHAR) AS request_key, 'revenue.total' AS concept, floor(o_totalprice) * 1000.0 AS value, 'thousands' AS reported_scale, 2020 AS fiscal_year, false AS quarantined FROM orders WHERE o_orderkey % 4 <> 3",
     "request_key_cache": "SELECT conv_id, turn, text IN (SELECT text FROM conversations WHERE turn = 0) AS hit FROM conversations",
     "order_line_tieout": "WITH l AS (SELECT l_orderkey, sum(CAST(floor(l_extendedprice * 100) AS BIGINT)) AS c, count(*) AS n FROM lineitem GROUP BY 1) SELECT o_orderkey, coalesce(n, 0) AS n_lines, CASE WHEN c IS NULL THEN 'indeterminate' WHEN abs(CAST(floor(o_totalprice * 100) AS BIGINT) - c) <= greatest(100.0, 0.005 * abs(c)) THEN 'satisfied' ELSE 'violated' END AS status FROM orders LEFT JOIN l ON l_orderkey = o_orderkey",
-    "latest_filing": "SELECT o_custkey, o_orderkey, CAST(year(o_orderdate) AS INT) AS fiscal_year FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
+    "latest_filing": f"{_FILINGS} SELECT cik, accession, primary_doc, filing_date, fiscal_year, 'https://www.sec.gov/Archives/edgar/data/' || o_custkey || '/' || replace(accession, '-', '') || '/' || primary_doc AS url FROM s QUALIFY row_number() OVER (PARTITION BY cik ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
+    "filing_of_year": f"{_FILINGS} SELECT cik, accession, fiscal_year FROM s WHERE fiscal_year = 1997 QUALIFY row_number() OVER (PARTITION BY cik ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
+    "company_index": "SELECT CAST(c_custkey AS INT) AS rank, 'T' || c_custkey AS ticker, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS cik, c_name AS name FROM customer",
+    "tagged_facts": """WITH o AS (SELECT o_orderkey AS k, 'f' || (o_orderkey % 50) AS filing_id, CAST(o_orderdate AS DATE) AS d, o_totalprice AS p FROM orders),
+off AS (SELECT filing_id, arg_min(k % 3 - 1, k) AS off FROM o WHERE k % 29 = 0 AND k % 50 < 40 GROUP BY 1),
+r AS (SELECT *, ['assets.total', 'revenue.total', 'revenue.total', 'operating_income.total', 'net_income.parent', 'gross_profit.total', NULL][k % 7 + 1] AS c,
+  CASE WHEN k % 23 = 0 OR k % 8 = 0 THEN NULL ELSE [NULL, 'segment', 'segment', 'geography', 'product', 'consolidation_item', 'customview', 'legalentity'][k % 8 + 1] END AS axis FROM o)
+SELECT filing_id, k AS ord, CASE WHEN axis = 'segment' AND c IN ('revenue.total', 'operating_income.total') THEN replace(c, '.total', '.segment') ELSE c END AS concept, floor(p)::DOUBLE AS value,
+  CASE WHEN k % 7 = 0 THEN 'instant' ELSE 'duration' END AS period_type, CAST(year(d) + coalesce(off, 0) AS INT) AS fiscal_year, ['USD', 'USD', 'shares', 'pure', 'AUSD'][k % 5 + 1] AS unit, CAST([-6, NULL, 2, NULL][k % 4 + 1] AS INT) AS decimals,
+  CASE WHEN axis IS NULL THEN '' ELSE axis || '=m' || (k % 3) END AS dims FROM r LEFT JOIN off USING (filing_id) WHERE k % 11 <> 0 AND k % 13 <> 0 AND k % 17 <> 0 AND k % 19 <> 0 AND c IS NOT NULL""",
+    "gold_loaded": "SELECT CAST(p_partkey AS VARCHAR) AS question_id, p_name AS prompt, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey * 10.0 END::DOUBLE AS value, CASE WHEN p_partkey % 3 = 0 THEN 'Q1' ELSE 'FY' END AS fiscal_period, p_size % 2 = 0 AS verified, '' AS draft_confidence FROM part",
+    "benchmark_loaded": "SELECT CAST(p_partkey AS VARCHAR) AS question_id, p_brand AS ticker, p_size AS fiscal_year, CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice END AS gold, p_partkey % 5 <> 0 AS answerable, 0 AS n_required, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS n_rubric, CASE WHEN p_size % 2 = 0 THEN 2.0 END::DOUBLE AS weight FROM part",
+    "final_answer_parse": """SELECT o_orderkey AS answer_id, CASE WHEN bad THEN 'I can not tell' ELSE 'a' END AS answer, CASE WHEN NOT bad THEN floor(o_totalprice) END AS value, CASE WHEN NOT bad THEN 'USD' END AS unit, CAST(year(o_orderdate) AS INT) AS fiscal_year,
+CASE WHEN NOT bad THEN 'revenue.total' END AS cited, CASE WHEN NOT bad THEN CAST(year(o_orderdate) AS INT) END AS cited_year, CASE WHEN bad THEN 'could not parse final JSON' END AS error FROM (SELECT *, o_orderkey % 3 = 2 AS bad FROM orders)""",
+    "margins_by_year": f"""{_WITH}, {_slots('xbrl', 's')}, m AS (SELECT filing_id, revenue_total_v AS r, coalesce(gross_profit_total_v, revenue_total_v - cogs_total_v) AS g, operating_income_total_v AS o, net_income_parent_v AS n, income_tax_total_v AS t, pretax_income_total_v AS p FROM s WHERE period_type = 'duration')
+SELECT filing_id, {", ".join(f"round(CASE WHEN {b} <> 0 THEN {a} / {b} END, 9) + 0.0 AS {c}" for c, a, b in (("gross", "g", "r"), ("operating", "o", "r"), ("net", "n", "r"), ("tax", "t", "p")))} FROM m""",
+    "latest_years": f"{_WITH} SELECT {_NATION} AS filing_id, max(fiscal_year) AS fiscal_year FROM facts WHERE source = 'xbrl' GROUP BY 1",
+    "model_labels": "SELECT p_partkey, upper(left(b, 1)) || substr(b, 2) || ' ' || (p_size % 9) || '.' || (p_partkey % 7) AS label FROM (SELECT *, array_to_string(list_transform(string_split(lower(replace(p_brand, '#', '-')), '-'), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS b FROM part)",
     # At most two calls in the hour before: the last two admitted ones are all the state there is.
     "rate_limit_admission": """WITH RECURSIVE c AS (SELECT user_id AS key, event_id AS call_id, epoch_us(ts) AS at_us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
 f AS (SELECT key, call_id, at_us, k, true AS admitted, CAST(NULL AS BIGINT) AS a, at_us AS b FROM c WHERE k = 1

@@ -55,7 +55,7 @@ one AS (
 truth AS (
   SELECT n, y, ord, concept, kind, v4, CAST(NULL AS varchar(32)) AS seg, CAST(NULL AS varchar(32)) AS more FROM one
   UNION ALL SELECT n, y, 10 + CAST(ascii(seg) AS int) - 65, 'revenue.segment', 'duration', sv * 10000, seg, NULL FROM segs WHERE n % 10 <> 7
-  UNION ALL SELECT n, y, 200 + CAST(ascii(seg) AS int) - 65, 'revenue.segment', 'duration', sv * 5000, seg, 'product' FROM segs WHERE n % 8 = 1
+  UNION ALL SELECT n, y, 200 + CAST(ascii(seg) AS int) - 65, 'revenue.segment', 'duration', CAST(floor(sv * 0.5E0) AS bigint) * 10000, seg, 'product' FROM segs WHERE n % 8 = 1
   UNION ALL SELECT n, y, 300, 'revenue.segment', 'duration', 0, 'ELIMINATIONS', 'consolidation_item' FROM fig WHERE n % 8 = 2
   UNION ALL SELECT n, y, 40 + CAST(ascii(seg) AS int) - 65, 'operating_income.segment', 'duration', CAST(floor(sv * CASE WHEN y % 2 = 0 THEN 0.5E0 ELSE 0.15E0 END * (1 - CASE WHEN y % 2 = 0 THEN cogs * 1E0 / total ELSE 0E0 END)) AS bigint) * 10000, seg, NULL
     FROM segs JOIN (SELECT n AS fn, y AS fy, cogs, total FROM fig) ON fn = n AND fy = y WHERE n % 3 = 1),
@@ -145,7 +145,7 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = F.when(even, 0.5).otherwise(0.15)
     kept = 1 - F.when(even, cogs * 1.0 / total).otherwise(0.0)
     every = F.concat(
-        F.array_compact(single), by_segment(10, "revenue.segment", n % 10 != 7, lambda v: v * 10_000), by_segment(200, "revenue.segment", n % 8 == 1, lambda v: v * 5000, "product"),
+        F.array_compact(single), by_segment(10, "revenue.segment", n % 10 != 7, lambda v: v * 10_000), by_segment(200, "revenue.segment", n % 8 == 1, lambda v: _floor(v * 0.5) * 10_000, "product"),
         F.array_compact(F.array(row(300, "revenue.segment", 0, n % 8 == 2, seg="ELIMINATIONS", more="consolidation_item"))),
         by_segment(40, "operating_income.segment", n % 3 == 1, lambda v: _floor(v * share * kept) * 10_000),
     )

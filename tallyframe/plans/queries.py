@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -12,6 +12,7 @@ from ..operators import facts as fx
 from ..operators import propagate as pg
 from ..operators import qa, report
 from ..operators.check import check
+from ..sources import filings
 from ..streaming import admission
 from . import oracle
 from .identities import SLOT, registry
@@ -373,9 +374,113 @@ def order_line_tieout(spark, sf_dir):
     return out.select("o_orderkey", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), status.alias("status"))
 
 
+def _submissions(spark, sf_dir) -> DataFrame:
+    """Orders as companies' submissions, newest first; every third is an annual report, some without a report date."""
+    o = _table(spark, sf_dir, "orders")
+    date = F.to_date("o_orderdate").cast("string")
+    form = F.when(F.col("o_orderkey") % 3 == 0, "10-K").when(F.col("o_orderkey") % 3 == 1, "10-K/A").otherwise("10-Q")
+    one = F.struct(
+        F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("k"), form.alias("form"), F.format_string("%010d-%02d-%06d", "o_custkey", F.year("o_orderdate") % 100, "o_orderkey").alias("accession"),
+        F.concat(F.lit("d"), F.col("o_orderkey").cast("string"), F.lit(".htm")).alias("primary_doc"), date.alias("filing_date"), F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(date).alias("report_date"),
+    )
+    per = o.groupBy("o_custkey").agg(F.reverse(F.array_sort(F.collect_list(one))).alias("s"))
+    return per.select(F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("cik"), *[F.col(f"s.{c}").alias(c) for c in ("form", "accession", "primary_doc", "filing_date", "report_date")])
+
+
 @_query
 def latest_filing(spark, sf_dir):
-    """Newest order of every customer, as filings are looked up."""
+    """Newest annual report of every customer, as filings are looked up."""
+    return filings.find_10k(_submissions(spark, sf_dir)).select("cik", "accession", "primary_doc", "filing_date", "fiscal_year", "url")
+
+
+@_query
+def filing_of_year(spark, sf_dir):
+    """Annual reports of one fiscal year."""
+    return filings.find_10k(_submissions(spark, sf_dir), 1997).select("cik", "accession", "fiscal_year")
+
+
+@_query
+def company_index(spark, sf_dir):
+    """Customers as the ticker index, from JSON snapshots."""
+    c = _table(spark, sf_dir, "customer")
+    one = F.struct(F.col("c_custkey").alias("cik_str"), F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("ticker"), F.col("c_name").alias("title"))
+    return filings.companies(c.select(F.to_json(F.create_map(F.col("c_custkey").cast("string"), one)).alias("value")))
+
+
+def _raw_tagged(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Orders as tagged facts with every kind of tag, unit, precision, period and axis, and as fiscal-year focus facts."""
+    o = _table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey"))
+    k, day = F.col("k"), F.to_date("o_orderdate")
+    filing = F.concat(F.lit("f"), (k % 50).cast("string"))
+    pick = lambda words, by: F.element_at(F.array(*[F.lit(w) for w in words]), (by + 1).cast("int"))
+    tag = pick(("Assets", "Revenues", "RevenueFromContractWithCustomerExcludingAssessedTax", "OperatingIncomeLoss", "NetIncomeLoss", "GrossProfit", "NoSuchTag"), k % 7)
+    unit = pick(("iso4217:USD", None, "xbrli:shares", "xbrli:pure", "custom:AUSD"), k % 5)
+    axis = pick(("us-gaap", "StatementBusinessSegmentsAxis", "OperatingSegmentsAxis", "StatementGeographicalAxis", "ProductOrServiceAxis", "ConsolidationItemsAxis", "CustomViewAxis", "legalentity"), k % 8)
+    dims = F.when(k % 8 == 0, F.array().cast(fx.DIMS)).otherwise(F.array(F.struct(axis.alias("axis"), F.concat(F.lit("m"), (k % 3).cast("string")).alias("member"))))
+    raw = o.select(
+        filing.alias("filing_id"), k.alias("ord"), F.when(k % 11 == 0, "dei").otherwise("us-gaap").alias("ns"), tag.alias("tag"), F.when(k % 13 == 0, "n/a").otherwise(F.floor("o_totalprice").cast("string")).alias("value"),
+        unit.alias("unit_measure"), pick(("-6", "INF", "2", None), k % 4).alias("decimals"), F.when(k % 17 == 0, "forever").when(k % 7 == 0, "instant").otherwise("duration").alias("period_kind"),
+        F.lit(None).cast("date").alias("start"), F.when(k % 19 != 0, day).alias("end"), F.when(k % 23 != 0, dims).alias("dims"),
+    )
+    focus = o.filter((k % 29 == 0) & (k % 50 < 40)).select(filing.alias("filing_id"), k.alias("ord"), (F.year(day) + (k % 3).cast("int") - 1).alias("focus_year"), day.alias("period_end"))
+    return raw, focus
+
+
+@_query
+def tagged_facts(spark, sf_dir):
+    """Tagged facts as facts: concepts, axes, routing by segment, fiscal years, units and decimals."""
+    out = filings.map_raw_facts(*_raw_tagged(spark, sf_dir))
+    dims = F.array_join(F.transform("dims", lambda d: F.concat(d["axis"], F.lit("="), d["member"])), ";")
+    return out.select("filing_id", "ord", "concept", F.col("value").cast("double").alias("value"), "period_type", "fiscal_year", "unit", "decimals", dims.alias("dims"))
+
+
+@_query
+def gold_loaded(spark, sf_dir):
+    """Gold questions out of JSON texts."""
+    p = _table(spark, sf_dir, "part")
+    answer = F.struct(F.when(F.col("p_partkey") % 4 == 0, "n/a").otherwise((F.col("p_partkey") * 10).cast("string")).alias("value"), F.lit("USD").alias("unit"), F.when(F.col("p_partkey") % 3 == 0, "Q1").alias("fiscal_period"))
+    q = F.struct(F.col("p_partkey").cast("string").alias("question_id"), F.col("p_name").alias("prompt"), answer.alias("gold_answer"), F.when(F.col("p_size") % 2 == 0, True).alias("verified"))
+    return filings.gold_questions(p.select(F.to_json(F.struct(F.array(q).alias("questions"))).alias("value"))).select("question_id", "prompt", F.col("value").cast("double").alias("value"), "fiscal_period", "verified", "draft_confidence")
+
+
+@_query
+def benchmark_loaded(spark, sf_dir):
+    """Benchmark questions out of JSON texts."""
+    p = _table(spark, sf_dir, "part")
+    gold = F.struct(F.when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice")).alias("value"), F.lit("USD").alias("unit"), F.when(F.col("p_partkey") % 5 == 0, False).alias("answerable"))
+    item = F.struct(F.lit("retrieval").alias("type"), F.lit("t").alias("text"), F.col("p_type").alias("concept"), F.col("p_size").alias("fiscal_year"), F.lit(2).alias("weight"))
+    q = F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("ticker"), F.col("p_size").alias("fiscal_year"), gold.alias("gold"), F.when(F.col("p_size") % 2 == 0, F.array(item)).alias("rubric"))
+    out = filings.benchmark_questions(p.select(F.to_json(F.struct(F.array(q).alias("questions"))).alias("value")))
+    return out.select("question_id", "ticker", "fiscal_year", F.col("gold.value").alias("gold"), F.col("gold.answerable").alias("answerable"), F.size("required_concepts").alias("n_required"), F.size("rubric").alias("n_rubric"), F.get("rubric", F.lit(0))["weight"].alias("weight"))
+
+
+@_query
+def final_answer_parse(spark, sf_dir):
+    """Final answers out of agents' replies: fenced, in prose, or none."""
     o = _table(spark, sf_dir, "orders")
-    last = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
-    return o.withColumn("n", last).filter("n = 1").select("o_custkey", "o_orderkey", F.year("o_orderdate").alias("fiscal_year"))
+    k = F.col("o_orderkey")
+    obj = F.concat(F.lit('{"answer": "a", "value": '), F.floor("o_totalprice").cast("string"), F.lit(', "unit": "USD", "numbers_used": [{"concept": "revenue.total", "value": 5}]}'))
+    reply = F.when(k % 3 == 0, F.concat(F.lit("```json\n"), obj, F.lit("\n```"))).when(k % 3 == 1, F.concat(F.lit("So: "), obj, F.lit(" done"))).otherwise("I can not tell")
+    out = tx.final_answers(o.select(k.alias("answer_id"), F.year("o_orderdate").alias("fiscal_year"), reply.alias("response")))
+    cited = F.get("numbers_used", F.lit(0))
+    return out.select("answer_id", "answer", "value", "unit", "fiscal_year", cited["concept"].alias("cited"), cited["fiscal_year"].alias("cited_year"), "error")
+
+
+@_query
+def margins_by_year(spark, sf_dir):
+    """Margins and tax rate of every filing."""
+    return report.margins(facts(spark, sf_dir, "xbrl")).select("filing_id", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in ("gross", "operating", "net", "tax")])
+
+
+@_query
+def latest_years(spark, sf_dir):
+    """Last year of every nation."""
+    return report.latest_year(_by_nation(facts(spark, sf_dir, "xbrl")))
+
+
+@_query
+def model_labels(spark, sf_dir):
+    """Names of models for tables."""
+    p = _table(spark, sf_dir, "part")
+    name = F.concat(F.lit("vendor-"), F.lower(F.translate("p_brand", "#", "-")), F.lit("-"), (F.col("p_size") % 9).cast("string"), F.lit("-"), (F.col("p_partkey") % 7).cast("string"))
+    return p.select("p_partkey", qa.model_label(name, "vendor").alias("label"))

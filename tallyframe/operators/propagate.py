@@ -166,10 +166,11 @@ def localize(results: DataFrame) -> DataFrame:
 
 
 def inject_fault(facts: DataFrame, amount: float = 5e9) -> DataFrame:
-    """The largest revenue segment of every filing and year raised by an amount, its rounding reset to that of plain dollars."""
+    """The largest revenue segment of every filing and year raised by an amount; its unit, scale and band are reset to those of plain dollars, its decimals stay."""
     mine = F.when(F.col("concept") == "revenue.segment", F.struct("value", -F.col("ord")))
     worst = F.max_by(F.col("fact_id"), mine).over(Window.partitionBy("filing_id", "fiscal_year"))
     hit = (F.col("concept") == "revenue.segment") & (F.col("fact_id") == worst)
     value = F.col("value").cast("double") + F.when(hit, amount).otherwise(0.0)
-    half = F.when(hit, 0.5).otherwise((F.col("hi") - F.col("lo")) / 2)
+    plain = F.when(F.col("decimals") <= 0, F.pow(F.lit(10.0), -F.col("decimals")) / 2).otherwise(0.5)
+    half = F.when(hit, plain).otherwise((F.col("hi") - F.col("lo")) / 2)
     return facts.withColumn("_v", value).withColumn("_h", half).withColumn("value", F.col("_v")).withColumn("lo", F.col("_v") - F.col("_h")).withColumn("hi", F.col("_v") + F.col("_h")).drop("_v", "_h")

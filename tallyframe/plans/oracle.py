@@ -358,7 +358,7 @@ SELECT filing_id, coalesce(gross_profit_total_v, revenue_total_v - cogs_total_v)
     "localize_vouches": f"""{_WITH}, {_slots('xbrl', 'slots')}, {_results('r', 'slots', True)}, {_localized('r', 'slots')}
 SELECT filing_id, template_id, count(*) AS n_suspects, max(round_even(1.0 / (1 + coalesce(n, 0)), 3))::DOUBLE AS top_score, CAST(sum(coalesce(n, 0)) AS BIGINT) AS vouches FROM ri LEFT JOIN vouch USING (filing_id, id) WHERE status = 'violated' GROUP BY ALL""",
     "localize_fault_injection": f"""{_WITH}, worst AS (SELECT filing_id, ord FROM facts WHERE source = 'xbrl' AND concept = 'revenue.segment' QUALIFY row_number() OVER (PARTITION BY filing_id, fiscal_year ORDER BY v DESC, ord) = 1),
-raised AS (SELECT * EXCLUDE (hit) REPLACE (v + CASE WHEN hit THEN 5e9 ELSE 0 END AS v, CASE WHEN hit THEN 0.5 ELSE half END AS half) FROM (SELECT facts.*, worst.ord IS NOT NULL AS hit FROM facts LEFT JOIN worst ON facts.filing_id = worst.filing_id AND facts.ord = worst.ord WHERE source = 'xbrl')),
+raised AS (SELECT * EXCLUDE (hit) REPLACE (v + CASE WHEN hit THEN 5e9 ELSE 0 END AS v, CASE WHEN hit AND coalesce(decimals, 1) > 0 THEN 0.5 ELSE half END AS half) FROM (SELECT facts.*, worst.ord IS NOT NULL AS hit FROM facts LEFT JOIN worst ON facts.filing_id = worst.filing_id AND facts.ord = worst.ord WHERE source = 'xbrl')),
 {_slots('xbrl', 's', 'raised')}, {_propagated('s', 'p')}, {_results('r', 'p', True)}, {_localized('r', 'p')}
 SELECT filing_id, CAST(row_number() OVER (PARTITION BY filing_id ORDER BY coalesce(n, 0)) AS INT) AS rank, coalesce(n, 0) AS vouches, round_even(1.0 / (1 + coalesce(n, 0)), 3)::DOUBLE AS score FROM ri LEFT JOIN vouch USING (filing_id, id) WHERE status = 'violated' AND template_id = 'rev.segments_sum'""",
     "attribute_evidence": f"{_ATTRIBUTE} SELECT filing_id, template_id, evidence FROM cause WHERE label = 'extraction_error'",
@@ -416,6 +416,10 @@ CASE WHEN NOT bad THEN 'revenue.total' END AS cited, CASE WHEN NOT bad THEN CAST
 SELECT filing_id, {", ".join(f"round(CASE WHEN {b} <> 0 THEN {a} / {b} END, 9) + 0.0 AS {c}" for c, a, b in (("gross", "g", "r"), ("operating", "o", "r"), ("net", "n", "r"), ("tax", "t", "p")))} FROM m""",
     "latest_years": f"{_WITH} SELECT {_NATION} AS filing_id, max(fiscal_year) AS fiscal_year FROM facts WHERE source = 'xbrl' GROUP BY 1",
     "model_labels": "SELECT p_partkey, upper(left(b, 1)) || substr(b, 2) || ' ' || (p_size % 9) || '.' || (p_partkey % 7) AS label FROM (SELECT *, array_to_string(list_transform(string_split(lower(replace(p_brand, '#', '-')), '-'), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS b FROM part)",
+    "interval_arithmetic": """WITH r AS (SELECT o_orderkey, o_orderkey % 7 - 3 - (o_orderkey % 3) / 2.0::DOUBLE AS a, o_orderkey % 7 - 3 + (o_orderkey % 3) / 2.0::DOUBLE AS b, least(o_orderkey % 5 - 2, o_orderkey % 4 - 1)::DOUBLE AS c, greatest(o_orderkey % 5 - 2, o_orderkey % 4 - 1)::DOUBLE AS d FROM orders)
+SELECT o_orderkey, (a + b) / 2 AS midpoint, d - c AS width, a <= 1 AND b >= 1 AS has_one, a <= d AND c <= b AS overlaps, a + c AS sum_lo, b + d AS sum_hi, a - d AS difference_lo, b - c AS difference_hi, least(-2 * a, -2 * b) + 0.0 AS scaled_lo, greatest(-2 * a, -2 * b) + 0.0 AS scaled_hi,
+least(a * c, a * d, b * c, b * d) + 0.0 AS product_lo, greatest(a * c, a * d, b * c, b * d) + 0.0 AS product_hi,
+CASE WHEN c > 0 OR d < 0 THEN round(least(a / c, a / d, b / c, b / d), 9) + 0.0 END AS quotient_lo, CASE WHEN c > 0 OR d < 0 THEN round(greatest(a / c, a / d, b / c, b / d), 9) + 0.0 END AS quotient_hi FROM r""",
     # At most two calls in the hour before: the last two admitted ones are all the state there is.
     "rate_limit_admission": """WITH RECURSIVE c AS (SELECT user_id AS key, event_id AS call_id, epoch_us(ts) AS at_us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
 f AS (SELECT key, call_id, at_us, k, true AS admitted, CAST(NULL AS BIGINT) AS a, at_us AS b FROM c WHERE k = 1

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import interval as iv
 from ..functions import text as tx
 from ..operators import facts as fx
 from ..operators import propagate as pg
@@ -484,3 +485,14 @@ def model_labels(spark, sf_dir):
     p = _table(spark, sf_dir, "part")
     name = F.concat(F.lit("vendor-"), F.lower(F.translate("p_brand", "#", "-")), F.lit("-"), (F.col("p_size") % 9).cast("string"), F.lit("-"), (F.col("p_partkey") % 7).cast("string"))
     return p.select("p_partkey", qa.model_label(name, "vendor").alias("label"))
+
+
+@_query
+def interval_arithmetic(spark, sf_dir):
+    """Every interval function over rows of intervals, those around zero included."""
+    k = F.col("o_orderkey")
+    rows = _table(spark, sf_dir, "orders").select(k, iv.widen(iv.exact((k % 7 - 3).cast("double")), (k % 3) / 2.0).alias("x"), iv.interval((k % 5 - 2).cast("double"), (k % 4 - 1).cast("double")).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    ends = {"sum": iv.add(x, y), "difference": iv.sub(x, y), "scaled": iv.scale(x, F.lit(-2.0)), "product": iv.mul(x, y), "quotient": iv.div(x, y)}
+    columns = [(F.round(e[p], 9) + F.lit(0.0)).alias(f"{n}_{p}") for n, e in ends.items() for p in ("lo", "hi")]
+    return rows.select("o_orderkey", iv.midpoint(x).alias("midpoint"), iv.width(y).alias("width"), iv.contains(x, F.lit(1.0)).alias("has_one"), iv.overlaps(x, y).alias("overlaps"), *columns)

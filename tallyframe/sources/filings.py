@@ -36,7 +36,7 @@ def find_10k(submissions: DataFrame, fiscal_year: int | None = None) -> DataFram
     each = each.filter("form = '10-K'").withColumn("fiscal_year", F.year(F.coalesce(F.expr("try_cast(report_date AS date)"), F.expr("try_cast(filing_date AS date)"))))
     each = each if fiscal_year is None else each.filter(F.col("fiscal_year") == fiscal_year)
     found = each.groupBy("cik").agg(F.min_by(F.struct("accession", "primary_doc", "filing_date", "report_date", "fiscal_year"), "pos").alias("f")).select("cik", "f.*")
-    return found.withColumn("url", F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), F.regexp_replace("cik", "^0+", ""), F.lit("/"), F.replace("accession", F.lit("-"), F.lit("")), F.lit("/"), "primary_doc"))
+    return found.withColumn("url", F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), F.expr("try_cast(cik AS bigint)").cast("string"), F.lit("/"), F.replace("accession", F.lit("-"), F.lit("")), F.lit("/"), "primary_doc"))
 
 
 def axis_name(axis: Column) -> Column:

@@ -31,6 +31,8 @@ def fold(times: Iterable[int], admitted: Iterable[int], limit: int, window: int
 def admit(calls: DataFrame, limit: int = 40, window: int = HOUR_US) -> DataFrame:
     """Batch form: ``key, call_id, at_us, admitted``, each key's calls in order of time and id.
 
+    Calls without a key or a time can be neither counted nor ordered and are left out.
+
     Calls are sorted within partitions and folded as they stream through, so a key's calls are
     never held together; what is held is its admitted calls of one hour, ``limit`` at most.
     """
@@ -52,7 +54,11 @@ def admit(calls: DataFrame, limit: int = 40, window: int = HOUR_US) -> DataFrame
 
 
 def admit_stream(calls: DataFrame, limit: int = 40, window: int = HOUR_US) -> DataFrame:
-    """Streaming form over ``key, call_id, at_us``: state is a key's admitted calls of the last hour; idle keys expire."""
+    """Streaming form over ``key, call_id, at_us``: state is a key's admitted calls of the last hour; idle keys expire.
+
+    A key's calls of one micro-batch are sorted together, so bound the batch by the source's rate. Calls without a key or a time are left out, as
+    in :func:`admit`; a call that comes late, in a later batch, is judged then.
+    """
 
     def run(key, batches, state):
         live = list(state.get[0]) if state.exists else []
@@ -65,7 +71,7 @@ def admit_stream(calls: DataFrame, limit: int = 40, window: int = HOUR_US) -> Da
         state.setTimeoutDuration(2 * window // 1000)
         yield rows.assign(admitted=got)[["key", "call_id", "at_us", "admitted"]]
 
-    return calls.select("key", "call_id", "at_us").groupBy("key").applyInPandasWithState(run, "key bigint, call_id bigint, at_us bigint, admitted boolean", "live array<bigint>", "append", "ProcessingTimeTimeout")
+    return calls.select("key", "call_id", "at_us").filter("key IS NOT NULL AND at_us IS NOT NULL").groupBy("key").applyInPandasWithState(run, "key bigint, call_id bigint, at_us bigint, admitted boolean", "live array<bigint>", "append", "ProcessingTimeTimeout")
 
 
 def calls_of(events: DataFrame) -> DataFrame:

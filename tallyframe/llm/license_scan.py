@@ -65,7 +65,6 @@ SENTENCES = {
     "terms-agpl": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
     "terms-lgpl": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "gpl-hope-program": "this program is distributed in the hope that it will be useful but without any warranty",
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
@@ -152,7 +151,7 @@ def scan(docs: DataFrame) -> DataFrame:
     with_sentences = docs.select("doc_id", sentences(F.coalesce("text", F.lit(""))).alias("s"))
     whole = F.transform("s", lambda s: F.struct(named(s).alias("id"), s.alias("s")))
     lines = lambda x: F.filter(F.transform(F.split(x["s"], "\n"), named), lambda i: i.isNotNull())
-    ids = F.flatten(F.transform(whole, lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(lines(x))))
+    ids = F.flatten(F.transform(whole, lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).when(x["s"].contains("\n"), lines(x)).otherwise(F.array().cast("array<string>"))))
     found = with_sentences.select("doc_id", F.size("s").cast("long").alias("n_sentences"), ids.alias("ids"))
     names = []
     for name, rules in sorted(RULES.items()):

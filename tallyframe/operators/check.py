@@ -19,7 +19,7 @@ def check_slots(rows: DataFrame, truth: bool, gate: bool = True, only: tuple[str
     groups = [([t for t in wanted if t.period_type == p], F.col("period_type") == p) for p in ("instant", "duration")] if gate else [(wanted, F.lit(True))]
     for templates, rule in groups:
         if templates:
-            part = rows.filter(rule).select(*PERIOD, F.inline(F.array(*[ends(t) for t in templates])))
+            part = rows.filter(rule).selectExpr(*PERIOD, f"inline(array({', '.join(map(ends, templates))}))")
             out = part if out is None else out.unionByName(part)
     return judge(out, truth, PERIOD)
 

@@ -24,35 +24,30 @@ def half_band(decimals: Column, unit: Column, scale: Column) -> Column:
     return F.when(decimals <= 0, F.pow(F.lit(10.0), -decimals) / 2).when(F.coalesce(unit, F.lit("")) != "USD", 0.0).otherwise(by_scale)
 
 
-def json_string(c: Column) -> Column:
-    """A JSON string as json.dumps writes it: quotes, backslashes and controls escaped, other than ASCII as \\uXXXX pairs of UTF-16; null stays JSON null."""
-    plain = F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
-    # to_json leaves characters beyond ASCII as they are, but for line separators.
-    units = F.transform(F.split(plain, ""), lambda x: F.when(x.rlike(r"^[\x00-\x7f]*$"), x).otherwise(_escaped(x)))
-    return F.when(c.isNull(), F.lit("null")).when(plain.rlike(r"^[\x00-\x7e]*$"), plain).otherwise(F.array_join(units, ""))
+def json_string(c: str) -> str:
+    """SQL of a JSON string as json.dumps writes it: quotes, backslashes and controls escaped, other than ASCII as escaped UTF-16 units; null stays JSON null."""
+    plain = rf"regexp_replace(to_json(array({c})), r'^\[|\]$', '')"
+    units = "lower(hex(encode(x, 'UTF-16BE')))"
+    escaped = rf"concat(r'\u', substring({units}, 1, 4), CASE WHEN length({units}) > 4 THEN concat(r'\u', substring({units}, 5, 4)) ELSE '' END)"
+    # to_json leaves characters beyond ASCII as they are.
+    each = rf"transform(split({plain}, ''), x -> CASE WHEN x RLIKE r'^[\x00-\x7f]*$' THEN x ELSE {escaped} END)"
+    return rf"CASE WHEN {c} IS NULL THEN 'null' WHEN {plain} RLIKE r'^[\x00-\x7e]*$' THEN {plain} ELSE array_join({each}, '') END"
 
 
-def _escaped(x: Column) -> Column:
-    hexes = F.lower(F.hex(F.encode(x, "UTF-16BE")))
-    return F.concat(F.lit("\\u"), F.substring(hexes, 1, 4), F.when(F.length(hexes) > 4, F.concat(F.lit("\\u"), F.substring(hexes, 5, 4))).otherwise(""))
-
-
-def value_text(value: Column) -> Column:
-    """A decimal as text without trailing zeros of its scale, so that the text does not depend on the column's type."""
-    text = value.cast("string")
-    return F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")).otherwise(text)
+def value_text(value: str) -> str:
+    """SQL of a decimal as text without trailing zeros of its scale, so that the text does not depend on the column's type."""
+    return rf"CASE WHEN CAST({value} AS string) LIKE '%.%' THEN regexp_replace(regexp_replace(CAST({value} AS string), '0+$', ''), r'\.$', '') ELSE CAST({value} AS string) END"
 
 
 def fact_id() -> Column:
     """First 16 hex digits of SHA-256 over the fact's canonical JSON (sorted keys, as written by json.dumps)."""
-    quote = json_string
-    pairs = F.array_join(F.transform("dims", lambda d: F.concat(F.lit("["), quote(d["axis"]), F.lit(", "), quote(d["member"]), F.lit("]"))), ", ")
-    text = F.concat(
-        F.lit('{"concept": '), quote(F.col("concept")), F.lit(', "dims": ['), pairs, F.lit('], "period": ['),
-        quote(F.col("period_type")), F.lit(", "), F.coalesce(F.col("fiscal_year").cast("string"), F.lit("null")), F.lit(", "), quote(F.col("fiscal_period")),
-        F.lit('], "source": '), quote(F.col("source")), F.lit(', "unit": '), quote(F.col("unit")), F.lit(', "value": '), quote(value_text(F.col("value"))), F.lit("}"),
-    )
-    return F.substring(F.sha2(text, 256), 1, 16)
+    q = json_string
+    pairs = f"array_join(transform(dims, d -> concat('[', {q('d.axis')}, ', ', {q('d.member')}, ']')), ', ')"
+    parts = [
+        "'{\"concept\": '", q("concept"), "', \"dims\": ['", pairs, "'], \"period\": ['", q("period_type"), "', '", "coalesce(CAST(fiscal_year AS string), 'null')", "', '", q("fiscal_period"),
+        "'], \"source\": '", q("source"), "', \"unit\": '", q("unit"), "', \"value\": '", q(value_text("value")), "'}'",
+    ]
+    return F.expr(f"substring(sha2(concat({', '.join(parts)}), 256), 1, 16)")
 
 
 def is_consolidated() -> Column:
@@ -101,15 +96,15 @@ def slots(facts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
     One shuffle on the period key with partial aggregation; each fact carries the name of the slot it goes to.
     """
-    names = F.create_map(*[F.lit(x) for pair in SLOT.items() for x in pair])
-    slot = F.when(is_consolidated(), F.try_element_at(names, F.col("concept")))
+    names = "map(" + ", ".join(f"'{c}', '{name}'" for c, name in SLOT.items()) + ")"
+    slot = F.when(is_consolidated(), F.expr(f"try_element_at({names}, concept)"))
     for (concept, axis), name in AGG_SLOT.items():
         slot = F.when((F.col("concept") == concept) & is_aggregable(axis), name).otherwise(slot)
     rows = facts.select(*by, *PERIOD, "ord", "lo", "hi", "value", "fact_id", slot.alias("slot"), F.struct("lo", "hi", F.col("value").cast("double").alias("value"), "fact_id").alias("f"))
-    mine = lambda what, name: F.expr(f"{what} FILTER (WHERE slot = '{name}')")
-    columns = [mine("min_by(f, ord)", name).alias(name) for name in SLOT.values()]
+    columns = [F.expr(f"min_by(f, ord) FILTER (WHERE slot = '{name}') AS {name}") for name in SLOT.values()]
     for name in AGG_SLOT.values():
-        ids = F.transform(F.array_sort(mine("collect_list(struct(ord, fact_id))", name)), lambda x: x["fact_id"])
-        parts = F.struct(mine("sum(lo)", name).alias("lo"), mine("sum(hi)", name).alias("hi"), mine("sum(value)", name).cast("double").alias("value"), ids.alias("fact_ids"))
-        columns.append(F.when(mine("count(*)", name) > 0, parts).alias(name))
+        mine = f"FILTER (WHERE slot = '{name}')"
+        ids = f"transform(array_sort(collect_list(struct(ord, fact_id)) {mine}), x -> x.fact_id)"
+        parts = f"named_struct('lo', sum(lo) {mine}, 'hi', sum(hi) {mine}, 'value', CAST(sum(value) {mine} AS DOUBLE), 'fact_ids', {ids})"
+        columns.append(F.expr(f"CASE WHEN count(*) {mine} > 0 THEN {parts} END AS {name}"))
     return rows.groupBy(*by, *PERIOD).agg(*columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.identities import AGG_SLOT, IDENTITIES, SLOT, Ref, ends, refs, registry, verdict
+from ..plans.identities import AGG_SLOT, IDENTITIES, SLOT, Ref, ends, first_of, refs, registry, struct, verdict
 from ..scratch import Scratch
 from .facts import PERIOD, is_aggregable, is_consolidated, slots
 
@@ -17,11 +17,9 @@ def agrees(value: Column, truth: Column) -> Column:
     return F.abs(value - truth) <= F.greatest(0.002 * F.abs(truth), F.lit(1_000_000.0))
 
 
-def _value(r: Ref, side: str) -> Column:
-    """The plain value behind a leaf."""
-    if r.over:
-        return F.col(side + AGG_SLOT[(r.concept, r.over)])["value"]
-    return F.coalesce(*[F.col(side + SLOT[c]) for c in (r.concept, *r.fallbacks)])["value"]
+def _value(r: Ref, side: str) -> str:
+    """The plain value behind a leaf, as SQL."""
+    return f"{side}{AGG_SLOT[(r.concept, r.over)]}.value" if r.over else first_of(r, side, "value")
 
 
 class Reconciliation:
@@ -42,18 +40,17 @@ class Reconciliation:
         self.rows = half("text", "t").join(half("truth", "x"), PERIOD, "full")
         self.text, self.truth = (self.facts.filter(F.col("side") == name) for name in ("text", "truth"))
 
-    def _results(self, templates, **more: Column) -> DataFrame:
-        """Every identity of every period on both sides, with the values behind its leaves."""
+    def _results(self, templates, **more: str) -> DataFrame:
+        """Every identity of every period on both sides, with the values behind its leaves; ``more`` are further columns as SQL."""
         each = []
         for t in templates:
-            leaves = [F.struct(F.lit(r.label).alias("label"), _value(r, "t.").alias("value"), _value(r, "x.").alias("truth")) for r in (t.target, *refs(t.expr))]
-            each.append(F.struct(ends(t, "t.").alias("text"), ends(t, "x.").alias("trusted"), F.lit(t.period_type).alias("kind"), F.array(*leaves).alias("leaves")))
-        rows = self.rows.select(*PERIOD, *[c.alias(n) for n, c in more.items()], F.inline(F.array(*each)))
-        (status, residual, _), (truth_status, truth_residual, _) = verdict(F.col("text"), False), verdict(F.col("trusted"), True)
-        return rows.select(
-            *PERIOD, *more, F.col("text.template_id").alias("template_id"), F.col("text.severity").alias("severity"), "kind", "leaves", status.alias("status"), residual.alias("residual"),
-            truth_status.alias("truth_status"), truth_residual.alias("truth_residual"),
-        )
+            leaves = [struct({"label": f"'{r.label}'", "value": _value(r, "t."), "truth": _value(r, "x.")}) for r in (t.target, *refs(t.expr))]
+            each.append(struct({"text": ends(t, "t."), "trusted": ends(t, "x."), "kind": f"'{t.period_type}'", "leaves": f"array({', '.join(leaves)})"}))
+        rows = self.rows.selectExpr(*PERIOD, *[f"{sql} AS {name}" for name, sql in more.items()], f"inline(array({', '.join(each)}))")
+        (status, residual, _), (truth_status, truth_residual, _) = verdict(False, "text."), verdict(True, "trusted.")
+        return rows.selectExpr(
+            *PERIOD, *more, "text.template_id", "text.severity", "kind", "leaves", f"{status} AS status", f"{residual} AS residual", f"{truth_status} AS truth_status", f"{truth_residual} AS truth_residual"
+        )
 
     def attribute(self) -> DataFrame:
         """The cause of every hard violation in the text facts, judged by the trusted facts.
@@ -73,7 +70,7 @@ class Reconciliation:
         """Every identity of the registry in every filing and year of the trusted data: status there and in the text, ``n/a`` where a side has no such period."""
         key = ["filing_id", "fiscal_year", "template_id"]
         known = lambda side, status: F.when(F.col(f"in_{side}"), F.col(status)).otherwise("n/a").alias(f"{side}_status")
-        out = self._results(IDENTITIES, in_truth=F.col("x").isNotNull(), in_text=F.col("t").isNotNull()).filter(F.col("kind") == F.col("period_type"))
+        out = self._results(IDENTITIES, in_truth="x IS NOT NULL", in_text="t IS NOT NULL").filter(F.col("kind") == F.col("period_type"))
         out = out.select(*key, known("truth", "truth_status"), known("text", "status"), "truth_residual", F.col("residual").alias("text_residual"))
         filings = self.truth.select("filing_id", "fiscal_year").distinct()
         every = filings.crossJoin(F.broadcast(registry(self.facts.sparkSession).select("template_id")))  # 16 rows, fixed
@@ -82,7 +79,7 @@ class Reconciliation:
     def scorecard(self) -> DataFrame:
         """One row per filing: facts, agreement, results over the periods of the trusted data, and causes."""
         facts = self.compare_facts().groupBy("filing_id").agg(F.count("*").alias("n_facts"), F.count_if("agrees").alias("n_agree"), F.count_if(~F.col("agrees")).alias("n_disagree"))
-        every = self._results(IDENTITIES, known=F.col("x").isNotNull())
+        every = self._results(IDENTITIES, known="x IS NOT NULL")
         counted = F.col("known") & (F.col("kind") == F.col("period_type"))
         hard = (F.col("status") == "violated") & (F.col("severity") == "hard")
         every = every.withColumn("cause", F.when(hard, _cause()))

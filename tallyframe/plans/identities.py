@@ -8,10 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from ..functions import interval as iv
 from .ontology import BY_ID, CONCEPTS
 
 
@@ -133,63 +131,71 @@ def registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "position int, template_id string, kind string, description string, severity string, formula string, period_type string, tol_abs double, tol_rel double, tol_rel_truth double")
 
 
-def _none() -> Column:
-    return F.array().cast("array<string>")
+# Expressions below are SQL text: one identity is hundreds of operators, and text reaches the planner in one call.
+_NONE = "CAST(array() AS array<string>)"
 
 
-def _resolve(r: Ref, side: str) -> tuple[Column, Column, Column, Column]:
+def first_of(r: Ref, side: str, part: str, *more: str) -> str:
+    """A field of the first slot of a consolidated leaf that is filled."""
+    return f"coalesce({', '.join([*[f'{side}{SLOT[c]}.{part}' for c in (r.concept, *r.fallbacks)], *more])})"
+
+
+def _resolve(r: Ref, side: str) -> tuple[str, str, str, str]:
     """Ends of the interval, fact ids, and list of missing names of a leaf."""
     if r.over:
-        slot = F.col(side + AGG_SLOT[(r.concept, r.over)])
-        return slot["lo"], slot["hi"], F.coalesce(slot["fact_ids"], _none()), F.when(slot.isNull(), F.array(F.lit(r.label))).otherwise(_none())
-    names = [side + SLOT[c] for c in (r.concept, *r.fallbacks)]
-    first = lambda part, *more: F.coalesce(*[F.col(n)[part] for n in names], *more)
-    zero = [F.lit(0.0)] if r.optional else []
-    missing = _none() if r.optional else F.when(first("lo").isNull(), F.array(F.lit(r.label))).otherwise(_none())
-    return first("lo", *zero), first("hi", *zero), F.array_compact(F.array(first("fact_id"))), missing
+        slot = side + AGG_SLOT[(r.concept, r.over)]
+        return f"{slot}.lo", f"{slot}.hi", f"coalesce({slot}.fact_ids, {_NONE})", f"CASE WHEN {slot} IS NULL THEN array('{r.label}') ELSE {_NONE} END"
+    zero = ("0D",) if r.optional else ()
+    missing = _NONE if r.optional else f"CASE WHEN {first_of(r, side, 'lo')} IS NULL THEN array('{r.label}') ELSE {_NONE} END"
+    return first_of(r, side, "lo", *zero), first_of(r, side, "hi", *zero), f"array_compact(array({first_of(r, side, 'fact_id')}))", missing
 
 
-def _evaluate(e, side: str) -> tuple[Column, Column, Column, Column]:
-    """As for a leaf. Ends are kept as two columns and each is used once, so that the expression grows with the tree only."""
+def _evaluate(e, side: str) -> tuple[str, str, str, str]:
+    """As for a leaf. Ends are kept apart and each is used once, so that the expression grows with the tree only."""
     if isinstance(e, Ref):
         return _resolve(e, side)
     parts = [_evaluate(a, side) for a in e.args]
     lo, hi, _, missing = parts[0]
     for p in parts[1:]:
         if e.op == "+":
-            lo, hi = lo + p[0], hi + p[1]
+            lo, hi = f"({lo} + {p[0]})", f"({hi} + {p[1]})"
         elif e.op == "-":
-            lo, hi = lo - p[1], hi - p[0]
+            lo, hi = f"({lo} - {p[1]})", f"({hi} - {p[0]})"
         else:
-            both = iv.div(F.struct(lo.alias("lo"), hi.alias("hi")), F.struct(p[0].alias("lo"), p[1].alias("hi")))
-            lo, hi = both["lo"], both["hi"]
+            corners = "array(" + ", ".join(f"try_divide({x}, {y})" for x in (lo, hi) for y in p[:2]) + ")"
+            lo, hi = (f"CASE WHEN NOT ({p[0]} <= 0 AND {p[1]} >= 0) THEN {f}({corners}) END" for f in ("array_min", "array_max"))
         # A sum stops at its first missing term; the others look at both sides.
-        missing = F.when(F.size(missing) > 0, missing).otherwise(p[3]) if e.op == "+" else F.concat(missing, p[3])
-    return lo, hi, F.concat(*[p[2] for p in parts]), missing
+        missing = f"CASE WHEN size({missing}) > 0 THEN {missing} ELSE {p[3]} END" if e.op == "+" else f"concat({missing}, {p[3]})"
+    return lo, hi, f"concat({', '.join(p[2] for p in parts)})", missing
 
 
-def ends(t: Identity, side: str = "") -> Column:
-    """Both sides of the identity over a slot row, before judgement; ``side`` goes before the slots' names."""
+def ends(t: Identity, side: str = "") -> str:
+    """Both sides of the identity over a slot row, before judgement, as a struct; ``side`` goes before the slots' names."""
     tl, th, t_ids, t_missing = _resolve(t.target, side)
     el, eh, e_ids, e_missing = _evaluate(t.expr, side)
-    return F.struct(
-        F.lit(t.id).alias("template_id"), F.lit(t.severity).alias("severity"), F.lit(t.tolerance.abs).alias("tol_abs"), F.lit(t.tolerance.rel).alias("tol_rel"),
-        F.lit(t.tolerance.rel_truth).alias("tol_rel_truth"), tl.alias("tl"), th.alias("th"), el.alias("el"), eh.alias("eh"),
-        F.concat(t_ids, e_ids).alias("involved"), F.concat(t_missing, e_missing).alias("missing"),
-    )
+    fields = {
+        "template_id": f"'{t.id}'", "severity": f"'{t.severity}'", "tol_abs": f"{t.tolerance.abs}D", "tol_rel": f"{t.tolerance.rel}D", "tol_rel_truth": f"{t.tolerance.rel_truth}D",
+        "tl": tl, "th": th, "el": el, "eh": eh, "involved": f"concat({t_ids}, {e_ids})", "missing": f"concat({t_missing}, {e_missing})",
+    }
+    return struct(fields)
+
+
+def struct(fields: dict[str, str]) -> str:
+    """A struct of named expressions."""
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
 
 
-def verdict(e: Column | None, truth: bool) -> tuple[Column, Column, Column]:
-    """Status, residual and band of what :func:`ends` gives, as a struct or as columns; the band's edge still satisfies."""
-    part = F.col if e is None else e.getField
-    expected = (part("el") + part("eh")) / 2
-    residual = (part("tl") + part("th")) / 2 - expected
-    band = F.greatest(part("tol_abs"), part("tol_rel_truth" if truth else "tol_rel") * F.abs(expected), (part("th") - part("tl") + part("eh") - part("el")) / 2)
-    band = F.when(residual.isNotNull(), band)
-    return F.when(residual.isNull(), "indeterminate").when(F.abs(residual) <= band, "satisfied").otherwise("violated"), residual, band
+def verdict(truth: bool, side: str = "") -> tuple[str, str, str]:
+    """Status, residual and band of what :func:`ends` gives, by the names of its fields after ``side``; the band's edge still satisfies."""
+    part = lambda name: side + name
+    expected = f"(({part('el')} + {part('eh')}) / 2)"
+    residual = f"(({part('tl')} + {part('th')}) / 2 - {expected})"
+    width = f"({part('th')} - {part('tl')} + {part('eh')} - {part('el')}) / 2"
+    band = f"CASE WHEN {residual} IS NOT NULL THEN greatest({part('tol_abs')}, {part('tol_rel_truth' if truth else 'tol_rel')} * abs({expected}), {width}) END"
+    return f"CASE WHEN {residual} IS NULL THEN 'indeterminate' WHEN abs({residual}) <= {band} THEN 'satisfied' ELSE 'violated' END", residual, band
 
 
 def judge(rows: DataFrame, truth: bool, keep: list[str]) -> DataFrame:
     """Status, residual and band of rows that carry :func:`ends`."""
-    status, residual, band = verdict(None, truth)
-    return rows.select(*keep, "template_id", "severity", status.alias("status"), residual.alias("residual"), band.alias("band"), "involved", "missing")
+    status, residual, band = verdict(truth)
+    return rows.selectExpr(*keep, "template_id", "severity", f"{status} AS status", f"{residual} AS residual", f"{band} AS band", "involved", "missing")

@@ -101,55 +101,51 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = base.groupBy("n", "y", "seg").agg(F.sum("v").alias("sv"), F.sum(F.when(F.col("k") % 3 != 0, F.col("v")).otherwise(0)).alias("cogs"))
     w = segs.groupBy("n", "y").agg(F.sum("sv").alias("total"), F.sum("cogs").alias("cogs"), F.collect_list(F.struct("seg", "sv")).alias("segs"))
     w = w.join(c.groupBy("n").agg((F.sum(_floor(F.abs("c_acctbal"))) * 100 + 5_000_000).alias("a")), "n")
-    n, y, a, total, cogs = (F.col(x) for x in ("n", "y", "a", "total", "cogs"))
-    plus = lambda rule, k: F.when(rule, k).otherwise(0)
-    w = w.withColumn("rev", F.when((n + y) % 9 == 4, _floor(total * 1.07)).otherwise(total)).withColumn("g", total - cogs).withColumn("li", _floor(a * 0.6))
-    g = F.col("g")
-    w = w.withColumns({
-        "op": _floor(g * 0.5), "pre": F.when(n % 12 == 11, 0).otherwise(_floor(g * 0.45)).cast("long"), "tax": _floor(g * 0.1), "net": _floor(g * 0.35),
-        "eq": a - F.col("li") + plus((n + y) % 8 == 3, 2_500_000), "cur": _floor(a * 0.3), "lcur": _floor(F.col("li") * 0.4), "nci": _floor(a * 0.02),
-    })
-    rev, li, op, pre, tax, net, eq, cur, lcur, nci = (F.col(x) for x in ("rev", "li", "op", "pre", "tax", "net", "eq", "cur", "lcur", "nci"))
-    parent = net + plus(n % 5 == 3, 1_500_000)
-
-    def row(ord_, concept, v4, rule=None, kind="duration", seg=None, more=None):
-        given = (ord_, concept, kind, v4, seg, more)
-        columns = [x if isinstance(x, Column) else F.lit(x) for x in given]
-        out = F.struct(*[x.cast(t).alias(name) for x, t, name in zip(columns, ("long", "string", "string", "long", "string", "string"), ("ord", "concept", "kind", "v4", "seg", "more"), strict=True)])
-        return out if rule is None else F.when(rule, out)
-
-    def dollars(ord_, concept, v, rule=None, kind="duration"):
-        return row(ord_, concept, v.cast("long") * 10_000, rule, kind)
-
-    def by_segment(first, concept, rule, v4, more=None):
-        each = F.transform("segs", lambda s: row(first + F.ascii(s["seg"]) - 65, concept, v4(s["sv"]), seg=s["seg"], more=more))
-        return F.when(rule, each).otherwise(F.slice(each, 1, 0))
-
-    ratio = lambda ord_, concept, top, bottom, rule, off: row(ord_, concept, _floor(F.try_divide(top * F.lit(10_000.0), bottom)) + off, rule)
-    instant = lambda ord_, concept, v, rule=None: dollars(ord_, concept, v, rule, "instant")
-    single = F.array(
-        dollars(1, "revenue.total", rev), dollars(30, "cogs.total", cogs), dollars(31, "gross_profit.total", rev - cogs + plus((n + y) % 10 == 7, 1_000_000), n % 4 != 2), dollars(32, "operating_income.total", op),
-        dollars(33, "opex.total", rev - cogs - op + plus((n + y) % 8 == 6, 1_500_000), n % 5 != 0), dollars(60, "pretax_income.total", pre), dollars(61, "income_tax.total", tax),
-        dollars(62, "net_income.parent", parent), dollars(63, "net_income.consolidated", net, n % 2 == 0), dollars(64, "net_income.nci", plus((n + y) % 3 == 0, 250_000), n % 2 == 0),
-        dollars(65, "income.equity_method", F.lit(-200_000), n % 7 == 5), dollars(66, "income.discontinued", F.lit(400_000), n % 7 == 3), dollars(67, "cfo.total", op),
-        instant(70, "assets.total", a), instant(71, "liabilities.total", li), instant(72, F.when(n % 2 == 0, "equity.total").otherwise("equity.parent"), eq),
-        instant(73, "equity.temporary", F.lit(2_500_000).cast("long"), n % 6 == 5), instant(74, "liabilities_and_equity.total", a + plus((n + y) % 9 == 1, 3_000_000), n % 4 != 1), instant(75, "assets.current", cur),
-        instant(76, "assets.noncurrent", a - cur + plus((n + y) % 7 == 2, 4_000_000), n % 3 != 2), instant(77, "liabilities.current", lcur, n % 3 != 1),
-        instant(78, "liabilities.noncurrent", li - lcur + plus((n + y) % 5 == 4, 2_000_000), n % 3 != 1), instant(79, "equity.parent", eq - nci, n % 4 == 0),
-        instant(80, "equity.nci", nci + plus((n + y) % 6 == 5, 3_000_000), n % 4 == 0),
-        ratio(90, "gross_margin.ratio", rev - cogs, rev, n % 3 == 0, plus((n + y) % 6 == 3, 200)), ratio(91, "operating_margin.ratio", op, rev, n % 3 == 0, plus((n + y) % 7 == 5, 150)),
-        ratio(92, "net_margin.ratio", parent, rev, n % 4 == 1, -plus((n + y) % 5 == 0, 200)),
-        row(93, "effective_tax_rate.ratio", F.coalesce(_floor(F.try_divide(tax * F.lit(10_000.0), pre)), F.lit(2222)) + plus((n + y) % 6 == 2, 300), n % 4 == 3),
+    w = w.selectExpr("*", "CASE WHEN (n + y) % 9 = 4 THEN CAST(floor(total * 1.07D) AS bigint) ELSE total END AS rev", "total - cogs AS g", "CAST(floor(a * 0.6D) AS bigint) AS li")
+    floor = lambda x: f"CAST(floor({x}) AS bigint)"
+    plus = lambda rule, k: f"CASE WHEN {rule} THEN {k}L ELSE 0L END"
+    w = w.selectExpr(
+        "*", f"{floor('g * 0.5D')} AS op", f"CASE WHEN n % 12 = 11 THEN 0L ELSE {floor('g * 0.45D')} END AS pre", f"{floor('g * 0.1D')} AS tax", f"{floor('g * 0.35D')} AS net",
+        f"a - li + {plus('(n + y) % 8 = 3', 2_500_000)} AS eq", f"{floor('a * 0.3D')} AS cur", f"{floor('li * 0.4D')} AS lcur", f"{floor('a * 0.02D')} AS nci",
     )
-    even = y % 2 == 0
-    share = F.when(even, 0.5).otherwise(0.15)
-    kept = 1 - F.when(even, cogs * 1.0 / total).otherwise(0.0)
-    every = F.concat(
-        F.array_compact(single), by_segment(10, "revenue.segment", n % 10 != 7, lambda v: v * 10_000), by_segment(200, "revenue.segment", n % 8 == 1, lambda v: _floor(v * 0.5) * 10_000, "product"),
-        F.array_compact(F.array(row(300, "revenue.segment", 0, n % 8 == 2, seg="ELIMINATIONS", more="consolidation_item"))),
-        by_segment(40, "operating_income.segment", n % 3 == 1, lambda v: _floor(v * share * kept) * 10_000),
-    )
-    return w.select("n", "y", F.inline(every))
+    parent = f"(net + {plus('n % 5 = 3', 1_500_000)})"
+    share = lambda top, bottom: floor(f"try_divide({top} * 10000D, {bottom})")
+    # Order, concept, period type, dollars (ratios: ten thousandths) and which nations and years have it.
+    figures = [
+        (1, "revenue.total", "duration", "rev", ""), (30, "cogs.total", "duration", "cogs", ""), (31, "gross_profit.total", "duration", f"rev - cogs + {plus('(n + y) % 10 = 7', 1_000_000)}", "n % 4 <> 2"),
+        (32, "operating_income.total", "duration", "op", ""), (33, "opex.total", "duration", f"rev - cogs - op + {plus('(n + y) % 8 = 6', 1_500_000)}", "n % 5 <> 0"),
+        (60, "pretax_income.total", "duration", "pre", ""), (61, "income_tax.total", "duration", "tax", ""), (62, "net_income.parent", "duration", parent, ""),
+        (63, "net_income.consolidated", "duration", "net", "n % 2 = 0"), (64, "net_income.nci", "duration", plus("(n + y) % 3 = 0", 250_000), "n % 2 = 0"),
+        (65, "income.equity_method", "duration", "-200000L", "n % 7 = 5"), (66, "income.discontinued", "duration", "400000L", "n % 7 = 3"), (67, "cfo.total", "duration", "op", ""),
+        (70, "assets.total", "instant", "a", ""), (71, "liabilities.total", "instant", "li", ""), (72, "equity.total", "instant", "eq", "n % 2 = 0"), (72, "equity.parent", "instant", "eq", "n % 2 = 1"),
+        (73, "equity.temporary", "instant", "2500000L", "n % 6 = 5"), (74, "liabilities_and_equity.total", "instant", f"a + {plus('(n + y) % 9 = 1', 3_000_000)}", "n % 4 <> 1"),
+        (75, "assets.current", "instant", "cur", ""), (76, "assets.noncurrent", "instant", f"a - cur + {plus('(n + y) % 7 = 2', 4_000_000)}", "n % 3 <> 2"),
+        (77, "liabilities.current", "instant", "lcur", "n % 3 <> 1"), (78, "liabilities.noncurrent", "instant", f"li - lcur + {plus('(n + y) % 5 = 4', 2_000_000)}", "n % 3 <> 1"),
+        (79, "equity.parent", "instant", "eq - nci", "n % 4 = 0"), (80, "equity.nci", "instant", f"nci + {plus('(n + y) % 6 = 5', 3_000_000)}", "n % 4 = 0"),
+        (90, "gross_margin.ratio", "duration", f"{share('(rev - cogs)', 'rev')} + {plus('(n + y) % 6 = 3', 200)}", "n % 3 = 0"),
+        (91, "operating_margin.ratio", "duration", f"{share('op', 'rev')} + {plus('(n + y) % 7 = 5', 150)}", "n % 3 = 0"),
+        (92, "net_margin.ratio", "duration", f"{share(parent, 'rev')} - {plus('(n + y) % 5 = 0', 200)}", "n % 4 = 1"),
+        (93, "effective_tax_rate.ratio", "duration", f"coalesce({share('tax', 'pre')}, 2222L) + {plus('(n + y) % 6 = 2', 300)}", "n % 4 = 3"),
+    ]
+
+    def row(ord_, concept, kind, v4, seg="CAST(NULL AS string)", more="CAST(NULL AS string)"):
+        return f"named_struct('ord', CAST({ord_} AS bigint), 'concept', '{concept}', 'kind', '{kind}', 'v4', CAST({v4} AS bigint), 'seg', {seg}, 'more', {more})"
+
+    def by_segment(first, concept, rule, dollars, more="CAST(NULL AS string)"):
+        each = f"transform(segs, s -> {row(f'{first} + ascii(s.seg) - 65', concept, 'duration', f'{dollars} * 10000', 's.seg', more)})"
+        return f"CASE WHEN {rule} THEN {each} ELSE slice({each}, 1, 0) END"
+
+    single = []
+    for ord_, concept, kind, v, rule in figures:
+        one = row(ord_, concept, kind, v if concept.endswith(".ratio") else f"({v}) * 10000")
+        single.append(f"CASE WHEN {rule} THEN {one} END" if rule else one)
+    single.append(f"CASE WHEN n % 8 = 2 THEN {row(300, 'revenue.segment', 'duration', 0, chr(39) + 'ELIMINATIONS' + chr(39), chr(39) + 'consolidation_item' + chr(39))} END")
+    part = "s.sv * CASE WHEN y % 2 = 0 THEN 0.5D ELSE 0.15D END * (1 - CASE WHEN y % 2 = 0 THEN cogs * 1D / total ELSE 0D END)"
+    every = [
+        f"array_compact(array({', '.join(single)}))", by_segment(10, "revenue.segment", "n % 10 <> 7", "s.sv"), by_segment(200, "revenue.segment", "n % 8 = 1", floor("s.sv * 0.5D"), "'product'"),
+        by_segment(40, "operating_income.segment", "n % 3 = 1", floor(part)),
+    ]
+    return w.selectExpr("n", "y", f"inline(concat({', '.join(every)}))")
 
 
 def raw_facts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,15 @@
 """Main text of web pages by wrapper induction.
 
 A page is parsed to a tree of blocks, without the parts whose markup says what they
-are (menus, footers, adverts, forms, scripts, comments). A page that marks its article says
-itself what varies: all of that slot is content, passages included that other articles have too. The trees
-of a host's other pages are aligned, in groups of bounded size, by simple tree matching: nodes match under equal labels, weighted by
+are (menus, footers, adverts, forms, scripts, comments); where a page marks its article, that element is its tree. The trees
+of a host's pages are aligned, in groups of bounded size, by simple tree matching: nodes match under equal labels, weighted by
 how much of their subtrees matches in turn, and by texts they share. Each page is aligned with those
 that share most blocks with it, so that pages of one section meet, but for near copies: two
 pages whose own blocks are mostly the same words say nothing of the template. Blocks with equal text in both are
 votes for template, blocks with another text or without a partner votes for content;
-votes are summed over the host, and blocks that are constant more often than not go as template.
+votes are summed over the host, and blocks that are constant more often than not go as template. A page that marks its
+article says itself what varies, so inside a mark an exact check follows: such a block goes only if most of the host's
+different marked pages have it, as passages that some articles share are content.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .words import mix, window_hashes, word_hashes
 CELLS = 4_000_000
 #: Array elements up to which the templates of all hosts are broadcast: 8 bytes each.
 BROADCAST_SIGS = 2_000_000
+#: Different pages of a host, at least, that have a block of the template inside their marked article.
+MARKED_PAGES = 4
 #: Elements without content of their own, elements that are never article text, and blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("script style noscript template head nav footer aside form button select textarea iframe svg canvas object audio video dialog menu".split())
@@ -215,12 +218,15 @@ def sketches(texts: list[str]) -> np.ndarray:
     flat = word_hashes([w for ws in words for w in ws])
     pairs = np.concatenate([window_hashes(flat, 2), flat[-1:]])
     starts = np.cumsum([0, *map(len, words)])
+    size = np.diff(starts)
+    several, single = np.flatnonzero(size > 1), np.flatnonzero(size == 1)
+    spans = np.column_stack([starts[several], starts[several + 1] - 1]).ravel()  # of every text, its pairs, then what is between
     for k in range(4):
         with np.errstate(over="ignore"):
             x, y = mix(pairs + np.uint64(k)), mix(flat + np.uint64(k + 9))
-        for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
-            if b > a:
-                out[i, k] = (x[a : b - 1] if b - a > 1 else y[a:b]).min() >> np.uint64(48)
+        if len(several):
+            out[several, k] = np.minimum.reduceat(x, spans)[::2] >> np.uint64(48)
+        out[single, k] = y[starts[single]] >> np.uint64(48)
     return out
 
 
@@ -401,19 +407,23 @@ def _vote(pdf: pd.DataFrame, partners: int) -> pd.DataFrame:
     for i, b in enumerate(blocks):
         has[i, [index[s] for s in b]] = 1
     common = has @ has.T
+    apart: dict[tuple[int, int], bool] = {}
     done, constant, other = set(), Counter(), Counter()
     columns = [list(map(list, pdf[c])) for c in ("labels", "parents", "nodes", "sigs")]
     for i in range(len(blocks)):
         met = 0
         for j in np.argsort(-common[i], kind="stable").tolist():
-            if met == partners:
+            if met == partners or not common[i, j]:
                 break
-            if j == i or not common[i, j] or not independent(blocks[i], blocks[j]):
+            pair = min(i, j), max(i, j)
+            if j != i and pair not in apart:
+                apart[pair] = independent(blocks[i], blocks[j])
+            if j == i or not apart[pair]:
                 continue
             met += 1
-            if (min(i, j), max(i, j)) in done:
+            if pair in done:
                 continue
-            done.add((min(i, j), max(i, j)))
+            done.add(pair)
             for k in (i, j):
                 if k not in trees:
                     trees[k] = Tree(*[c[k] for c in columns])
@@ -421,8 +431,8 @@ def _vote(pdf: pd.DataFrame, partners: int) -> pd.DataFrame:
             same = {a.sig[u] for u, v in Matcher(a, b).pairs() if u in a.sig and a.sig[u] == b.sig.get(v)}
             constant.update(same)
             other.update((blocks[i].keys() | blocks[j].keys()) - same)
-    host = pdf["host"].iloc[0]
-    return pd.DataFrame([(host, s, n, other[s]) for s, n in constant.items()], columns=["host", "sig", "constant", "other"])
+    host, marked = pdf["host"].iloc[0], pdf["marked"].iloc[0]
+    return pd.DataFrame([(host, marked, s, n, other[s]) for s, n in constant.items()], columns=["host", "marked", "sig", "constant", "other"])
 
 
 PARSED = "page_id bigint, url string, labels array<bigint>, parents array<int>, nodes array<int>, texts array<string>, sigs array<bigint>, sizes array<int>, sketches array<bigint>, digest bigint, marked boolean"
@@ -435,15 +445,15 @@ def parse(pages: DataFrame) -> DataFrame:
     def run(batches):
         for b in slices(batches, 128):
             out: list[list] = [[] for _ in range(9)]
-            for html in b.column(2).to_pylist():
-                page = read(html or "")
-                digest = _hash(*page.sigs)
-                if page.marked:  # taken whole: its tree is not needed
-                    page.labels, page.parents, page.nodes = [], [], []
+            found = [read(html or "") for html in b.column(2).to_pylist()]
+            marks, at = sketches([t for page in found for t in page.texts]).view(np.int64).ravel(), 0
+            for page in found:
+                to = at + len(page.texts)
                 row = (
-                    signed(page.labels), page.parents, page.nodes, page.texts, signed(page.sigs), [] if page.marked else list(map(len, page.texts)),
-                    sketches([] if page.marked else page.texts).view(np.int64).ravel(), int(signed([digest])[0]), page.marked,
+                    signed(page.labels), page.parents, page.nodes, page.texts, signed(page.sigs), list(map(len, page.texts)),
+                    marks[at:to], int(signed([_hash(*page.sigs)])[0]), page.marked,
                 )
+                at = to
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.bool_())
@@ -455,8 +465,9 @@ def parse(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, *, group_rows: int = 64, partners: int = 3) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page, blocks joined by an empty line.
 
-    Pages that mark no article are aligned with others of their host, in groups of about ``group_rows`` different ones,
-    each with up to ``partners`` others; a block goes as template if it was constant in more alignments than not. Null and empty html give an empty text; pages
+    Pages are aligned with others of their host, those that mark their article with those that do, in groups of about ``group_rows`` different
+    ones, each with up to ``partners`` others; a block goes as template if it was constant in more alignments than not and, inside a
+    marked article, stands in over half of the host's different marked pages, ``MARKED_PAGES`` at least. Null and empty html give an empty text; pages
     without a host in their url are one host. Pages of any length and depth are read whole, in memory linear in their
     size. A box on few of a host's pages (fewer than four of a group) may be taken for content. Ties in an alignment go to the later children. Repeated rows give a row each and vote once; extra columns are
     not read; an empty table gives no rows.
@@ -464,17 +475,26 @@ def extract(pages: DataFrame, *, group_rows: int = 64, partners: int = 3) -> Dat
     scratch = Scratch(pages.sparkSession, "html")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)), F.lit(""))
     parsed = scratch.keep(parse(pages).withColumn("host", host), "blocks")
-    each = parsed.filter(~F.col("marked") & (F.size("sigs") > 0)).groupBy("host", "digest").agg(F.min("page_id").alias("page_id"), *[F.first(c).alias(c) for c in ("labels", "parents", "nodes", "sigs", "sizes", "sketches")])
+    each = parsed.filter(F.size("sigs") > 0).groupBy("host", "marked", "digest").agg(F.min("page_id").alias("page_id"), *[F.first(c).alias(c) for c in ("labels", "parents", "nodes", "sigs", "sizes", "sketches")])
     each = scratch.keep(each, "pages")
-    # Two numbers per host; the pages themselves are dealt by host and group, so a large host is many tasks.
-    sizes = each.groupBy("host").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("groups"))
+    # A few numbers per host; the pages themselves are dealt by host and group, so a large host is many tasks.
+    sizes = each.groupBy("host", "marked").agg(F.count("*").alias("pages")).withColumn("groups", F.ceil(F.col("pages") / group_rows).cast("int"))
     few = sizes.count() <= 100_000
-    dealt = each.join(F.broadcast(sizes) if few else sizes, "host").withColumn("grp", F.pmod(F.xxhash64("digest"), F.col("groups")))
-    votes = dealt.groupBy("host", "grp").applyInPandas(lambda pdf: _vote(pdf, partners), "host string, sig bigint, constant bigint, other bigint")
-    votes = votes.groupBy("host", "sig").agg(F.sum("constant").alias("constant"), F.sum("other").alias("other"))
-    templates = scratch.keep(votes.filter("constant > other").groupBy("host").agg(F.collect_list("sig").alias("template")), "templates")
+    dealt = each.join(F.broadcast(sizes) if few else sizes, ["host", "marked"]).withColumn("grp", F.pmod(F.xxhash64("digest"), F.col("groups")))
+    votes = dealt.groupBy("host", "marked", "grp").applyInPandas(lambda pdf: _vote(pdf, partners), "host string, marked boolean, sig bigint, constant bigint, other bigint")
+    votes = votes.groupBy("host", "marked", "sig").agg(F.sum("constant").alias("constant"), F.sum("other").alias("other"))
+    votes = scratch.keep(votes.filter("constant > other").select("host", "marked", "sig"), "votes")
+    inside = votes.filter("marked").select("host", "sig")
+    standing = each.filter("marked").select("host", F.explode(F.array_distinct("sigs")).alias("sig"))
+    if inside.count() <= BROADCAST_SIGS // 10:
+        standing = standing.join(F.broadcast(inside), ["host", "sig"], "left_semi")
+    standing = standing.groupBy("host", "sig").agg(F.count("*").alias("n")).join(inside, ["host", "sig"])
+    most = (2 * F.col("n") > F.col("pages")) & (F.col("n") >= MARKED_PAGES)
+    sure = standing.join(sizes.filter("marked"), "host").filter(most).select("host", "sig")
+    templates = votes.filter("NOT marked").select("host", "sig").union(sure)
+    templates = scratch.keep(templates.groupBy("host").agg(F.collect_list("sig").alias("template")), "templates")
     elements = templates.agg(F.sum(F.size("template"))).first()[0] or 0
-    kept = F.filter(F.arrays_zip("sigs", "texts"), lambda x: ~F.coalesce(F.array_contains("template", x["sigs"]) & ~F.col("marked"), F.lit(False)))
+    kept = F.filter(F.arrays_zip("sigs", "texts"), lambda x: ~F.coalesce(F.array_contains("template", x["sigs"]), F.lit(False)))
     text = F.array_join(F.transform(kept, lambda x: x["texts"]), "\n\n")
     out = parsed.join(F.broadcast(templates) if elements <= BROADCAST_SIGS else templates, "host", "left").select("page_id", "url", text.alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -115,6 +115,26 @@ def test_induction_without_any_marks(spark):
     assert got == want
 
 
+def test_marked_pages_are_aligned_too(spark):
+    """In marked articles, what most of a host's pages hold is template; passages of some articles, and of near copies, are not."""
+    rng = random.Random(4)
+    own = [stories(rng, rng.randint(2, 4)) for _ in range(150)]
+    for k in range(0, 150, 5):
+        own[k][1] = own[0][1]  # a passage in every fifth article
+    near = [[own[7][0], f"x{k} " + own[7][1], *own[7][2:]] for k in range(40)]
+    lay = "<body><div>Out of it</div><article><div class=k1>Read this with our app</div>{}<p>Thank you for your visit</article>"
+    rows = [(i, "http://m.example/a", lay.format("".join(f"<p>{t}</p>" for t in body))) for i, body in enumerate(own + near)]
+    two = ["<article><p>one more<p>shared passage</article>", "<article><p>and another<p>shared passage</article>"]
+    rows += [(1000 + k, "http://two.example/", page) for k, page in enumerate(two)]
+    rows += [(2000 + k, "http://m.example/b", f"<body><p>Without a mark</p><p>Thank you for your visit</p><p>{t}</p>") for k, t in enumerate(stories(rng, 9))]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert html_extract.parse(table).filter("marked AND (size(labels) = 0 OR size(sketches) <> size(texts))").count() == 0
+    got = {r.page_id: r.text for r in html_extract.extract(table).collect()}
+    assert [got[i] for i in range(190)] == ["\n\n".join(body) for body in own + near]
+    assert (got[1000], got[1001]) == ("one more\n\nshared passage", "and another\n\nshared passage")
+    assert all("\n\n" not in got[2000 + k] for k in range(9))
+
+
 def test_deep_and_long_pages(spark):
     deep = "<div>" * 30_000 + "end" + "</b>" * 30_000
     long_ = "".join(f"<p>paragraph {k}" for k in range(8000))

@@ -76,6 +76,8 @@ class PairTable:
         self.rank = np.full(1 << self.bits, _NONE, np.int32)
         self.merged = np.zeros(1 << self.bits, np.int32)
         rank, merged = np.asarray(rank, np.int32), np.asarray(merged, np.int32)
+        self.by_rank = np.zeros(int(rank.max(initial=-1)) + 1, np.int32)  # a rank stands for one merged id
+        self.by_rank[rank] = merged
         slot, todo, self.probes = self._slot(key), np.arange(len(key)), 0
         while len(todo):
             self.probes += 1
@@ -161,15 +163,14 @@ class Codec:
                     for j, i in enumerate(rows[pick].tolist()):
                         out[i] = flat[j * step : (j + 1) * step]
                 keep = np.flatnonzero(~done)
-                ids, rank, size, rows, best = ids[keep], rank[keep], size[keep], rows[keep], best[keep]
+                ids, rank, size, rows, best, least = ids[keep], rank[keep], size[keep], rows[keep], best[keep], least[keep]
                 n = len(keep)
                 if not n:
                     return
                 width = int(size.max())
                 ids, rank = ids[:, :width], rank[:, : max(width - 1, 1)]
             every = np.arange(n)
-            new = self.table.merged[self.table.find(ids[every, best], ids[every, best + 1])]
-            ids[every, best] = new
+            ids[every, best] = self.table.by_rank[least]
             width -= 1
             if width == 0:
                 width = 1
@@ -217,23 +218,38 @@ class Codec:
         return np.array([i for i in ids if i >= 0], "<u4").tobytes()
 
     # ---- texts ---------------------------------------------------------
-    def _learn(self, words: Iterable[str]) -> None:
-        """Put the ids of words (each with the space before it) into the memo."""
-        if len(self._memo) > self.remember:
-            self._old, self._memo = self._memo, {}
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words (each with the space before it) that the memo lacks; those of ordinary length are put there."""
         memo, old = self._memo, self._old
-        missing = []
+        out = {w: old[w] for w in words if w in old} if old else {}
+        whole, cut = [], []
         for w in words:
-            if w not in memo:
-                if w in old:
-                    memo[w] = old[w]
+            if w not in out:
+                if (w[1:] if w[:1] == " " else w).isalpha():
+                    whole.append(w)
                 else:
-                    missing.append(w)
-        cut = [(w, pieces_of(w, self.pattern)) for w in missing]
-        pieces = [p for p in {p for _, ps in cut for p in ps} if p not in memo]
+                    cut.append((w, pieces_of(w, self.pattern)))
+        pieces = list({p for _, ps in cut for p in ps if p not in memo}.union(whole))
         ids = dict(zip(pieces, self.encode_pieces([p.encode() for p in pieces]), strict=True))
+        for w in whole:
+            out[w] = ids[w]
         for w, ps in cut:
-            memo[w] = ids[w] if w in ids else b"".join([ids[p] if p in ids else memo[p] for p in ps])
+            out[w] = b"".join([ids[p] if p in ids else memo[p] for p in ps])
+        memo.update(out if max(map(len, out), default=0) <= MEMO_KEY else {w: x for w, x in out.items() if len(w) <= MEMO_KEY})
+        return out
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of every word; those in the memo are looked up once and touched no more."""
+        if len(self._memo) > self.remember:
+            self._old, self._memo = self._memo, {}
+        ids = list(map(self._memo.get, words))
+        at = [i for i, x in enumerate(ids) if x is None]
+        if at:
+            lacking = [words[i] for i in at]
+            new = self._learn(set(lacking))
+            for i, x in zip(at, map(new.__getitem__, lacking), strict=True):
+                ids[i] = x
+        return ids
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian uint32 bytes."""
@@ -242,29 +258,19 @@ class Codec:
 
     def _encode_block(self, texts: list[str]) -> list[bytes]:
         cut: list[list] = []
+        words: list[str] = []
         for text in texts:
             parts: list = []
             for k, part in enumerate(self._special.split(text) if self._special and self._special.search(text) else [text]):
                 if k % 2:
                     parts.append(np.array([self.special[part]], "<u4").tobytes())
                 elif part:
-                    parts.append(words_of(part) or self.pattern.findall(part))
+                    at = len(words)
+                    words += words_of(part) or self.pattern.findall(part)
+                    parts.append(slice(at, len(words)))
             cut.append(parts)
-        known: set[str] = set()
-        for parts in cut:
-            for part in parts:
-                if type(part) is list:
-                    known.update(part)
-        huge = {w for w in known if len(w) > MEMO_KEY}
-        self._learn(known - huge)
-        memo, extra = self._memo, {}
-        if huge:
-            pieces = [(w, self.pattern.findall(w)) for w in huge]
-            flat = list({p for _, ps in pieces for p in ps})
-            ids = dict(zip(flat, self.encode_pieces([p.encode() for p in flat]), strict=True))
-            extra = {w: b"".join([ids[p] for p in ps]) for w, ps in pieces}
-        get = {**{w: memo[w] for w in known - huge}, **extra}.__getitem__ if huge else memo.__getitem__
-        return [b"".join([part if type(part) is bytes else b"".join(map(get, part)) for part in parts]) for parts in cut]
+        ids = self._ids(words)
+        return [b"".join([part if type(part) is bytes else b"".join(ids[part]) for part in parts]) for parts in cut]
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of many texts, a bounded block at a time; null counts as empty."""
@@ -327,15 +333,18 @@ def uncollected():
         gc.enable()
 
 
-#: White space other than single spaces and line feeds between other characters.
-_UNSAFE = re.compile(r"[^\S \n]|[ \n][ \n]|\0|[ ]\Z")
+#: White space that is no space or line feed, the mark of a cut, and white space in a row.
+_UNSAFE = (*re.findall(r"[^\S \n]", "".join(map(chr, range(0x3001)))), "\0", "  ", " \n", "\n ", "\n\n")
 
 
 def words_of(text: str) -> list[str] | None:
     """The text cut before every single space and around every single line feed, where pre-tokens
     always end; None where other white space makes such cuts unsafe."""
-    if _UNSAFE.search(text):
+    if text.endswith(" "):
         return None
+    for s in _UNSAFE:  # a plain search for each is faster than one pattern
+        if s in text:
+            return None
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 

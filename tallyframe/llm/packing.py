@@ -33,7 +33,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, separator: int, reme
     def run(batches: Iterable[pa.RecordBatch]):
         tok, end = bpe.codec(vocabulary), separator.to_bytes(4, "little")
         tok.remember = remember
-        for b in bpe.slices(batches, codecs=True):
+        for b in bpe.slices(batches, 1024, codecs=True):
             out: list[list[int]] = [[], [], [], [], []]
             for doc, raw in zip(b.column(0).to_pylist(), tok.encode_all(b.column(1).to_pylist()), strict=True):
                 raw += end

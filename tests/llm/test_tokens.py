@@ -47,6 +47,18 @@ def test_memo_generations(monkeypatch):
         assert np.frombuffer(next(tok.encode_all([text])), "<u4").tolist() == TIK.encode_ordinary(text)
 
 
+def test_remembered_words_are_looked_up_once(monkeypatch):
+    asked = []
+    tok, learn = bpe.codec.__wrapped__("byte_bpe_50k.json"), bpe.Codec._learn
+    monkeypatch.setattr(bpe.Codec, "_learn", lambda self, words: asked.append(set(words)) or learn(self, words))
+    texts = ["some words, some more", "some words and more " + "x" * 100, "", "more some words, some", "a\u2003b\x1fc d", "a b\u3000", " a", "\na", "a ", "a\n"]
+    for _ in range(2):
+        got = list(tok.encode_all(texts))
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [HF.encode(t, add_special_tokens=False).ids for t in texts]
+    # The second time, only the word too long to be remembered.
+    assert len(asked) == 2 and asked[1] == {" " + "x" * 100}
+
+
 def test_workers_let_go_of_codecs():
     first = bpe.codec("byte_bpe_50k.tiktoken")
     assert list(bpe.slices([], codecs=True)) == [] and bpe.codec("byte_bpe_50k.tiktoken") is first

@@ -45,6 +45,8 @@ MISS = 3e-5
 SQUARE = 2048
 #: Rounds that join components through single pairs before all pairs between components are looked at.
 ROUNDS = 3
+#: Representatives that one task puts in buckets: it groups over sixty keys of each, in about 100 bytes of its heap a key.
+INDEX_ROWS = 10_000
 #: Ids up to which the set of needed documents is broadcast: 8 bytes each.
 BROADCAST_IDS = 200_000
 _SIGNATURE = [f"s{k}" for k in range(LONGS)]
@@ -136,6 +138,7 @@ def _sketch(docs: DataFrame, width: int) -> DataFrame:
 def _index(reps: DataFrame, percent: int) -> DataFrame:
     """``key, rep``: every representative under each of its bucket keys."""
     chunks, size = layout(percent)
+    tasks = -(-reps.count() // INDEX_ROWS) or 1
 
     def run(batches):
         for b in slices(batches, 2048):
@@ -144,7 +147,7 @@ def _index(reps: DataFrame, percent: int) -> DataFrame:
             ids = np.repeat(b.column(0).to_numpy(), keys.shape[1])
             yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], ["key", "rep"])
 
-    return reps.select("rep", *_SIGNATURE).mapInArrow(run, "key bigint, rep bigint")
+    return reps.select("rep", *_SIGNATURE).repartition(tasks, "rep").mapInArrow(run, "key bigint, rep bigint")
 
 
 def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:

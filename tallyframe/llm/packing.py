@@ -27,13 +27,13 @@ from .scratch import Scratch
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int, separator: int, remember: int = bpe.MEMO) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, capacity: int, separator: int, remember: int = bpe.MEMO, rows: int = 1024) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32``."""
 
     def run(batches: Iterable[pa.RecordBatch]):
         tok, end = bpe.codec(vocabulary), separator.to_bytes(4, "little")
         tok.remember = remember
-        for b in bpe.slices(batches, 1024, codecs=True):
+        for b in bpe.slices(batches, rows, codecs=True):
             out: list[list[int]] = [[], [], [], [], []]
             for doc, raw in zip(b.column(0).to_pylist(), tok.encode_all(b.column(1).to_pylist()), strict=True):
                 raw += end
@@ -131,6 +131,7 @@ def pack(
     group_rows: int = 20_000,
     exchange_rows: int = 200_000,
     remember: int = bpe.MEMO,
+    rows: int = 1024,
 ) -> DataFrame:
     """Pack the documents: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified``.
 
@@ -139,11 +140,11 @@ def pack(
     ``group_rows`` is what one task packs at first, and ``exchange_rows`` the most it ever does: the groups of an exchange
     grow fourfold up to that, and once an exchange among such groups leaves nine tenths of its rows without a certificate, their
     packing stands, uncertified. ``remember`` bounds the words
-    a worker keeps the ids of, in two generations at about 160 bytes each; results don't depend on it.
+    a worker keeps the ids of, in two generations at about 160 bytes each, and ``rows`` the texts it cuts up at a time; results don't depend on them.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
-    cut = scratch.keep(pieces(docs, vocabulary, capacity, separator, remember), "pieces")
+    cut = scratch.keep(pieces(docs, vocabulary, capacity, separator, remember, rows), "pieces")
     full = F.col("length") == capacity
     schema = PIECES + ", sequence_id bigint, offset bigint, certified boolean"
     # A full piece is a sequence by itself; its id needs no agreement with any other.

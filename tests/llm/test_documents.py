@@ -42,6 +42,26 @@ def test_near_duplicates(spark, percent):
     assert near_duplicates.near_duplicates(empty(docs)).collect() == []
 
 
+def test_an_executor_holds_few_rows_at_a_time(spark, monkeypatch):
+    """Keys are made by tasks of bounded rows, however the representatives were written, and stages send workers small batches."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(near_duplicates, "INDEX_ROWS", 50)
+    reps = spark.range(400).coalesce(1).withColumnRenamed("id", "rep").select("rep", *[F.xxhash64("rep", F.lit(k)).alias(f"s{k}") for k in range(near_duplicates.LONGS)])
+    keys = near_duplicates._index(reps, 85)
+    assert keys.count() == 400 * 63 and keys.rdd.getNumPartitions() == 8
+    assert max(r["n"] for r in keys.groupBy(F.spark_partition_id()).agg(F.count_distinct("rep").alias("n")).collect()) < 100
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(name, "10000")
+            stage(spark, empty(odd_docs(spark)), SF)
+            assert spark.conf.get(name) == "1000"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_a_hot_bucket_is_dealt_in_squares(spark, monkeypatch):
     """Many pages of one template, most of them not similar enough, meet in the same buckets."""
     monkeypatch.setattr(near_duplicates, "SQUARE", 7)

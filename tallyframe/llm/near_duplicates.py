@@ -11,10 +11,15 @@ Signatures only make pairs meet: no pair that meets is refuted by them. Pairs ar
 1. every representative is confirmed, on full sets, against the leader (smallest id)
    that it shares most buckets with, and the links give components;
 2. a few rounds join components that share a bucket through one confirmed pair each;
-3. only buckets that still hold several components are looked at again: members outside
-   the bucket's largest component against all others of other components, within
-   the ratio of sizes, and confirmed on full sets. Buckets with many members are dealt, in
-   squares, to many tasks.
+3. only buckets that still hold several components are looked at again. Those with the same
+   largest component are one cluster; in it, members outside that component are held against all
+   others of other components, each pair once, within the ratio of sizes, and confirmed on full sets.
+   In a cluster of more than ``FEW`` members a member is known by its difference: the shingles that
+   it and the cluster's pivot do not share. Two sets have as many shingles of their own as their differences have, so
+   similar ones share a part of their differences that follows from the sizes, and meet in one of the rarest
+   elements of both (prefix filter); those similar by sizes alone are each similar to the member with the most
+   room. So members meet by what sets them apart from the group, and not by what all of the group share.
+   Elements with many members are dealt, in squares, to many tasks.
 
 Every pair that meets in a bucket is so either confirmed, refuted, or already connected.
 
@@ -41,8 +46,10 @@ from .words import mix, window_hashes, word_hashes
 MOST_HASHES, LONGS = 63, 16
 #: Chance, at most, that a pair just at the wanted similarity meets in no bucket.
 MISS = 3e-5
-#: Members of a bucket in one side of a square.
+#: Members that meet under one key in one side of a square.
 SQUARE = 2048
+#: Members of a cluster up to which all of them meet: so many pairs of each at most.
+FEW = 64
 #: Rounds that join components through single pairs before all pairs between components are looked at.
 ROUNDS = 3
 #: Representatives that one task puts in buckets: it groups over sixty keys of each, in about 100 bytes of its heap a key.
@@ -150,14 +157,19 @@ def _index(reps: DataFrame, percent: int) -> DataFrame:
     return reps.select("rep", *_SIGNATURE).repartition(tasks, "rep").mapInArrow(run, "key bigint, rep bigint")
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full shingle sets are similar enough."""
+def _sides(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``text_a, text_b`` of their members ``a, b``, sorted by ``b``."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     few = needed.count() <= BROADCAST_IDS
     texts = docs.select("doc_id", "text").join(F.broadcast(needed) if few else needed, "doc_id", "left_semi")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    sides = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+
+
+def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose full shingle sets are similar enough."""
+    sides = _sides(docs, pairs.select("a", "b"))
 
     def run(batches):
         last, kept = None, np.empty(0, np.uint64)
@@ -179,6 +191,70 @@ def _inside(members: DataFrame, found: DataFrame) -> DataFrame:
     return members.join(found, members["rep"] == found["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
 
 
+def _differences(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """``major, a, differs``: the hashes that only one of the sets of ``a`` and ``b`` has, once for each ``major, a``."""
+
+    def run(batches):
+        last, pivot = None, np.empty(0, np.uint64)
+        for batch in slices(batches, 128):
+            differs = []
+            for b, ta, tb in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                if b != last:  # rows arrive sorted by b
+                    last, pivot = b, shingles(tb or "", width)
+                differs.append(np.setxor1d(shingles(ta or "", width), pivot, assume_unique=True).view(np.int64))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(differs, pa.list_(pa.int64()))], ["major", "a", "differs"])
+
+    found = _sides(docs, pairs.select("major", "a", "b")).select("major", "a", "b", "text_a", "text_b")
+    # An id that is repeated has a row for each time.
+    return found.mapInArrow(run, "major bigint, a bigint, differs array<bigint>").dropDuplicates(["major", "a"])
+
+
+def _meetings(docs: DataFrame, clusters: DataFrame, scratch: Scratch, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Where members of ``clusters`` (``major, rep, comp, met, n_shingles``) meet.
+
+    Returns strays and all members, each as ``key, rep, comp, major`` under the keys in which they meet, and pairs
+    ``a, b, ca, cb`` that are similar by sizes alone.
+    """
+    sizes = scratch.keep(clusters.groupBy("major").agg(F.count("*").alias("n")), "sizes")
+    where = ["rep", "comp", "major"]
+    small = clusters.join(sizes.filter(F.col("n") <= FEW), "major").select(F.xxhash64("major").alias("key"), *where)
+    strays, everyone = small.filter("comp <> major"), small
+    sizes = sizes.filter(F.col("n") > FEW)
+    if sizes.isEmpty():
+        nothing = clusters.filter("1 = 0").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("comp").alias("ca"), F.col("comp").alias("cb"))
+        return strays, everyone, nothing
+    large = scratch.keep(clusters.join(sizes, "major"), "large")
+    central = F.struct(F.col("comp") == F.col("major"), "met", -F.col("rep"))
+    pivots = large.groupBy("major").agg(F.max_by("rep", central).alias("b"), F.max_by("n_shingles", central).alias("size"))
+    # Room: what a set may differ by, less what it does, in units of 1 / (100 + percent). Sets with room together are similar enough for certain.
+    pivots = pivots.select("major", "b", F.greatest(F.lit(1), F.floor((100 - percent) * F.col("size") / 4)).alias("unit"))
+    pairs = large.select("major", F.col("rep").alias("a"), "comp", "n_shingles").join(pivots, "major")
+    own = _differences(docs, pairs, width).join(pairs, ["major", "a"]).withColumn("room", (100 - percent) * F.col("n_shingles") - (100 + percent) * F.size("differs"))
+    own = own.select("major", F.col("a").alias("rep"), "comp", "room", "unit", F.ceil(F.col("room") / F.col("unit")).alias("class"), "differs")
+    own = scratch.keep(own, "differences")
+    most = own.groupBy("major").agg(F.max_by(F.struct("rep", "comp", "room"), F.struct("room", -F.col("rep"))).alias("top"))
+    sure = own.join(most, "major").filter((F.col("comp") != F.col("top.comp")) & (F.col("room") + F.col("top.room") >= 0))
+    sure = sure.select(F.col("rep").alias("a"), F.col("top.rep").alias("b"), F.col("comp").alias("ca"), F.col("top.comp").alias("cb"))
+    # Elements of one member alone are its rarest, and no other has them.
+    each = own.select("major", "rep", F.explode("differs").alias("element"))
+    often = each.groupBy("major", "element").agg(F.count("*").alias("n")).filter("n > 1")
+    rarest = each.join(often, ["major", "element"]).groupBy("major", "rep").agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("shared"))
+    rarest = scratch.keep(own.drop("differs").join(rarest, ["major", "rep"]), "rarest")
+
+    def keyed(rows: DataFrame, partners: DataFrame, stray: str, other: str) -> DataFrame:
+        """Keys of the rarest elements among which a similar one of a class has one at least, for each class whose members have enough to share."""
+        partners = partners.groupBy("major", F.col("class").alias("partner")).agg(F.max(F.size("shared")).alias("most"))
+        rows = rows.join(partners, "major")
+        least = F.greatest(F.lit(1), F.ceil(-(F.col("class") + F.col("partner")) * F.col("unit") / (2 * (100 + percent))))
+        rows = rows.withColumn("least", least).filter((F.col("least") <= F.col("most")) & (F.col("least") <= F.size("shared")))
+        rows = rows.withColumn("take", (F.size("shared") - F.col("least") + 1).cast("int"))
+        rows = rows.withColumn("element", F.explode(F.slice("shared", F.lit(1), F.col("take"))))
+        return rows.select(F.xxhash64("major", stray, other, "element.element").alias("key"), *where)
+
+    apart = rarest.filter("comp <> major")
+    return strays.union(keyed(apart, rarest, "class", "partner")), everyone.union(keyed(rarest, apart, "partner", "class")), sure
+
+
 def _merge(docs: DataFrame, pairs: DataFrame, found: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame | None:
     """Components joined through those ``pairs`` (``a, b`` in components ``ca, cb``) that full sets confirm; None if there are none."""
     bridges = _confirm(docs, pairs, width, percent).join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
@@ -243,19 +319,25 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 85) -> Da
 
     inside = scratch.keep(_inside(members, found), "inside")
     sizes = inside.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("major"), F.ceil(F.sum("n") / SQUARE).cast("int").alias("parts"))
-    mixed = mixed.filter("comps > 1").select("key", "major", "parts")
-    again = scratch.keep(inside.join(mixed, "key").join(sig, "rep"), "mixed")
-    # A bucket of many members is a square of parts, each of bounded size and met by itself.
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("major"))
+    mixed = mixed.filter("comps > 1").select("key", "major")
+    clusters = inside.join(mixed, "key").groupBy("major", "rep", "comp").agg(F.count("*").alias("met"))
+    clusters = scratch.keep(clusters.join(reps.select("rep", "n_shingles"), "rep"), "clusters")
+    strays, everyone, sure = _meetings(docs, clusters, scratch, width, percent)
+    # A key of many members is a square of parts, each of bounded size and met by itself.
+    sides = strays.select("key", F.lit(1).alias("s"), F.lit(0).alias("e")).union(everyone.select("key", F.lit(0), F.lit(1)))
+    parts = sides.groupBy("key").agg(F.sum("s").alias("s"), F.sum("e").alias("e")).filter("s > 0 and e > 0")
+    parts = scratch.keep(parts.select("key", F.ceil((F.col("s") + F.col("e")) / SQUARE).cast("int").alias("parts")), "parts")
     part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    all_ = again.select("key", part.alias("row"), every.alias("col"), *[F.col(c).alias(f"o_{c}") for c in ("rep", "comp", *sig.columns[1:])])
-    stray = again.filter("comp <> major").select("key", part.alias("col"), every.alias("row"), "rep", "comp", "major", *sig.columns[1:])
+    facts = ["n_shingles", *_ODD]
+    all_ = everyone.join(parts, "key").join(reps.select("rep", *facts), "rep").select("key", part.alias("row"), every.alias("col"), *[F.col(c).alias(f"o_{c}") for c in ("rep", "comp", *facts)])
+    stray = strays.join(parts, "key").join(reps.select("rep", *facts), "rep").select("key", part.alias("col"), every.alias("row"), "rep", "comp", "major", *facts)
     once = (F.col("o_comp") == F.col("major")) | (F.col("rep") < F.col("o_rep"))
     second = (
         stray.join(all_.hint("merge"), ["key", "row", "col"]).filter((F.col("comp") != F.col("o_comp")) & once & near)
         .select(F.col("rep").alias("a"), F.col("o_rep").alias("b"), F.col("comp").alias("ca"), F.col("o_comp").alias("cb"))
-        .distinct()
+        .union(sure).distinct()
     )
     second = scratch.keep(second, "pairs")
     merged = _merge(docs, second, found, scratch, width, percent)

@@ -73,6 +73,50 @@ def test_a_hot_bucket_is_dealt_in_squares(spark, monkeypatch):
     assert got == components(dict(enumerate(texts)))
 
 
+@pytest.mark.parametrize("percent", [85, 80, 60])
+def test_members_of_a_cluster_meet_by_their_differences(spark, monkeypatch, percent):
+    """Every cluster counts as large; repeated ids and long chains are there too."""
+    monkeypatch.setattr(near_duplicates, "FEW", 1)
+    rng = random.Random(percent)
+    template, texts = [f"t{k}" for k in range(80)], near_copies(30, percent)
+    for _ in range(150):
+        copy = list(rng.choice([template, template, texts[-1].split()]))
+        for _ in range(rng.randint(0, 5)):
+            copy[rng.randrange(len(copy))] = rng.choice(["u", "v", f"n{rng.randint(0, 10**6)}"])
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame([*enumerate(texts), *list(enumerate(texts))[::7]], "doc_id long, text string")
+    got = near_duplicates.near_duplicates(docs, percent=percent).collect()
+    assert len(got) == docs.count()
+    assert {r.doc_id: (r.component_id, r.n_shingles) for r in got} == components(dict(enumerate(texts)), percent=percent)
+
+
+def test_meetings_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """Near copies of one text, of which many are just not similar enough: members used to meet as often as they shared a bucket."""
+    seen, meetings = [], near_duplicates._meetings
+
+    def counted(docs, clusters, *more):
+        strays, everyone, sure = meetings(docs, clusters, *more)
+        pairs = strays.join(everyone.select("key", F.col("rep").alias("other")), "key")
+        seen.append((clusters.filter("comp <> major").count() * clusters.filter("comp = major").count(), pairs.count()))
+        return strays, everyone, sure
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(near_duplicates, "_meetings", counted)
+    rng = random.Random(4)
+    template, texts = [f"t{k}" for k in range(150)], []
+    for k in range(600):
+        copy = list(template)
+        for at in rng.sample(range(150), rng.randint(0, 2) if k % 2 else rng.randint(5, 7)):
+            copy[at] = f"n{rng.randint(0, 10**6)}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in near_duplicates.near_duplicates(docs).collect()}
+    assert got == components(dict(enumerate(texts)))
+    every, met = seen[0]
+    assert every > 40_000 and met < every / 10
+
+
 def test_windows_of_swapped_words_differ():
     for width in (3, 5, 7):
         windows = {tuple(w) for w in itertools.product("abc", repeat=width)}

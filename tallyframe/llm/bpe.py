@@ -35,7 +35,7 @@ LONG = 1024
 #: Entries of one memo generation, and the longest key that is remembered.
 MEMO, MEMO_KEY = 450_000, 48
 #: Characters of text that are cut up at a time.
-BLOCK = 2_000_000
+BLOCK = 4_000_000
 _NONE = np.int32(2**31 - 1)
 #: White space as the Rust tokenizer libraries define it (Unicode White_Space).
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -220,15 +220,13 @@ class Codec:
     # ---- texts ---------------------------------------------------------
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words (each with the space before it) that the memo lacks; those of ordinary length are put there."""
-        memo, old = self._memo, self._old
-        out = {w: old[w] for w in words if w in old} if old else {}
+        memo, out = self._memo, {}
         whole, cut = [], []
         for w in words:
-            if w not in out:
-                if (w[1:] if w[:1] == " " else w).isalpha():
-                    whole.append(w)
-                else:
-                    cut.append((w, pieces_of(w, self.pattern)))
+            if (w[1:] if w[:1] == " " else w).isalpha():
+                whole.append(w)
+            else:
+                cut.append((w, pieces_of(w, self.pattern)))
         pieces = list({p for _, ps in cut for p in ps if p not in memo}.union(whole))
         ids = dict(zip(pieces, self.encode_pieces([p.encode() for p in pieces]), strict=True))
         for w in whole:
@@ -244,6 +242,13 @@ class Codec:
             self._old, self._memo = self._memo, {}
         ids = list(map(self._memo.get, words))
         at = [i for i, x in enumerate(ids) if x is None]
+        if at and self._old:
+            lacking = [words[i] for i in at]
+            aged = list(map(self._old.get, lacking))
+            self._memo.update((w, x) for w, x in zip(lacking, aged, strict=True) if x is not None)
+            for i, x in zip(at, aged, strict=True):
+                ids[i] = x
+            at = [i for i, x in zip(at, aged, strict=True) if x is None]
         if at:
             lacking = [words[i] for i in at]
             new = self._learn(set(lacking))
@@ -257,20 +262,44 @@ class Codec:
             return self._encode_block(texts)
 
     def _encode_block(self, texts: list[str]) -> list[bytes]:
+        plain: list[bytes] = []  # parts that are cut at their white space, all at once
+        words: list[str] = []  # pre-tokens of the other parts
         cut: list[list] = []
-        words: list[str] = []
         for text in texts:
             parts: list = []
             for k, part in enumerate(self._special.split(text) if self._special and self._special.search(text) else [text]):
                 if k % 2:
                     parts.append(np.array([self.special[part]], "<u4").tobytes())
+                elif part and is_plain(part):
+                    parts.append(len(plain))
+                    plain.append(part.encode())
                 elif part:
                     at = len(words)
-                    words += words_of(part) or self.pattern.findall(part)
+                    words += self.pattern.findall(part)
                     parts.append(slice(at, len(words)))
             cut.append(parts)
-        ids = self._ids(words)
-        return [b"".join([part if type(part) is bytes else b"".join(ids[part]) for part in parts]) for parts in cut]
+        data, ends, ids = self._block_ids(plain, words)
+        out = []
+        for parts in cut:
+            found = (part if type(part) is bytes else b"".join(ids[part]) if type(part) is slice else data[ends[part] : ends[part + 1]] for part in parts)
+            out.append(b"".join(found))
+        return out
+
+    def _block_ids(self, parts: list[bytes], others: list[str]) -> tuple[memoryview, list[int], list[bytes]]:
+        """Ids of all plain parts one after the other and where each part's begin, and those of other pre-tokens; each different word of the parts is looked up once."""
+        if not parts:
+            return memoryview(b""), [0], self._ids(others)
+        raw = b"".join(parts)
+        first = np.cumsum([0, *map(len, parts)])
+        start = word_starts(raw, first[:-1])
+        offsets = pa.py_buffer(np.append(start, len(raw)))
+        words = pa.LargeStringArray.from_buffers(len(start), offsets, pa.py_buffer(raw)).dictionary_encode()
+        found = self._ids(words.dictionary.to_numpy(zero_copy_only=False).tolist() + others)
+        different = len(words.dictionary)
+        ids = pa.array(found[:different], pa.large_binary()).take(words.indices)
+        _, ends, data = ids.buffers()
+        ends = np.frombuffer(ends, np.int64)[: len(start) + 1]
+        return memoryview(data if data is not None else b""), ends[np.searchsorted(start, first)].tolist(), found[different:]
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of many texts, a bounded block at a time; null counts as empty."""
@@ -340,12 +369,29 @@ _UNSAFE = (*re.findall(r"[^\S \n]", "".join(map(chr, range(0x3001)))), "\0", "
 def words_of(text: str) -> list[str] | None:
     """The text cut before every single space and around every single line feed, where pre-tokens
     always end; None where other white space makes such cuts unsafe."""
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if is_plain(text) else None
+
+
+def is_plain(text: str) -> bool:
+    """Whether pre-tokens end before every single space and around every single line feed; other white space
+    can make such cuts unsafe."""
     if text.endswith(" "):
-        return None
+        return False
     for s in _UNSAFE:  # a plain search for each is faster than one pattern
         if s in text:
-            return None
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+            return False
+    return True
+
+
+def word_starts(raw: bytes, first: np.ndarray) -> np.ndarray:
+    """Where the words of plain texts begin, in the bytes of all texts: with each text, at spaces, at line feeds and after them."""
+    at = np.frombuffer(raw, np.uint8)
+    starts = np.zeros(len(at) + 1, bool)
+    starts[first] = True
+    feeds = np.flatnonzero(at == 10)
+    starts[feeds] = starts[feeds + 1] = True
+    starts[:-1] |= at == 32
+    return np.flatnonzero(starts[:-1])
 
 
 def pieces_of(word: str, pattern: regex.Pattern) -> list[str]:

@@ -59,6 +59,22 @@ def test_remembered_words_are_looked_up_once(monkeypatch):
     assert len(asked) == 2 and asked[1] == {" " + "x" * 100}
 
 
+def test_each_different_word_of_a_block_is_looked_up_once(monkeypatch):
+    asked = []
+    tok, look = bpe.codec.__wrapped__("byte_bpe_50k.json"), bpe.Codec._ids
+    monkeypatch.setattr(bpe.Codec, "_ids", lambda self, words: asked.extend(words) or look(self, words))
+    monkeypatch.setattr(tok, "remember", 3)  # each block starts a generation
+    texts = ["a word, a word\nand a word", "", "日本 ümläut 日本 😀", "\n", " a word", "a", "<|endoftext|>a word<|endoftext|> a word", "a\n"] * 20
+    for _ in range(3):
+        asked.clear()
+        got = list(tok.encode_all(texts))
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [HF.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(asked) == len(set(asked)) and {" word", "日本", "\n"} <= set(asked)
+    for texts in (noise(300), [t or "" for t in ODD], [""], []):
+        got = list(tok.encode_all(texts))
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [HF.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_workers_let_go_of_codecs():
     first = bpe.codec("byte_bpe_50k.tiktoken")
     assert list(bpe.slices([], codecs=True)) == [] and bpe.codec("byte_bpe_50k.tiktoken") is first

@@ -8,8 +8,9 @@ block; there it skips the lists it does not visit, scores the codes of the other
 products (asymmetric: the query is not quantised), and reranks the best of them by the exact inner product. Blocks and
 queries meet in one sorted stream: a task holds one block and a slice of queries, however many queries there are.
 
-The number of lists visited and the reranking depth are the smallest that reach the wanted recall on sample
-queries that the fit did not see. Both are conservative for the whole table: in a denser table the nearest lie closer.
+The number of lists visited and the reranking depth are set by a bounded number of the queries asked, whose true nearest
+are found by brute force over the whole table: these tell what vectors that the fit did not see, queries unlike the
+table, or a few very long vectors ask for, which held-back vectors of the sample do not.
 """
 
 from __future__ import annotations
@@ -28,6 +29,14 @@ from .scratch import Scratch
 BLOCK_ROWS = 8192
 #: Queries that are scored at a time.
 QUERY_ROWS = 256
+#: Numbers in a piece of vectors to rerank.
+PIECE = 4_000_000
+
+
+def unit(q: np.ndarray) -> np.ndarray:
+    """Queries of length one, which order vectors alike: long and short ones stay within single precision."""
+    q = q / np.abs(q).max(axis=1, keepdims=True)
+    return (q / np.sqrt((q**2).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -103,9 +112,38 @@ class Index:
                 some += table[own[:, m]]
         return out
 
+    def widen(self, q: np.ndarray, query: np.ndarray, lists: np.ndarray, codes: np.ndarray, at: np.ndarray, sample: np.ndarray, *, recall: float, k: int, every: bool) -> None:
+        """Set the search widths so that queries ``q`` reach ``recall``, half of the loss left to each width.
+
+        ``query, lists, codes``: for each vector wanted, whose it is, its list and codes. ``at, sample``: lists and codes of the sample.
+        If these are not all queries (``every``), the mean has to reach it by a standard error more.
+        """
+        near = q @ self.lists.T
+        place = np.empty(near.shape, int)
+        np.put_along_axis(place, np.argsort(-near, axis=1, kind="stable"), np.broadcast_to(np.arange(near.shape[1]), near.shape), axis=1)
+        reach = place[query, lists]
+        ordered, wanted, goal = np.sort(reach), np.bincount(query, minlength=len(q)), 1 - (1 - recall) / 2
+        for level in np.linspace(goal, 1, 26):
+            self.probes = int(ordered[math.ceil(level * len(reach) - 1e-9) - 1]) + 1
+            got = (np.bincount(query, reach < self.probes, len(q)) / wanted.clip(1))[wanted > 0]
+            if got.mean() - (0 if every else got.std() / math.sqrt(len(got))) >= goal:
+                break
+        # How many of a block's vectors score above a wanted one by their codes, so that reranking still sees it.
+        rough = self.rough(q, near.T, at, sample).T
+        own = near[query, lists]
+        for m, (book, dims) in enumerate(zip(self.books, self.parts, strict=True)):
+            own += np.einsum("ij,ij->i", book[codes[:, m]], q[query][:, dims])
+        cell = self.cell_of[at]
+        in_sample = np.bincount(cell, minlength=len(self.cells))
+        in_cell = in_sample if self.sizes is None else np.bincount(self.cell_of, self.sizes, len(self.cells))
+        rows = np.minimum(in_cell, BLOCK_ROWS) / in_sample.clip(1)
+        members = [np.flatnonzero(cell == c) for c in range(len(self.cells))]
+        deep = [(rough[t, members[c]] > s).sum() * rows[c] for t, c, s in zip(query.tolist(), self.cell_of[lists].tolist(), own, strict=True)]
+        self.depth = int(max(3 * k, np.quantile(deep, 0.99) * 1.25 + k))
+
 
 def fit(sample: np.ndarray, total: int, *, parts: int = 16, recall: float = 0.95, k: int = 20, tests: int = 200, seed: int = 7) -> Index:
-    """Fit on the sample's different vectors but for held-back queries, and widen the search until these reach ``recall``."""
+    """Fit on the sample's different vectors but for held-back queries, and widen the search until these reach ``recall`` in the sample."""
     rng = np.random.default_rng(seed)
     sample = np.unique(np.asarray(sample, np.float32), axis=0)
     held = rng.permutation(len(sample))[: min(tests, len(sample) // 5)]
@@ -127,17 +165,8 @@ def fit(sample: np.ndarray, total: int, *, parts: int = 16, recall: float = 0.95
         return index
     codes, q = index.encode(x, at), sample[held]
     want = np.argsort(-(q @ x.T), axis=1)[:, : min(k, len(x))]
-    near, _ = index.cut(q)
-    place = np.empty(near.shape, int)
-    np.put_along_axis(place, np.argsort(-near, axis=1, kind="stable"), np.broadcast_to(np.arange(near.shape[1]), near.shape), axis=1)
-    reach = np.sort(np.take_along_axis(place, at[want], axis=1).ravel())
-    index.probes = min(len(index.lists), int(reach[math.ceil(recall * len(reach)) - 1]) + 1)
-    # How many of a block's vectors score above a wanted one by their codes, so that reranking still sees it.
-    rough = index.rough(q, near.T, at, codes).T
-    cell = index.cell_of[at]
-    in_cell = np.bincount(cell, minlength=len(cells))
-    deep = [int(((cell == cell[h]) & (rough[r] > rough[r, h])).sum()) * min(1.0, BLOCK_ROWS / in_cell[cell[h]]) for r in range(len(q)) for h in want[r]]
-    index.depth = int(max(3 * k, np.quantile(deep, 0.99) * 1.25 + k))
+    query = np.repeat(np.arange(len(q)), want.shape[1])
+    index.widen(q, query, at[want.ravel()], codes[want.ravel()], at, codes, recall=recall, k=k, every=False)
     return index
 
 
@@ -164,7 +193,7 @@ class Block:
 
     def search(self, index: Index, own: np.ndarray, q: np.ndarray, cut: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of queries, ids and exact scores of each query's best ``k`` here."""
-        q32 = q.astype(np.float32)
+        q32 = unit(q)
         here, place = np.unique(self.lists, return_inverse=True)
         near = index.lists[here] @ q32.T
         near[near < cut.astype(np.float32) - 1e-5] = -np.inf
@@ -179,7 +208,8 @@ class Block:
         least = -np.partition(-rough, depth - 1, axis=1)[:, depth - 1]
         rows, at = np.nonzero((rough >= least[:, None]) & (rough > -np.inf))
         at = seen[at]
-        exact = np.einsum("ij,ij->i", self.x[at], q[rows])
+        step = max(1, PIECE // q.shape[1])
+        exact = np.concatenate([np.einsum("ij,ij->i", self.x[at[i : i + step]], q[rows[i : i + step]]) for i in range(0, len(at), step)])
         order = np.lexsort((self.ids[at], -exact, rows))
         rows, at, exact = rows[order], at[order], exact[order]
         nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
@@ -201,6 +231,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _truth(ids: np.ndarray, q: np.ndarray, k: int):
+    """The true ``k`` nearest of few queries among a task's vectors: places of queries, ids, scores, lists and codes."""
+
+    def run(batches):
+        best = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int32), np.empty(0, object)]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = b.column(1).to_numpy()
+            score = q @ _matrix(b.column(2)).T
+            score[ids[:, None] == own] = -np.inf
+            least = -np.partition(-score, min(k, b.num_rows) - 1, axis=1)[:, min(k, b.num_rows) - 1]
+            rows, at = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+            new = [rows, own[at], score[rows, at], b.column(3).to_numpy()[at], b.column(4).to_numpy(zero_copy_only=False)[at]]
+            best = [np.concatenate(p) for p in zip(best, new, strict=True)]
+            order = np.lexsort((best[1], -best[2], best[0]))
+            order = order[np.arange(len(order)) - np.searchsorted(best[0][order], best[0][order]) < k]
+            best = [p[order] for p in best]
+        yield pa.record_batch([pa.array(best[0], pa.int32()), pa.array(best[1]), pa.array(best[2]), pa.array(best[3], pa.int32()), pa.array(best[4], pa.binary())], ["query", "id", "score", "list", "code"])
+
+    return run
+
+
 def _meet(index: Index, k: int):
     """Searches a stream sorted by cell, block and kind (a block's vectors before its queries)."""
 
@@ -239,6 +292,7 @@ def nearest(
     k: int = 20,
     sample_rows: int = 30_000,
     recall: float = 0.95,
+    tests: int = 256,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -247,21 +301,25 @@ def nearest(
     Returns ``query_id, rank, vec_id, score``, ties to the smaller id. Null ids, null, zero and non-finite vectors
     and such of another length than most (no inner product is defined for them) take no part; of rows that share an id the
     lexicographically smallest vector counts. At most ``sample_rows`` vectors, those of the smallest id hashes, are
-    collected to fit the index, which bounds the number of lists at a quarter of that. Vectors of any length are
+    collected to fit the index, which bounds the number of lists at a quarter of that. At most ``tests`` queries, also those of the
+    smallest hashes, are compared with every vector to set how far the others search. Vectors of any length are
     read whole. Extra columns are not read. An empty table gives no rows; fewer candidates than ``k`` are all returned.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "nearest")
     base = scratch.keep(usable(vectors, id_col, vector_col), "vectors")
-    total = base.count()
-    if not total:
+    total, most = base.agg(F.count("*"), F.max(F.array_max(F.transform("embedding", F.abs)))).first()
+    asking = base.filter(F.col("vec_id") % every == 0)
+    if not total or not (n_asking := asking.count()):
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    picked = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select(F.transform("embedding", lambda v: v.cast("float")).alias("v"))
-    index = fit(_matrix(picked.toArrow()["v"].combine_chunks()), total, k=k, recall=recall)
+    # The index is over vectors whose greatest component is one, within single precision.
+    picked = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select(F.transform("embedding", lambda v: (v / most).cast("float")).alias("v"))
+    sample = _matrix(picked.toArrow()["v"].combine_chunks())
+    index = fit(sample, total, k=k, recall=recall)
 
     def put(batches):
         for b in batches:
-            x = _matrix(b.column(1)).astype(np.float32)
+            x = (_matrix(b.column(1)) / most).astype(np.float32)
             lists = index.assign(x)
             codes = index.encode(x, lists)
             yield pa.record_batch(
@@ -273,7 +331,7 @@ def nearest(
         for b in batches:
             for at in range(0, b.num_rows, QUERY_ROWS):
                 some = b.slice(at, QUERY_ROWS)
-                near, cut = index.cut(_matrix(some.column(1)).astype(np.float32), k)
+                near, cut = index.cut(unit(_matrix(some.column(1))), k)
                 first = np.searchsorted(index.cell_of, np.arange(len(index.cells)))
                 rows, cells = np.nonzero(np.maximum.reduceat(near, first, axis=1) >= cut[:, None])
                 pick = pa.array(rows)
@@ -283,11 +341,19 @@ def nearest(
     # A number per list, a quarter of the sample at most.
     held = indexed.groupBy("list").agg(F.count("*").alias("n")).toPandas()
     index.sizes = np.bincount(held["list"], held["n"], len(index.lists))
+    some = asking.orderBy(F.xxhash64("vec_id"), "vec_id").limit(tests).select("vec_id", "embedding").toArrow()
+    q = _matrix(some["embedding"].combine_chunks())
+    true = indexed.select("cell", "id", "vec", "list", "code").mapInArrow(_truth(some["vec_id"].to_numpy(), q, k), "query int, id bigint, score double, list int, code binary")
+    true = true.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k).toPandas()
+    if len(true):
+        at = index.assign(sample)
+        codes = np.frombuffer(b"".join(true["code"]), np.uint8).reshape(len(true), -1)
+        index.widen(unit(q), true["query"].to_numpy(), true["list"].to_numpy(), codes, at, index.encode(sample, at), recall=recall, k=k, every=n_asking <= tests)
     # Bounded by the number of cells, a sixty-fourth of the sample at most.
     blocks = F.broadcast(indexed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
     stored = indexed.join(blocks, "cell").select("cell", block, F.lit(0).alias("kind"), "id", "vec", "list", "code", F.lit(0.0).alias("cut"))
-    asked = base.filter(F.col("vec_id") % every == 0).mapInArrow(ask, "cell int, id bigint, vec array<double>, cut double").join(blocks, "cell")
+    asked = asking.mapInArrow(ask, "cell int, id bigint, vec array<double>, cut double").join(blocks, "cell")
     asked = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "id", "vec", F.lit(0).alias("list"), F.lit(None).cast("binary").alias("code"), "cut")
     stream = stored.unionByName(asked).repartition("cell", "block").sortWithinPartitions("cell", "block", "kind", "id")
     found = stream.mapInArrow(_meet(index, k), "query_id bigint, vec_id bigint, score double")

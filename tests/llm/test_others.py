@@ -55,6 +55,28 @@ def test_recall(spark, tmp_path, name):
     assert set(got) == set(ids[ids % 20 == 0])
 
 
+@pytest.mark.parametrize("name", ["queries unlike the crowd", "some long vectors", "beyond single precision"])
+def test_recall_on_other_rows(spark, name):
+    """Rows whose sample does not tell how far the queries have to search."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(4000, 32))
+    if name == "queries unlike the crowd":
+        crowd = np.arange(4000) % 20 != 0
+        x[crowd] = rng.normal(size=(80, 32))[rng.integers(0, 80, crowd.sum())] + 0.05 * rng.normal(size=(crowd.sum(), 32))
+    elif name == "some long vectors":
+        x = x[:1000] * rng.lognormal(0, 1, size=(1000, 1))
+    else:
+        x *= 1e25
+    table = spark.createDataFrame(list(zip(range(len(x)), x.tolist(), strict=True)), "vec_id long, embedding array<double>")
+    got = {}
+    for r in vector_search.nearest(table).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    score = x[::20] @ x.T
+    score[np.arange(len(score)), np.arange(0, len(x), 20)] = -np.inf
+    want = np.argsort(-score, axis=1)[:, :20].tolist()
+    assert sum(len(got[20 * k] & set(w)) for k, w in enumerate(want)) / (20 * len(want)) >= 0.95
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0], 0), (1, None, 0), (2, [0.0, 0.0], 0), (3, [float("nan"), 1.0], 0), (4, [None, 1.0], 0), (5, [1.0, 0.0], 0), (6, [1.0, 0.0], 0), (7, [1.0, 2.0, 3.0], 0), (None, [1.0, 1.0], 0), (20, [0.5, 0.5], 0), (20, [0.5, 0.75], 0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")

@@ -10,7 +10,7 @@ queries meet in one sorted stream: a task holds one block and a slice of queries
 
 The number of lists visited and the reranking depth are set by a bounded number of the queries asked, whose true nearest
 are found by brute force over the whole table: these tell what vectors that the fit did not see, queries unlike the
-table, or a few very long vectors ask for, which held-back vectors of the sample do not.
+table, or a few very long vectors ask for, which held-back vectors of the sample do not. Where those ask for more, that counts.
 """
 
 from __future__ import annotations
@@ -346,9 +346,10 @@ def nearest(
     true = indexed.select("cell", "id", "vec", "list", "code").mapInArrow(_truth(some["vec_id"].to_numpy(), q, k), "query int, id bigint, score double, list int, code binary")
     true = true.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k).toPandas()
     if len(true):
-        at = index.assign(sample)
+        at, told = index.assign(sample), (index.probes, index.depth)
         codes = np.frombuffer(b"".join(true["code"]), np.uint8).reshape(len(true), -1)
         index.widen(unit(q), true["query"].to_numpy(), true["list"].to_numpy(), codes, at, index.encode(sample, at), recall=recall, k=k, every=n_asking <= tests)
+        index.probes, index.depth = max(index.probes, told[0]), max(index.depth, told[1])
     # Bounded by the number of cells, a sixty-fourth of the sample at most.
     blocks = F.broadcast(indexed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
